@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chat, gather, loss_text, read_back
 from .classifier import classify
 from .common import table
 from .mixing import mixture
 from .quality_rules import quality_rules
+from .secrets import BASE, RULES, digest, scan_secrets
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    added = [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]
+    rows = rows.unionByName(spark.createDataFrame(added, rows.schema))
+    done = format_chat(gather(rows)).withColumns({"turns": read_back(F.col("formatted")), "learnt": loss_text(F.col("formatted"), F.col("loss"))})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +50,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op10_quality_classifier": op10_quality_classifier,
@@ -46,4 +71,44 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(CAST(place AS DOUBL
 FROM ranked JOIN rates ON ranked.source IS NOT DISTINCT FROM rates.source
 """
 
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+OP5_SQL = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+chats AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
+  string_agg('### ' || role || ':' || chr(10) || regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') || chr(10) || '</turn>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS formatted
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, length(formatted) AS formatted_chars FROM chats
+"""
+
+
+def _op1_sql() -> str:
+    """The rules on every text, without an index. Letters that fold are spelt out, as DuckDB would fold more than ASCII."""
+
+    def spelt(pattern: str) -> str:
+        head, sep, tail = pattern.partition("(?i:")
+        inside, _, rest = tail.partition(")")
+        folded = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in inside)
+        return (f"{head}(?:{folded}){rest}" if sep else pattern).replace("'", "''")
+
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, row_id, {k} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(text, '{spelt(r.pattern)}') AS gaps, "
+        f"regexp_extract_all(text, '{spelt(r.pattern)}', 0) AS hits, regexp_extract_all(text, '{spelt(r.pattern)}', {r.group}) AS parts FROM texts"
+        for k, r in enumerate(RULES)
+    )
+    base = len(BASE)
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+placed AS (SELECT row_id, rank, kind, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, parts FROM found),
+spans AS (SELECT row_id, rank, kind, length(parts[i]) AS size, least, list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(h) FOR h IN hits[1:i - 1]]), 0) AS start, length(hits[i]) AS n FROM placed),
+good AS (SELECT row_id, rank, kind, CAST(start AS BIGINT) AS start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) AS span FROM spans WHERE size >= least),
+per AS (SELECT row_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {base}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM good GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per USING (row_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op5_chat_format": OP5_SQL, "op7_mixing": OP7_SQL}
