@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import round_trip
 from .chat import format_chat, gather, loss_text, read_back
 from .classifier import classify
 from .common import table
 from .mixing import mixture
 from .quality_rules import quality_rules
 from .secrets import BASE, RULES, digest, scan_secrets
+from .token_counts import count_with_edits, three_edits
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_with_edits(table(spark, sf_dir, "documents").withColumn("edits", three_edits()))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_token_counts": op8_token_counts,
+    "op9_bpe": op9_bpe,
     "op10_quality_classifier": op10_quality_classifier,
 }
 

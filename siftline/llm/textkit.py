@@ -63,7 +63,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, from one prefix sum. It depends on the bytes only."""
-    up, down = _powers(1 << max(10, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(10, (len(data) - 1).bit_length()))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
