@@ -11,9 +11,11 @@ from .bpe import round_trip
 from .chat import format_chat, gather, loss_text, read_back
 from .classifier import classify
 from .common import table
+from .fingerprints import fingerprint_all, with_near
 from .mixing import mixture
 from .quality_rules import quality_rules
 from .secrets import BASE, RULES, digest, scan_secrets
+from .sharding import measured, shuffle_into_shards
 from .token_counts import count_with_edits, three_edits
 
 
@@ -21,6 +23,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shuffle_into_shards(measured(table(spark, sf_dir, "documents")))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_near(fingerprint_all(table(spark, sf_dir, "documents")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -61,6 +72,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_sharding": op3_sharding,
+    "op4_fingerprints": op4_fingerprints,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
