@@ -83,9 +83,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     columns.append((lines + 1) / many)
     newlines = np.flatnonzero(flags["newline"])
     starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], newlines[newlines + 1 < len(data)] + 1)
-    stops = np.append(starts[1:], len(data))
+    stops = np.append(starts[1:], len(data))[: len(starts)]
     of = np.searchsorted(offsets, starts, "right") - 1
-    same = repeated(span_hash(data, starts, stops - (data[stops - 1] == 10) if len(stops) else stops) + mix(of.astype(U64) + U64(3)))
+    same = repeated(span_hash(data, starts, stops - (data[stops - 1] == 10)) + mix(of.astype(U64) + U64(3)))
     columns.append(np.bincount(of[same], minlength=n) / (lines + 1))
     z, raw = zstandard.ZstdCompressor(level=1), memoryview(data)
     columns.append(np.array([len(z.compress(raw[a:b])) / (b - a) if b > a else 1.0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)]))

@@ -12,6 +12,7 @@ from .chat import format_chat, gather, loss_text, read_back
 from .classifier import classify
 from .common import table
 from .fingerprints import fingerprint_all, with_near
+from .jaccard import jaccard_join
 from .mixing import mixture
 from .quality_rules import quality_rules
 from .secrets import BASE, RULES, digest, scan_secrets
@@ -23,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shuffle_into_shards(measured(table(spark, sf_dir, "documents")))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -72,6 +77,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat_format": op5_chat_format,
