@@ -61,12 +61,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, from one prefix sum. It depends on the bytes only."""
-    up, down = _powers(1 << max(10, (len(data) - 1).bit_length()))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, from prefix sums. It depends on the bytes only.
+
+    Sums are made block by block, so that a long text takes little more memory than a block; a span that began in an
+    earlier block goes on with the power of its distance.
+    """
+    out = np.zeros(len(starts), U64)
+    for begin in range(0, len(data), block):
+        part = data[begin : begin + block]
+        up, down = _powers(1 << max(10, (len(part) - 1).bit_length()))
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        if len(part) == len(data):
+            out = (total[ends] - total[starts]) * down[np.minimum(starts, len(down) - 1)]
+            break
+        met = np.flatnonzero((starts < begin + len(part)) & (ends > begin))
+        first, last = np.maximum(starts[met] - begin, 0), np.minimum(ends[met] - begin, len(part))
+        sums = (total[last] - total[first]) * down[first]
+        earlier = np.flatnonzero(starts[met] < begin)
+        sums[earlier] *= np.array([pow(_BASE, int(begin - x), 1 << 64) for x in starts[met[earlier]]], U64)
+        out[met] += sums
+    return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 class Words:
