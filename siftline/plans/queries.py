@@ -261,3 +261,19 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY side, key ORDER BY
     "suppressed": f"WITH {_PII}, {_DRIFT} SELECT * FROM both_rules WHERE NOT (rule_id = 'privacy-pii-detected' AND row % 2 = 1)",
     "rule_summary": f"WITH {_PII}, {_DRIFT} SELECT rule_id, count(*) AS n, CAST(min(severity) AS INTEGER) AS severity FROM both_rules GROUP BY rule_id",
 }
+
+_SIGNED = r"""
+w AS (SELECT prompt, [x FOR x IN regexp_split_to_array(lower(prompt), '[\t-\r \x{85}\pZ]+') IF x <> ''] AS w FROM (SELECT DISTINCT prompt FROM p)),
+s AS (SELECT prompt, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) AS s FROM w WHERE len(w) >= 3),
+x AS (SELECT prompt, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) % 2147483647 AS x FROM s),
+g AS (SELECT prompt, [""" + ", ".join(f"min(({a} * x + {b}) % 2147483647)" for a, b in coefficients()) + """] AS h FROM x GROUP BY prompt),
+b AS (SELECT prompt, h, unnest(range(32)) AS band FROM g), k AS (SELECT prompt, band, h[4 * band + 1:4 * band + 4] AS bucket FROM b)"""
+
+ORACLES["near_overlap"] = f"""WITH p AS (SELECT doc_id, {_TRIM} AS prompt FROM documents), t AS (SELECT prompt, min(doc_id + 1) AS place FROM p WHERE doc_id % 2 = 0 AND prompt <> '' GROUP BY prompt),
+e AS (SELECT doc_id, prompt FROM p WHERE doc_id % 2 = 1 AND prompt <> ''), {_SIGNED},
+pairs AS (SELECT l.prompt AS a, r.prompt AS c, min(l.band) AS band FROM k l JOIN k r ON l.band = r.band AND l.bucket = r.bucket WHERE l.prompt IN (SELECT prompt FROM e) AND l.prompt NOT IN (SELECT prompt FROM t) AND r.prompt IN (SELECT prompt FROM t) GROUP BY 1, 2),
+sims AS (SELECT a, band, place, list_sum([CASE WHEN ga.h[i] = gc.h[i] THEN 1 ELSE 0 END FOR i IN range(1, 129)]) / 128 AS sim FROM pairs JOIN g ga ON ga.prompt = a JOIN g gc ON gc.prompt = c JOIN t ON t.prompt = c),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, band, place) AS n FROM sims WHERE sim >= 0.7) WHERE n = 1),
+near AS (SELECT doc_id, 'eval prompt is a near-duplicate (similarity ' || printf('%.2f', sim) || ') of train at train row ' || place AS message FROM e JOIN best ON a = prompt),
+found AS (SELECT doc_id, 'eval prompt also appears in train at train row ' || place AS message FROM e JOIN t USING (prompt) UNION ALL SELECT * FROM near)
+SELECT 'train-eval-overlap' AS rule_id, 2 AS severity, message, 'eval' AS path, doc_id + 1 AS row FROM found"""
