@@ -42,9 +42,9 @@ RECALL = 0.99999
 SKETCH, LIKELY = 64, 0.55
 #: Chance of a second coordinate in a split: similar sets then keep 0.8 * 1.25 = 1 common bucket at each level on average.
 SECOND = 0.25
-SMALL, LEVELS = 48, 6
+SMALL, LEVELS = 192, 4
 #: Sets of a block, and shingles of a block, in the exact comparison.
-BLOCK, BLOCK_SHINGLES = 64, 1 << 18
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 _SEEDS = np.random.default_rng(31).integers(1, 1 << 63, SKETCH, dtype=U64) * U64(2) + U64(1)
 
 
@@ -198,11 +198,12 @@ def _compare_bucket(batches):
 def ties(sets: DataFrame, runs: int) -> DataFrame:
     """(a, b): ties between set_ids found by `runs` runs of chosen paths; sets: set_id, sketch."""
     nodes, found = cut(map_batches(sets.select("set_id", "sketch"), _roots(runs), "set_id long, path long")), []
+    held = sets.select("set_id", "sketch")
     for level in range(1, LEVELS + 1):
-        counts = nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1")
-        inside = nodes.join(counts, "path")
-        inside = cut(inside)
-        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(sets.select("set_id", "sketch"), "set_id")
+        # cut off, so that the join deals both sides anew and Spark can split a hot path
+        counts = cut(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"))
+        inside = cut(nodes.join(counts, "path"))
+        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held, "set_id")
         found.append(cut(small.select("path", "set_id", "sketch").repartition(spread(sets), "path").sortWithinPartitions("path").mapInArrow(_compare_bucket, "a long, b long").distinct()))
         large = inside.where(F.col("members") > SMALL)
         if large.isEmpty():
@@ -210,7 +211,9 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
         if level == LEVELS:
             found.append(large.where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct())
         else:
-            split = large.select("path", "set_id").join(sets.select("set_id", "sketch"), "set_id")
+            # only sets of large buckets go on, so later levels move few sketches
+            held = cut(held.join(large.select("set_id").distinct(), "set_id", "left_semi"))
+            split = large.select("path", "set_id").join(held, "set_id")
             nodes = cut(map_batches(split.select("set_id", "path", "sketch"), _deeper, "set_id long, path long"))
     out = found[0]
     for more in found[1:]:
@@ -227,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # each node meets the least of its neighbours, and hands its other neighbours to it
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         handed = both.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
         fresh = cut(handed.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         # done when every id has one edge, and no root has one of its own
