@@ -14,7 +14,6 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
