@@ -16,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from .common import map_batches
 from .textkit import U64, chunks, span_hash
 
 #: Bytes of text worked on at once: more find more pre-tokens equal, and take more memory.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 LONGEST = 256
 WIDTHS = (4, 8, 12, 16, 24, 48, LONGEST)
 NO_RANK = np.iinfo(np.int32).max
@@ -95,8 +96,8 @@ class Vocabulary:
         hashes = span_hash(self.bytes, self.begins[used], ends[used])
         order = np.argsort(hashes)
         self.hashes, self.hashed = hashes[order], used[order].astype(np.int32)
-        merges = [(self.ranks[t[:i]], self.ranks[t[i:]], self.ranks[t]) for t in tokens for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        left, right, rank = np.array(merges, np.int64).reshape(-1, 3).T
+        splits = ((t[:i], t[i:], t) for t in tokens for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        left, right, rank = np.fromiter((self.ranks[x] for three in splits for x in three), np.int64).reshape(-1, 3).T
         self._build(left * self.size + right, rank)
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -261,16 +262,12 @@ def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, ids, counts = vocabulary(shared.value), [], []
-        for _, _, data, offsets in chunks(batch.column("text"), CHUNK):
-            got, bounds = encode_chunk(words, data, offsets)
-            ids.append(got)
-            counts.append(np.diff(bounds))
-        counts = np.concatenate(counts)
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(counts), arrays], [*others, "n_tokens", "ids"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(shared.value)
+        for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
+            ids, bounds = encode_chunk(words, data, offsets)
+            arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(np.diff(bounds)), arrays], [*others, "n_tokens", "ids"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "n_tokens long, ids array<int>"
     return map_batches(docs.select(*others, F.col("text").cast("string").alias("text")), run, schema)
@@ -295,16 +292,16 @@ def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text encoded, its ids decoded again, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, rows = vocabulary(shared.value), []
-        for _, _, data, offsets in chunks(batch.column("text"), CHUNK):
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(shared.value)
+        for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
             ids, bounds = encode_chunk(words, data, offsets)
             plain, ends = words.decode(ids)
-            written, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(plain.tobytes())
+            written, plain, rows = memoryview(ids.astype("<u4").tobytes()), memoryview(plain.tobytes()), []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 rows.append((int(b - a), hashlib.sha256(written[4 * a : 4 * b]).hexdigest(), hashlib.sha256(plain[ends[a] : ends[b]]).hexdigest()))
-        columns = [pa.array(x) for x in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [pa.array(x) for x in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return map_batches(texts, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
