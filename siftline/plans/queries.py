@@ -93,7 +93,7 @@ def unbalanced_tool_call(spark, sf_dir):
 
 def eval_leaks(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 40 == 0, F.concat(F.substring("text", 1, 20), F.lit(" Answer only with the LETTER of it"))).otherwise(F.substring("text", 1, 20))
+    text = F.when(F.col("doc_id") % 40 == 0, F.concat(F.col("text"), F.lit(" Answer only with the LETTER of it"))).otherwise(F.col("text"))
     messages = F.array(F.struct(F.lit("system").alias("role"), text.alias("content")))
     return _shown(chat_rules.system_prompt_leaks(table_records(docs, F.col("doc_id") + 1, "documents", messages.alias("messages")), DEFAULT))
 
@@ -169,8 +169,8 @@ def top_values(spark, sf_dir):
 def _two_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Errors of personal data and warnings of drift in the language field of documents, and these records."""
     docs = _documents(spark, sf_dir, "text", "lang", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("privacy-pii-detected"))).alias(f"_{MARKER}_disable"))
-    drift = schema_rules.enum_drift(docs, Settings({"lock_in_rows": 2}))
-    return file_rules.personal_data(docs, DEFAULT).unionByName(drift.where(F.contains("message", F.lit('"lang"')))), docs
+    drift = schema_rules.enum_drift(_documents(spark, sf_dir, "lang"), Settings({"lock_in_rows": 2}))
+    return file_rules.personal_data(docs, DEFAULT).unionByName(drift), docs
 
 
 def drops(spark, sf_dir):

@@ -26,3 +26,12 @@ def differences(df, sql):
 @pytest.mark.parametrize("name", ORACLES)
 def test_query_equals_sql(spark, name):
     assert differences(QUERIES[name](spark, DATA), ORACLES[name]) == []
+
+
+def test_eval_leaks_reads_whole_texts(spark, tmp_path):
+    far = "word " * 5000 + "Pick the best of them"
+    rows = [(1, far), (2, "nothing here"), (40, "a text of more than twenty characters, the correct answer is b"), (80, "short"), (81, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.row: r.message.split("pattern ")[1] for r in QUERIES["eval_leaks"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [2, 41, 81]
+    assert (got[2], got[81]) == ('"Pick the best"', '"Answer only with the LETTER"')
