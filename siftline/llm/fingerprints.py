@@ -4,8 +4,9 @@ The terms of a text are its words and its pairs of neighbouring words. Each term
 for 0, with the length of its words (each up to LONGEST bytes) as weight, so that short function words weigh little. Weights
 are whole numbers and their sums exact, so equal texts have equal fingerprints.
 
-The search cuts a fingerprint into BLOCKS blocks. Fingerprints that differ in RADIUS bits agree in BLOCKS - RADIUS blocks
-at least, so a table for each choice of that many blocks, keyed by them, finds every one; the distance is then checked.
+The search cuts a fingerprint into BLOCKS blocks, with a table for each, keyed by the block. Of RADIUS bits that differ, not all
+blocks can have more than their share (see SHARES), so a query that looks into each table with its block changed in
+every choice of at most so many bits finds every fingerprint within the radius; the distance is then checked.
 
 Documents meet the next one in order of doc_id (equal ids: of a hash of the text; null first) in ranges, one per partition;
 the last text of each range and the first of the next are joined afterwards, so nothing passes through one task.
@@ -22,13 +23,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, spread
+from .jaccard import grouped
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
-BITS, BLOCKS, RADIUS = 128, 8, 6
+#: Of the different texts of sf0.1 with a Jaccard similarity of 0.8 or more over five-word shingles, the farthest lie 19 bits apart.
+BITS, BLOCKS, RADIUS = 128, 8, 20
+WIDTH = BITS // BLOCKS
+#: Bits that may differ in each block: if all blocks had one more, more than RADIUS bits would differ in total.
+SHARES = [RADIUS // BLOCKS - (i > RADIUS % BLOCKS) for i in range(BLOCKS)]
+PAIRS, COUNTS = ["a", "b", "near_a", "near_b", "distance"], ["a", "b", "n"]
+#: Pairs of a bucket that are compared at a time.
+AT_ONCE = 1 << 20
 LONGEST = 16
 CHUNK = 1 << 19
 #: Every so many doc_ids one is a query of the search.
@@ -130,31 +139,90 @@ def fingerprint_all(docs: DataFrame) -> DataFrame:
     return walked.where("edge is null").select(*NAMES).unionByName(closed)
 
 
-def _tables(marks: DataFrame) -> DataFrame:
-    """A row for each table that holds a fingerprint: the table, the key, the fingerprint and its two halves."""
-    width = BITS // BLOCKS // 4
-    block = lambda i: F.substring("fingerprint", i * width + 1, width)
-    kept = combinations(range(BLOCKS), BLOCKS - RADIUS)
-    entries = F.array(*(F.struct(F.lit(t).alias("table"), F.concat(*(block(i) for i in blocks)).alias("key")) for t, blocks in enumerate(kept)))
+def _halves_of(marks: DataFrame, *more: str) -> DataFrame:
+    """The different fingerprints (and other columns) with two longs, a and b, in place of the fingerprint."""
     half = lambda i: F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long")
-    return marks.select("*", half(0).alias("a"), half(1).alias("b"), F.explode(entries).alias("e")).select("*", "e.table", "e.key").drop("e")
+    return marks.select(half(0).alias("a"), half(1).alias("b"), *more).distinct()
+
+
+def _blocks() -> Column:
+    """The blocks of a fingerprint; the number of the table is in the bits above each."""
+    each = BLOCKS // 2
+    block = lambda i: F.shiftrightunsigned(F.col("ab"[i // each]), (each - 1 - i % each) * WIDTH).bitwiseAND((1 << WIDTH) - 1)
+    return F.array(*(block(i).bitwiseOR(F.lit(i << WIDTH)).cast("int") for i in range(BLOCKS)))
+
+
+def changes() -> list[tuple[int, int]]:
+    """(table, bits) of every change of a block that a query looks up."""
+    return [(t, sum(1 << b for b in bits)) for t, share in enumerate(SHARES) for n in range(share + 1) for bits in combinations(range(WIDTH), n)]
+
+
+def _earlier(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether a pair of fingerprints that differ by x (two words) also meets in a table before this one."""
+    met = np.zeros(len(x), bool)
+    for t, share in enumerate(SHARES):
+        word, at = divmod(t, BLOCKS // 2)
+        block = x[:, word] >> U64((BLOCKS // 2 - 1 - at) * WIDTH) & U64((1 << WIDTH) - 1)
+        met |= (t < table) & (np.bitwise_count(block) <= share)
+    return met
+
+
+def _meet(pairs: bool):
+    """Within runs of whole buckets: each pair within the radius, or each query's number of rows within it."""
+
+    def fn(batches):
+        for run in grouped(batches, ["key"]):
+            key, n = (run.column(c).to_numpy() for c in ("key", "n"))
+            words = np.column_stack([run.column(c).to_numpy() for c in "ab"]).view(U64)
+            ask, held = np.flatnonzero(n == 0), np.flatnonzero(n > 0)
+            first, last = np.searchsorted(key[held], key[ask]), np.searchsorted(key[held], key[ask], "right")
+            total, at = np.cumsum(last - first), 0
+            while at < len(ask):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+                many = (last - first)[at:to]
+                q = np.repeat(np.arange(at, to), many)
+                m = held[np.arange(len(q)) - np.repeat(np.cumsum(many) - many - first[at:to], many)]
+                x = words[ask[q]] ^ words[m]
+                distance = np.bitwise_count(x).sum(axis=1)
+                near = np.flatnonzero(distance <= RADIUS)
+                near = near[~_earlier(x[near], key[ask[q[near]]] >> WIDTH)]
+                q, m, distance, at = ask[q[near]], m[near], distance[near], to
+                if pairs:
+                    columns = [words[q, 0], words[q, 1], words[m, 0], words[m, 1], distance]
+                else:
+                    some, of = np.unique(q, return_inverse=True)
+                    count = np.zeros(len(some), np.int64)
+                    np.add.at(count, of, n[m])
+                    columns = [words[some, 0], words[some, 1], count]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(U64).view(np.int64)) for c in columns], PAIRS if pairs else COUNTS)
+
+    return fn
+
+
+def _searched(queries: DataFrame, marks: DataFrame, pairs: bool) -> DataFrame:
+    """Queries and marks (fingerprint, n) meet by table and block, in Arrow, so that a group of near copies makes no rows for its pairs."""
+    tried = F.broadcast(queries.sparkSession.createDataFrame(changes(), "table int, bits int"))
+    asked = _halves_of(queries).withColumn("blocks", _blocks()).crossJoin(tried)
+    asked = asked.select(F.col("blocks")[F.col("table")].bitwiseXOR(F.col("bits")).alias("key"), "a", "b", F.lit(0).cast("long").alias("n"))
+    held = _halves_of(marks, "n").select(F.explode(_blocks()).alias("key"), "a", "b", "n")
+    dealt = asked.unionByName(held).repartition(spread(marks), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_meet(pairs), ", ".join(f"{c} long" for c in (PAIRS if pairs else COUNTS)))
+
+
+def _text(a: str, b: str) -> Column:
+    return F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (a, b))))
 
 
 def within_radius(queries: DataFrame, marks: DataFrame) -> DataFrame:
     """(fingerprint, near, distance): for each different fingerprint of queries all different ones of marks within RADIUS."""
-    left = _tables(queries.select("fingerprint").distinct())
-    right = _tables(marks.select("fingerprint").distinct())
-    l, r = left.alias("l"), right.alias("r")
-    distance = F.bit_count(F.col("l.a").bitwiseXOR(F.col("r.a"))) + F.bit_count(F.col("l.b").bitwiseXOR(F.col("r.b")))
-    met = l.join(r, (F.col("l.table") == F.col("r.table")) & (F.col("l.key") == F.col("r.key")) & (distance <= RADIUS))
-    return met.select("l.fingerprint", F.col("r.fingerprint").alias("near"), distance.cast("int").alias("distance")).distinct()
+    found = _searched(queries, marks.select("fingerprint", F.lit(1).cast("long").alias("n")), True)
+    return found.select(_text("a", "b").alias("fingerprint"), _text("near_a", "near_b").alias("near"), F.col("distance").cast("int").alias("distance"))
 
 
 def with_near(marked: DataFrame) -> DataFrame:
     """marked with n_near: for doc_ids divisible by EVERY, the number of other rows whose fingerprints are within RADIUS."""
     asks = F.col("doc_id") % EVERY == 0
     many = marked.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    found = within_radius(marked.where(asks), marked).join(many.withColumnRenamed("fingerprint", "near"), "near")
-    found = found.groupBy(F.col("fingerprint").alias("_mark")).agg((F.sum("n") - 1).alias("n_near"))
+    found = _searched(marked.where(asks), many, False).groupBy("a", "b").agg((F.sum("n") - 1).alias("n_near")).select(_text("a", "b").alias("_mark"), "n_near")
     ours, others = marked.where(asks), marked.where(~F.coalesce(asks, F.lit(False)))
     return ours.join(found, ours["fingerprint"] == found["_mark"], "left").drop("_mark").unionByName(others.withColumn("n_near", F.lit(None).cast("long")))

@@ -1,9 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from siftline.llm.fingerprints import RADIUS, fingerprint_all, with_near, within_radius
+from siftline.llm.fingerprints import BLOCKS, RADIUS, SHARES, changes, fingerprint_all, fingerprints, with_near, within_radius
+from siftline.llm.jaccard import shingles
+from siftline.llm.textkit import buffers
 
 from .conftest import sentence
 
@@ -64,3 +68,24 @@ def test_one_row_and_none(make_docs):
     assert with_near(fingerprint_all(docs.limit(0))).count() == 0
     twice = fingerprint_all(make_docs([(5, "same"), (5, "same"), (None, None)])).collect()
     assert len(twice) == 3
+
+
+def test_near_copies_lie_within_radius():
+    rng, pairs = random.Random(8), []
+    for _ in range(400):
+        words = sentence(rng, rng.randint(60, 300)).split(" ")
+        edits = list(words)
+        for _ in range(max(1, round(len(words) * rng.uniform(0.01, 0.024)))):
+            edits[rng.randrange(len(edits))] = sentence(rng, 1)
+        pairs += [" ".join(words), " ".join(edits)]
+    data, offsets = buffers(pa.array(pairs))
+    keys, bounds = shingles(data, offsets)
+    sets = [set(keys[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    like = np.array([len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+    marks = fingerprints(data, offsets)
+    far = np.unpackbits(marks[::2] ^ marks[1::2], axis=1).sum(axis=1)[(like >= 0.8) & (like < 0.9)]
+    assert len(far) > 100 and (far <= RADIUS).mean() >= 0.95
+
+
+def test_shares_cover_the_radius():
+    assert sum(s + 1 for s in SHARES) == RADIUS + 1 and len(changes()) == len(set(changes())) and len(SHARES) == BLOCKS
