@@ -3,7 +3,7 @@
 A text's set holds its shingles of SHINGLE words (all its words, if they are fewer). Texts that are equal are one class
 with one set. A set's MinHash tokens (coordinate, least hash) stand for it: two sets share a coordinate's token with
 probability of their Jaccard similarity. A run splits all sets by the token of one coordinate, and now and then of a second
-one; a bucket of over SMALL sets is split again, by coordinates that its path chooses, until it is small or LEVELS deep.
+one. Each run has coordinates of its own for each level, so runs are independent; the sketch that decides has others. A bucket of over SMALL sets is split again, by coordinates that its path chooses, until it is small or LEVELS deep.
 In a small bucket all sketches are compared by brute force, and sets whose sketches agree in LIKELY of the coordinates or
 more are tied together; a bucket that stays large is of sets that share all tokens of a path, and is tied as a whole. Runs
 are repeated until a pair at the threshold is missed with a probability of 1 - RECALL at most.
@@ -45,16 +45,34 @@ SECOND = 0.25
 SMALL, LEVELS = 192, 4
 #: Sets of a block, and shingles of a block, in the exact comparison.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 18
-_SEEDS = np.random.default_rng(31).integers(1, 1 << 63, SKETCH, dtype=U64) * U64(2) + U64(1)
 
 
-def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, second: float = SECOND, levels: int = 3) -> int:
-    """Runs after which a pair at the threshold has been in a common bucket with probability `recall`, if splits go `levels` deep.
+def _seeds(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=U64) * U64(2) + U64(1)
 
-    A pair shares at least one bucket of a level with probability q = 1 - (1 - s)(1 - second + second (1 - s)).
+
+_SEEDS = _seeds(SKETCH, 31)
+
+
+def unlike(threshold: float = THRESHOLD) -> float:
+    """Chance that the sketches of a pair at the threshold agree in less than LIKELY of the coordinates."""
+    return sum(math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in range(math.ceil(LIKELY * SKETCH)))
+
+
+def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, second: float = SECOND, levels: int = LEVELS) -> int:
+    """Runs after which a pair at the threshold has been tied with probability `recall`, if splits go `levels` deep.
+
+    A pair that shares a bucket shares at least one below it with probability q = 1 - (1 - s)(1 - second + second (1 - s)).
+    At the first level all sets have one path, so it is known whether a run has a second coordinate there.
     """
     met = 1 - (1 - threshold) * (1 - second * threshold)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met**levels))
+    missed, runs = 1.0, 0
+    allowed = 1 - recall - unlike(threshold)
+    while missed > allowed:
+        both = _coordinates(_root(runs, 1), runs, 0)[2][0]
+        first = 1 - (1 - threshold) ** (2 if both else 1)
+        missed, runs = missed * (1 - first * met ** (levels - 1)), runs + 1
+    return runs
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, different: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -86,59 +104,74 @@ def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return there.view(np.int64), back.view(np.int64)
 
 
-def sketches(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def sketches(keys: np.ndarray, bounds: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
     """MinHash coordinates of each set, 32 bits each; of an empty set all are 0."""
-    out, full = np.zeros((len(bounds) - 1, SKETCH), np.uint32), np.flatnonzero(np.diff(bounds))
+    out, full = np.zeros((len(bounds) - 1, len(seeds)), np.uint32), np.flatnonzero(np.diff(bounds))
     if len(full):
-        for i, seed in enumerate(_SEEDS):
+        for i, seed in enumerate(seeds):
             out[full, i] = (np.minimum.reduceat(keys * seed, bounds[full]) >> U64(32)).astype(np.uint32)
     return out
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    parts = []
-    for _, _, data, offsets in chunks(batch.column("text")):
-        keys, bounds = shingles(data, offsets, different=False)
-        parts.append((*marks(data, offsets), np.diff(bounds), sketches(keys, bounds)))
-    first, second, n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-    columns = [pa.array(first), pa.array(second), pa.array(n), pa.array([r.tobytes() for r in sketch], pa.binary())]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "mark", "mark2", "n", "sketch"])
+def _sketch(runs: int):
+    seeds = np.concatenate([_SEEDS, _seeds(2 * LEVELS * runs, 32)])
 
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = []
+        for _, _, data, offsets in chunks(batch.column("text")):
+            keys, bounds = shingles(data, offsets, different=False)
+            parts.append((*marks(data, offsets), np.diff(bounds), sketches(keys, bounds, seeds)))
+        first, second, n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = [pa.array(first), pa.array(second), pa.array(n), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sketch[:, :SKETCH], sketch[:, SKETCH:]))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "mark", "mark2", "n", "sketch", "tokens"])
 
-def _coordinates(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The coordinate that each path chooses, a second one, and whether that one is used."""
+    return fn
+
+
+def _root(run: int, n: int) -> np.ndarray:
+    return np.full(n, mix(np.array([run + 1], U64))[0], U64)
+
+
+def _coordinates(path: np.ndarray, run: int | np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token that each path chooses of its run's two for this level (counted from 0), the other one, and whether that one is used."""
     drawn = mix(path + U64(0x51))
-    return (drawn % U64(SKETCH)).astype(int), ((drawn >> U64(20)) % U64(SKETCH)).astype(int), ((drawn >> U64(40)) & U64(0xFFFF)) < U64(int(SECOND * 0x10000))
+    base, one = 2 * (LEVELS * run + level), (drawn & U64(1)).astype(int)
+    return base + one, base + 1 - one, ((drawn >> U64(40)) & U64(0xFFFF)) < U64(int(SECOND * 0x10000))
 
 
-def _split(sketch: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _split(tokens: np.ndarray, path: np.ndarray, run: int | np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and the paths below `path` that each takes."""
-    one, two, both = _coordinates(path)
+    one, two, both = _coordinates(path, run, level)
     rows = np.arange(len(path))
-    below = lambda c: mix((path * U64(0x9E3779B97F4A7C15)) ^ (sketch[rows, c].astype(U64) << U64(8)) ^ c.astype(U64))
-    both &= one != two
+    below = lambda c: mix((path * U64(0x9E3779B97F4A7C15)) ^ (tokens[rows, c].astype(U64) << U64(8)) ^ c.astype(U64))
     return np.concatenate([rows, rows[both]]), np.concatenate([below(one), below(two)[both]])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
+def _matrix(column: pa.Array, width: int = SKETCH) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
 
 
 def _roots(runs: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sketch, ids, paths = _matrix(batch.column("sketch")), [], []
+        tokens, ids, paths, of = _matrix(batch.column("tokens"), 2 * LEVELS * runs), [], [], []
         for run in range(runs):
-            rows, path = _split(sketch, np.full(len(sketch), mix(np.array([run + 1], U64))[0], U64))
+            rows, path = _split(tokens, _root(run, len(tokens)), run, 0)
             ids.append(rows)
             paths.append(path)
-        return pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(paths).view(np.int64))], ["set_id", "path"])
+            of.append(np.full(len(rows), run))
+        columns = [pa.array(np.concatenate(paths).view(np.int64)), pa.array(np.concatenate(of), pa.int32())]
+        return pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(np.concatenate(ids))), *columns], ["set_id", "path", "run"])
 
     return fn
 
 
-def _deeper(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows, path = _split(_matrix(batch.column("sketch")), batch.column("path").to_numpy().view(U64))
-    return pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(rows)), pa.array(path.view(np.int64))], ["set_id", "path"])
+def _deeper(runs: int, level: int):
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        run = batch.column("run").to_numpy().astype(int)
+        rows, path = _split(_matrix(batch.column("tokens"), 2 * LEVELS * runs), batch.column("path").to_numpy().view(U64), run, level)
+        return pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(rows)), pa.array(path.view(np.int64)), pa.array(run[rows], pa.int32())], ["set_id", "path", "run"])
+
+    return fn
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +229,14 @@ def _compare_bucket(batches):
 
 
 def ties(sets: DataFrame, runs: int) -> DataFrame:
-    """(a, b): ties between set_ids found by `runs` runs of chosen paths; sets: set_id, sketch."""
-    nodes, found = cut(map_batches(sets.select("set_id", "sketch"), _roots(runs), "set_id long, path long")), []
-    held = sets.select("set_id", "sketch")
+    """(a, b): ties between set_ids found by `runs` runs of chosen paths; sets: set_id, sketch, tokens of as many runs."""
+    nodes, found = cut(map_batches(sets.select("set_id", "tokens"), _roots(runs), "set_id long, path long, run int")), []
+    held = sets.select("set_id", "sketch", "tokens")
     for level in range(1, LEVELS + 1):
         # cut off, so that the join deals both sides anew and Spark can split a hot path
         counts = cut(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"))
         inside = cut(nodes.join(counts, "path"))
-        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held, "set_id")
+        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held.drop("tokens"), "set_id")
         found.append(cut(small.select("path", "set_id", "sketch").repartition(spread(sets), "path").sortWithinPartitions("path").mapInArrow(_compare_bucket, "a long, b long").distinct()))
         large = inside.where(F.col("members") > SMALL)
         if large.isEmpty():
@@ -213,8 +246,8 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
         else:
             # only sets of large buckets go on, so later levels move few sketches
             held = cut(held.join(large.select("set_id").distinct(), "set_id", "left_semi"))
-            split = large.select("path", "set_id").join(held, "set_id")
-            nodes = cut(map_batches(split.select("set_id", "path", "sketch"), _deeper, "set_id long, path long"))
+            split = large.select("path", "run", "set_id").join(held.drop("sketch"), "set_id")
+            nodes = cut(map_batches(split.select("set_id", "path", "run", "tokens"), _deeper(runs, level), "set_id long, path long, run int"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -309,11 +342,12 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     first: text_id, mark and mark2 of the text that stands for the class.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = cut(map_batches(texts, _sketch, "doc_id long, mark long, mark2 long, n long, sketch binary"))
+    runs = runs_for(recall)
+    sketched = cut(map_batches(texts, _sketch(runs), "doc_id long, mark long, mark2 long, n long, sketch binary, tokens binary"))
     # one set for each different text, with a number of its own
-    sets = sketched.groupBy("mark", "mark2").agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = sketched.groupBy("mark", "mark2").agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
     sets = cut(sets.withColumn("set_id", F.monotonically_increasing_id()))
-    tied = ties(sets.where("n > 0"), runs_for(recall))
+    tied = ties(sets.where("n > 0"), runs)
     clusters = cut(components(tied).select(F.col("id").alias("set_id"), F.col("root").alias("cluster")))
     # the text of one document for each set that is in a cluster
     chosen = sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", "mark", "mark2")

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siftline.llm.jaccard import components, forest, jaccard_join, keep_one, runs_for
+from siftline.llm.jaccard import LEVELS, RECALL, _root, _split, components, forest, jaccard_join, keep_one, runs_for, unlike
 
 from .conftest import sentence
 
@@ -104,3 +104,21 @@ def test_forest_and_runs():
         links[a, b] = links[b, a] = True
     assert forest(links).tolist() == [0, 1, 1, 0, 0]
     assert runs_for(0.99) < runs_for(0.99999)
+
+
+def test_runs_cover_all_levels():
+    rng, runs, n = np.random.default_rng(9), runs_for(), 4000
+    a = rng.integers(0, 1 << 32, (n, 2 * LEVELS * runs), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    met = []
+    for run in range(runs):
+        sides = []
+        for tokens in (a, b):
+            pair, path = np.arange(n), _root(run, n)
+            for level in range(LEVELS):
+                rows, path = _split(tokens[pair], path, run, level)
+                pair = pair[rows]
+            sides.append(set(zip(pair.tolist(), path.tolist(), strict=True)))
+        met.append(len({p for p, _ in sides[0] & sides[1]}) / n)
+    # runs have no token in common, so their misses multiply
+    assert np.prod([1 - m for m in met]) + unlike() <= 1 - RECALL
