@@ -100,7 +100,8 @@ def contained(passages: DataFrame, texts: DataFrame, size: int = 8) -> DataFrame
 
     A passage is looked up by that of its inner runs that the fewest texts have, so runs that many texts share do not
     multiply pairs. Inner runs leave out the first and the last word, which may be part of a longer word in a text. Runs
-    have `size` words; passages of fewer than size + 2 words go by single words. A passage needs three words.
+    have `size` words; passages of fewer than size + 2 words go by single words. Passages
+    of one or two words have no inner run; they are looked for in every text.
     """
     words = lambda df, key: df.select(key, F.split("text", " ").alias("w"))
     asked = words(passages, "item_id").where(F.size("w") >= 3)
@@ -108,7 +109,9 @@ def contained(passages: DataFrame, texts: DataFrame, size: int = 8) -> DataFrame
     parts = [_meet(asked.where(long), words(texts, "doc_id"), size), _meet(asked.where(~long), words(texts, "doc_id"), 1)]
     pairs = union(texts.sparkSession, parts)
     both = pairs.join(passages.select("item_id", F.col("text").alias("passage")), "item_id").join(texts.select("doc_id", "text"), "doc_id")
-    return both.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    found = both.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    short = passages.where(F.size(F.split("text", " ")) < 3).select("item_id", F.col("text").alias("passage"))
+    return found.unionByName(texts.join(F.broadcast(short), F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
 
 
 def _meet(asked: DataFrame, texts: DataFrame, size: int) -> DataFrame:

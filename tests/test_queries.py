@@ -35,3 +35,9 @@ def test_eval_leaks_reads_whole_texts(spark, tmp_path):
     got = {r.row: r.message.split("pattern ")[1] for r in QUERIES["eval_leaks"](spark, str(tmp_path)).collect()}
     assert sorted(got) == [2, 41, 81]
     assert (got[2], got[81]) == ('"Pick the best"', '"Answer only with the LETTER"')
+
+
+def test_short_passages_are_contained(spark, tmp_path):
+    spark.createDataFrame([(1, "ab"), (2, "b c"), (3, "one two three"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "xaby"), (2, "ab cd one two three"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["benchmark_contained"](spark, str(tmp_path)).collect())) == [(1, 1), (1, 2), (2, 2), (3, 2)]
