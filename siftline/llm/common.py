@@ -1,15 +1,25 @@
-"""Spark helpers that the operators share: tables, lineage cuts and ranks over a distributed order."""
+"""Spark helpers that the operators share: tables, lineage cuts, ranks over a distributed order, joins with hot keys, prefix folds."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows that come to Python at once, where the session does not say; Spark's own number would be up to gigabytes of long texts.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A key is hot if more rows have it than this, and than 1 / HOT_KEYS of all rows have; so HOT_KEYS of them are hot at most.
+HOT_ROWS, HOT_KEYS = 4096, 50_000
+#: Items of an array that are folded together.
+FOLD = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by any path that Spark's readers can open."""
@@ -17,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where the session names none, as in tests."""
+    """The session's checkpoint folder. Where none is named, a run on one machine gets a temporary one, a cluster an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -30,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """As cut, for rows with texts: a compressed table in the shared folder, of which later steps read the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch that returns a batch, or yields several smaller ones."""
 
@@ -42,7 +62,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df).mapInArrow(run, schema)
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands BATCH_ROWS rows at once to Python from now on, unless it has a number of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
 
 
 def spread(df: DataFrame) -> int:
@@ -50,6 +78,49 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has one row for each key and the number of rows that have it as column `n`.
+
+    Rows of hot keys stay where they are: the hot part of keyed is broadcast, HOT_KEYS rows at most. So no task gets
+    more rows of one key than the greater of HOT_ROWS and 1 / HOT_KEYS of all. Both sides are read twice: cut them before.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(keyed.where(F.col(n) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(n) <= most), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+def before_each(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each item of an array: `merge` over zero and all items before it.
+
+    Folded within blocks of FOLD items and over the blocks, so the work is near linear in the length.
+    """
+
+    def fold(items: Column, start: Column) -> Column:
+        """start, and what becomes of it with each item."""
+        seen = F.struct(start.alias("now"), F.array(start).alias("all"))
+
+        def step(s: Column, x: Column) -> Column:
+            now = merge(s["now"], x)
+            return F.struct(now.alias("now"), F.concat(s["all"], F.array(now)).alias("all"))
+
+        return F.aggregate(items, seen, step, lambda s: s["all"])
+
+    def folded(items: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(items) / FOLD).cast("int") - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * FOLD + 1, FOLD))
+        starts = F.slice(fold(F.transform(blocks, lambda b: F.aggregate(b, zero, merge)), zero), 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.slice(fold(b, s), 1, F.size(b))))
+
+    return bound(values, folded)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def with_rank(df: DataFrame, group: list[str], order: list[str], rank: str = "rank") -> DataFrame:
     """df with the 1-based place of each row within its group under an order, as a long.
 

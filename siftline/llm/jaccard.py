@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import cut, map_batches, spread
-from .textkit import U64, Words, chunks, mix, span_hash, windows
+from .common import cut, in_batches, join_hot, map_batches, spread
+from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -97,11 +96,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, different: bool = True) -> t
     return keys, np.searchsorted(of, np.arange(len(offsets)))
 
 
-def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text: of its bytes, and of its bytes from the end."""
-    n = len(data)
-    there, back = span_hash(data, offsets[:-1], offsets[1:]), span_hash(data[::-1], n - offsets[1:], n - offsets[:-1])
-    return there.view(np.int64), back.view(np.int64)
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with mark and mark2: two 64-bit hashes of the text, a null text as an empty one. They tell texts apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"mark": F.xxhash64(text), "mark2": F.xxhash64(F.lit("second"), text)})
 
 
 def sketches(keys: np.ndarray, bounds: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
@@ -120,10 +118,10 @@ def _sketch(runs: int):
         parts = []
         for _, _, data, offsets in chunks(batch.column("text")):
             keys, bounds = shingles(data, offsets, different=False)
-            parts.append((*marks(data, offsets), np.diff(bounds), sketches(keys, bounds, seeds)))
-        first, second, n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-        columns = [pa.array(first), pa.array(second), pa.array(n), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sketch[:, :SKETCH], sketch[:, SKETCH:]))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "mark", "mark2", "n", "sketch", "tokens"])
+            parts.append((np.diff(bounds), sketches(keys, bounds, seeds)))
+        n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = [pa.array(n), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sketch[:, :SKETCH], sketch[:, SKETCH:]))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "mark2")), *columns], ["doc_id", "mark", "mark2", "n", "sketch", "tokens"])
 
     return fn
 
@@ -233,9 +231,8 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
     nodes, found = cut(map_batches(sets.select("set_id", "tokens"), _roots(runs), "set_id long, path long, run int")), []
     held = sets.select("set_id", "sketch", "tokens")
     for level in range(1, LEVELS + 1):
-        # cut off, so that the join deals both sides anew and Spark can split a hot path
         counts = cut(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"))
-        inside = cut(nodes.join(counts, "path"))
+        inside = cut(join_hot(nodes, counts, "path", "members"))
         small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held.drop("tokens"), "set_id")
         found.append(cut(small.select("path", "set_id", "sketch").repartition(spread(sets), "path").sortWithinPartitions("path").mapInArrow(_compare_bucket, "a long, b long").distinct()))
         large = inside.where(F.col("members") > SMALL)
@@ -257,14 +254,15 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): for each id in edges (a, b) the least id that edges join it with, directly or not.
 
-    Rounds of least neighbours: every id and its root look for a smaller root around them. The edges shrink to stars.
+    Rounds of least neighbours: every id and its root look for a smaller root around them. The edges shrink to stars. The
+    edges of an id with very many of them stay spread out (join_hot).
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         # each node meets the least of its neighbours, and hands its other neighbours to it
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        handed = both.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        handed = join_hot(both, least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
         fresh = cut(handed.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         # done when every id has one edge, and no root has one of its own
         ends = fresh.groupBy("a").agg(F.count("*").alias("n"))
@@ -301,10 +299,10 @@ def _exact(batches):
     for run in grouped(batches, keys):
         starts = group_starts(run, keys)
         ids, block, i, j = (run.column(c).to_numpy() for c in ("set_id", "block", "i", "j"))
-        sets = run.column("shingles").to_pylist()
+        data, at = buffers(run.column("shingles"))
         found_a, found_n, found_root = [], [], []
         for a, b in zip(starts, np.append(starts[1:], run.num_rows), strict=True):
-            own = [np.frombuffer(s, U64) for s in sets[a:b]]
+            own = [np.frombuffer(data[x:y].tobytes(), U64) for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)]
             sizes, names = np.array([len(s) for s in own]), ids[a:b]
             if i[a] == j[a]:
                 shared = _counts(own, None)
@@ -325,15 +323,12 @@ def _exact(batches):
 
 
 def _with_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The shingles of each text that has the marks of its set; a row with the same doc_id and another text falls out."""
-    sets, right = [], []
-    for i, j, data, offsets in chunks(batch.column("text")):
+    sets = []
+    for _, _, data, offsets in chunks(batch.column("text")):
         keys, bounds = shingles(data, offsets)
         sets += [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        there, back = marks(data, offsets)
-        right.append((there == batch.column("mark").slice(i, j - i).to_numpy()) & (back == batch.column("mark2").slice(i, j - i).to_numpy()))
     columns = [batch.column("set_id"), batch.column("cluster"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["set_id", "cluster", "n", "shingles"]).filter(pa.array(np.concatenate(right)))
+    return pa.RecordBatch.from_arrays(columns, ["set_id", "cluster", "n", "shingles"])
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +336,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
 
     first: text_id, mark and mark2 of the text that stands for the class.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     runs = runs_for(recall)
     sketched = cut(map_batches(texts, _sketch(runs), "doc_id long, mark long, mark2 long, n long, sketch binary, tokens binary"))
     # one set for each different text, with a number of its own
@@ -350,23 +345,26 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     tied = ties(sets.where("n > 0"), runs)
     clusters = cut(components(tied).select(F.col("id").alias("set_id"), F.col("root").alias("cluster")))
     # the text of one document for each set that is in a cluster
-    chosen = sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", "mark", "mark2")
-    found = texts.join(chosen.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(chosen["text_id"])).select("set_id", "cluster", "mark", "mark2", "text")
+    chosen = sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2"))
+    same = texts["doc_id"].eqNullSafe(chosen["text_id"]) & (texts["mark"] == chosen["_mark"]) & (texts["mark2"] == chosen["_mark2"])
+    found = texts.join(chosen.hint("shuffle_hash"), same).select("set_id", "cluster", "text")
     members = cut(map_batches(found, _with_shingles, "set_id long, cluster long, n long, shingles binary").dropDuplicates(["set_id"]))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("many") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    placed = join_hot(members, cut(sizes.select("cluster", "many", blocks.alias("blocks"))), "cluster", "many")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     # a set goes to each pair of blocks that its block is in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.select("cluster", "set_id", "block", "shingles", other.alias("other"))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "shingles")
-    compared = cut(dealt.repartition(spread(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_exact, "set_id long, links long, root long"))
+    dealt = in_batches(dealt.repartition(spread(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"))
+    compared = cut(dealt.mapInArrow(_exact, "set_id long, links long, root long"))
     links = compared.groupBy("set_id").agg(F.sum("links").alias("n_links"))
     joined = components(compared.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
-    named = joined.join(sets.select(F.col("set_id").alias("id"), "text_id", "mark", "mark2"), "id")
     order = F.struct(F.col("text_id").isNull().alias("none"), "text_id", "mark", "mark2")
-    roots = named.groupBy("root").agg(F.min(order).alias("first"))
-    of_set = named.join(roots, "root").select(F.col("id").alias("set_id"), "first")
+    named = cut(joined.join(sets.select(F.col("set_id").alias("id"), order.alias("own")), "id"))
+    roots = cut(named.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")))
+    of_set = join_hot(named, roots, "root").select(F.col("id").alias("set_id"), "first")
     of_set = sets.select("mark", "mark2", "set_id", "text_id").join(of_set, "set_id", "left").join(links, "set_id", "left")
     first = F.coalesce("first", order)
     return sketched.select("doc_id", "mark", "mark2"), of_set.select("mark", "mark2", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), first.alias("first"))
@@ -374,22 +372,15 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
 
 def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, text_id and n_links of every document."""
-    marked, of_set = classes(docs, recall)
-    return marked.join(of_set, ["mark", "mark2"]).select("doc_id", F.col("first.text_id").alias("class_id"), "text_id", "n_links")
+    rows, of_set = classes(docs, recall)
+    return rows.join(of_set, ["mark", "mark2"]).select("doc_id", F.col("first.text_id").alias("class_id"), "text_id", "n_links")
 
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """docs, all columns, with one document of each class: the one with the least doc_id."""
+    """docs, all columns, with one document of each class: the one with the least doc_id. Rows never leave Spark."""
     _, of_set = classes(docs, recall)
-    kept = of_set.select("first.text_id", "first.mark", "first.mark2").distinct().select(F.struct("text_id", "mark", "mark2").alias("_kept"))
-
-    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = batch.column("text").cast(pa.string())
-        there, back = (np.concatenate(x) for x in zip(*(marks(data, offsets) for _, _, data, offsets in chunks(text)), strict=True))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(there), pa.array(back)], [*batch.schema.names, "_mark", "_mark2"])
-
-    marked = map_batches(docs, mark, StructType(list(docs.schema.fields)).add("_mark", "long").add("_mark2", "long"))
-    own = F.struct(F.col("doc_id").cast("long").alias("text_id"), F.col("_mark").alias("mark"), F.col("_mark2").alias("mark2"))
-    rows = marked.select(own.alias("_own"), F.struct(*docs.columns).alias("_row"))
+    kept = of_set.select(F.struct("first.text_id", "first.mark", "first.mark2").alias("_kept")).distinct()
+    own = marked(docs.select(F.col("doc_id").cast("long").alias("text_id"), "text", F.struct(*docs.columns).alias("_row")))
+    rows = own.select(F.struct("text_id", "mark", "mark2").alias("_own"), "_row")
     met = rows.join(kept.hint("shuffle_hash"), rows["_own"] == kept["_kept"], "left_semi")
     return met.dropDuplicates(["_own"]).select("_row.*")

@@ -24,12 +24,12 @@ _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=U64) * U64(2)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts in a row, and n + 1 offsets. A null is an empty text."""
+    """Bytes of all texts (or binaries) in a row, and n + 1 offsets. A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if column.type in (pa.large_string(), pa.large_binary()) else np.int32
     _, ends, data = column.buffers()
     offsets = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
