@@ -15,7 +15,8 @@ precede them, so that reading back takes that one away and is exact. Roles are p
 text under the loss mask is that of assistant turns; the mask is kept as spans of code points of the formatted string.
 
 DataFrame functions only. Edge cases: null texts and roles are empty; turns of one conversation lie in order of (turn, role,
-text), null turns first, so ties have a defined order and repeated rows stay. Rows with a null conv_id are one conversation.
+text), null turns first, so ties have a defined order and repeated rows stay. A row with a null conv_id is a conversation
+by itself.
 An empty table gives an empty result. Extra columns are no paths of a mapping and are ignored. One conversation is
 one string, so it has to fit a row; conversations are spread by their ids.
 """
@@ -29,23 +30,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from .common import before_each, bound
+
 OPEN, CLOSE = "### ", "\n</turn>\n"
 CONTROL = r"(\\*)(###|</turn>)"
 ESCAPED = r"\\(\\*)(###|</turn>)"
 TURNS = "array<struct<role:string,text:string>>"
-#: Names of speakers in other layouts.
+#: Names of speakers in the layout of `from` and `value`; in other layouts roles are kept as they stand.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """turns: (role or path of the role, path of the text) in order; `each` is the array that holds them, if one does."""
+    """turns: (role or path of the role, path of the text) in order; `each` is the array that holds them, if one does.
+
+    renamed: whether the layout's names of speakers are those of ROLES.
+    """
 
     layout: str
     needs: tuple[str, ...]
     may: tuple[str, ...]
     turns: tuple[tuple[str, str], ...]
     each: str | None = None
+    renamed: bool = False
 
     def path_sets(self) -> list[tuple[str, ...]]:
         """Every set of paths that fits, apart from none at all."""
@@ -55,7 +62,7 @@ class Mapping:
 MAPPINGS = (
     Mapping("turn rows", (), ("conv_id", "turn", "role", "text"), (("@role", "text"),)),
     Mapping("messages", ("messages[].role",), ("messages[].content",), (("@role", "content"),), "messages"),
-    Mapping("from and value", ("conversations[].from",), ("conversations[].value",), (("@from", "value"),), "conversations"),
+    Mapping("from and value", ("conversations[].from",), ("conversations[].value",), (("@from", "value"),), "conversations", True),
     Mapping("instruction", ("instruction",), ("system", "input", "output"), (("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
     Mapping("prompt and completion", ("prompt",), ("system", "completion"), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt and response", ("prompt", "response"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -93,7 +100,7 @@ def with_fingerprint(records: DataFrame) -> DataFrame:
 def _turns(mapping: Mapping, there: set[str]) -> Column:
     turn = lambda role, text: F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     names = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
-    spoken = lambda role: F.coalesce(names[F.lower(role)], role)
+    spoken = lambda role: F.coalesce(names[F.lower(role)], role) if mapping.renamed else role
 
     def column(path: str) -> Column:
         return F.col(path).cast("string") if path in there else F.lit(None).cast("string")
@@ -125,27 +132,36 @@ def canonical_turns(records: DataFrame) -> DataFrame:
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """conv_id and the turns of each conversation, from rows of one turn each (conv_id, turn, role, text)."""
+    """conv_id and the turns of each conversation, from rows of one turn each (conv_id, turn, role, text).
+
+    A row without a conv_id belongs to no other and is a conversation by itself.
+    """
     blank = F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("text")))  # a row of nulls only is an empty turn
-    made = canonical_turns(rows).select("conv_id", "turn", F.explode(F.coalesce("turns", blank)).alias("said"))
-    said = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn"), F.lit(-(2**62))).alias("turn"), "said.role", "said.text")))
-    return made.groupBy("conv_id").agg(said.alias("turns"))
+    made = canonical_turns(rows).select("conv_id", "turn", F.coalesce("turns", blank).alias("turns"))
+    apart = made.where("conv_id IS NULL").select("conv_id", "turns")
+    said = made.where("conv_id IS NOT NULL").select("conv_id", "turn", F.explode("turns").alias("said"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn"), F.lit(-(2**62))).alias("turn"), "said.role", "said.text")))
+    return said.groupBy("conv_id").agg(ordered.alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns")).unionByName(apart)
 
 
 def format_chat(chats: DataFrame) -> DataFrame:
-    """chats (turns as arrays of role and text) with `formatted` and `loss`, the spans of assistant texts, in place of turns."""
-    parts = F.transform("turns", lambda t: F.struct((t.role == "assistant").alias("learnt"), F.concat(F.lit(OPEN), F.url_encode(t.role), F.lit(":\n")).alias("head"), F.regexp_replace(t.text, CONTROL, r"\\$1$2").alias("body")))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def step(seen: Column, p: Column) -> Column:
-        begin = seen.at + F.length(p.head)
-        stop = begin + F.length(p.body)
-        span = F.array(F.struct(begin.alias("start"), stop.alias("stop")))
-        return F.struct((stop + len(CLOSE)).alias("at"), F.when(p.learnt, F.concat(seen.out, span)).otherwise(seen.out).alias("out"))
+    """chats (turns as arrays of role and text) with `formatted` and `loss` in place of turns.
 
+    loss: the spans of assistant texts, start and stop in code points, first and last in bytes, ends exclusive.
+    """
+    parts = F.transform("turns", lambda t: F.struct((t.role == "assistant").alias("learnt"), F.concat(F.lit(OPEN), F.url_encode(t.role), F.lit(":\n")).alias("head"), F.regexp_replace(t.text, CONTROL, r"\\$1$2").alias("body")))
     made = chats.withColumn("_parts", parts).drop("turns")
     formatted = F.array_join(F.transform("_parts", lambda p: F.concat(p.head, p.body, F.lit(CLOSE))), "")
-    loss = F.aggregate("_parts", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda seen: seen.out)
+    both = lambda chars, raw: F.struct(chars.alias("chars"), raw.alias("bytes"))
+    moved = F.transform("_parts", lambda p: both(F.length(p.head) + F.length(p.body) + len(CLOSE), F.octet_length(p.head) + F.octet_length(p.body) + len(CLOSE)))
+    at = before_each(moved, both(F.lit(0), F.lit(0)), lambda a, b: both(a.chars + b.chars, a.bytes + b.bytes))
+
+    def span(a: Column, p: Column) -> Column:
+        start, first = a.chars + F.length(p.head), a.bytes + F.octet_length(p.head)
+        ends = ((start + F.length(p.body)).alias("stop"), first.alias("first"), (first + F.octet_length(p.body)).alias("last"))
+        return F.when(p.learnt, F.struct(start.alias("start"), *ends))
+
+    loss = F.filter(F.zip_with(at, "_parts", span), lambda s: s.isNotNull())
     return made.withColumns({"formatted": formatted, "loss": loss}).drop("_parts")
 
 
@@ -162,4 +178,5 @@ def read_back(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, loss: Column) -> Column:
     """The text under the loss mask, unescaped span by span."""
-    return F.array_join(F.transform(loss, lambda s: _plain(F.substring(formatted, s.start + 1, s.stop - s.start))), "")
+    said = lambda raw: F.transform(loss, lambda s: _plain(F.substring(raw, s["first"] + 1, s["last"] - s["first"]).cast("string")))
+    return F.array_join(bound(formatted.cast("binary"), said), "")

@@ -109,7 +109,7 @@ chats AS (SELECT conv_id, count(*) AS n_turns,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
   string_agg('### ' || role || ':' || chr(10) || regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') || chr(10) || '</turn>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS formatted
-  FROM said GROUP BY conv_id)
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM said) GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, length(formatted) AS formatted_chars FROM chats
 """
 

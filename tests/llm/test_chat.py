@@ -15,9 +15,15 @@ def test_formatted_conversations_read_back(spark):
     rows += [(None, 0, "user", "no id", "x"), (7, None, "assistant", "null turn", "x"), (8, 2, "user", "tie", "x"), (8, 2, "user", "tie", "x"), (None, None, None, None, None)]
     chats = gather(spark.createDataFrame(rows, ROWS).repartition(4))
     done = format_chat(chats).withColumns({"turns": read_back(F.col("formatted")), "learnt": loss_text(F.col("formatted"), F.col("loss"))}).collect()
-    by = {}
+    by, alone = {}, []
     for c, t, role, text, _ in rows:
-        by.setdefault(c, []).append((-(2**62) if t is None else t, role or "", text or ""))
+        said = (-(2**62) if t is None else t, role or "", text or "")
+        if c is None:  # a conversation by itself
+            alone.append([said[1:]])
+        else:
+            by.setdefault(c, []).append(said)
+    assert sorted([(t.role, t.text) for t in r.turns] for r in done if r.conv_id is None) == sorted(alone)
+    done = [r for r in done if r.conv_id is not None]
     assert len(done) == len(by)
     for r in done:
         expected = sorted(by[r.conv_id])
@@ -45,6 +51,20 @@ def test_layouts_meet_in_canonical_turns(spark, tmp_path):
     assert marks[2] != marks[3] and marks[5] != marks[6]
 
 
+def test_roles_of_plain_rows_stand(spark):
+    rows = [(1, 0, "Human", "a", "x"), (1, 1, "gpt", "b", "x"), (1, 2, "assistant", "c", "x")]
+    (r,) = format_chat(gather(spark.createDataFrame(rows, ROWS))).withColumns({"turns": read_back(F.col("formatted")), "learnt": loss_text(F.col("formatted"), F.col("loss"))}).collect()
+    assert [t.role for t in r.turns] == ["Human", "gpt", "assistant"] and r.learnt == "c"
+
+
+def test_long_conversation(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("9 conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('é ', id, ' ### \\n') text", "'x' layout")
+    (r,) = format_chat(gather(rows)).withColumns({"turns": read_back(F.col("formatted")), "learnt": loss_text(F.col("formatted"), F.col("loss"))}).collect()
+    assert len(r.turns) == n and r.learnt == "".join(f"é {i} ### \n" for i in range(1, n, 2))
+    assert all(r.formatted[s.start : s.stop] == f"é {2 * k + 1} \\### \n" for k, s in enumerate(r.loss))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], ROWS)
     assert format_chat(gather(empty)).count() == 0
