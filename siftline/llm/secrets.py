@@ -22,6 +22,8 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import before_each, bound
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,9 +46,10 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    # to the END line, or over the lines of base64 if there is none
+    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:(?:[\r\n]+[A-Za-z]+-[A-Za-z]+: [^\r\n]{0,200}){0,4}[A-Za-z0-9+/=\r\n\t ]*-----END [A-Z ]{0,24}PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login", r"://[A-Za-z0-9._%+-]{1,64}:[A-Za-z0-9._%+!$&*-]{3,64}@"),
+    Rule("login", r"://[A-Za-z0-9._%+-]*:[A-Za-z0-9._%+!$&*-]{3,}@"),
 )
 RULES = BASE + MORE
 #: Alternatives of a string that are followed up, and characters of a class that count as alternatives.
@@ -129,39 +132,41 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.where("n = needed").groupBy("_key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Array of (start, stop) of the rule's matches in code points, end exclusive."""
+SPAN = "struct<start:int,rank:int,kind:string,stop:int,first:int,last:int>"
+
+
+def spans_of(text: Column, rule: Rule, rank: int = 0) -> Column:
+    """Array of the rule's matches as SPAN: start and stop in code points, first and last in bytes, ends exclusive."""
     pattern = F.lit(rule.pattern)
     whole, part = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    matches = F.zip_with(F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("n"), F.length(p).alias("group"))), between, lambda m, b: F.struct(F.length(b).alias("gap"), m.n.alias("n"), m.group.alias("group")))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    sized = lambda x, *more: F.struct(F.length(x).alias("chars"), F.octet_length(x).alias("bytes"), *more)
+    hits = F.zip_with(whole, part, lambda w, p: sized(w, F.length(p).alias("group")))
+    met = F.zip_with(F.transform(F.split(text, rule.pattern, -1), lambda g: sized(g)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+
+    def placed(met: Column) -> Column:
+        moved = F.transform(met, lambda m: F.struct((m.gap.chars + m.hit.chars).alias("chars"), (m.gap.bytes + m.hit.bytes).alias("bytes")))
+        zero = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("bytes"))
+        at = before_each(moved, zero, lambda a, b: F.struct((a.chars + b.chars).alias("chars"), (a.bytes + b.bytes).alias("bytes")))
 
-    def step(seen: Column, m: Column) -> Column:
-        begin = seen.at + m.gap
-        end = begin + m.n
-        span = F.array(F.struct(begin.alias("start"), end.alias("stop")))
-        return F.struct(F.coalesce(end, seen.at).alias("at"), F.when(m.group >= rule.least, F.concat(seen.out, span)).otherwise(seen.out).alias("out"))
+        def span(a: Column, m: Column) -> Column:
+            start, first = a.chars + m.gap.chars, a.bytes + m.gap.bytes
+            ends = ((start + m.hit.chars).alias("stop"), first.alias("first"), (first + m.hit.bytes).alias("last"))
+            return F.when(m.hit.group >= rule.least, F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), *ends))
 
-    return F.aggregate(matches, start, step, lambda seen: seen.out)
+        return F.filter(F.zip_with(at, met, span), lambda x: x.isNotNull())
+
+    return bound(F.filter(met, lambda m: m.hit.isNotNull()), placed).cast(f"array<{SPAN}>")
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The row of each document as _row, its text, and found: an array of (start, place of the kind, kind, stop) in that order."""
+    """The row of each document as _row, its text, and found: an array of SPAN in the order of its fields."""
     texts = keyed(docs)
     narrowed = candidates(postings(texts, rules), rules)
     joined = texts.join(narrowed.hint("shuffle_hash"), "_key", "left")
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
-
-    def named(rank: int, rule: Rule) -> Column:
-        spans = spans_of(F.col("text"), rule)
-        return F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s.stop.alias("stop")))
-
-    found = []
+    none, found = F.array().cast(f"array<{SPAN}>"), []
     for rank, rule in enumerate(rules):
         possible = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.col("text").rlike(rule.pattern)
-        found.append(F.when(possible, named(rank, rule)).otherwise(none))
+        found.append(F.when(possible, spans_of(F.col("text"), rule, rank)).otherwise(none))
     return joined.select("_row", "text", F.array_sort(F.concat(*found)).alias("found"))
 
 
@@ -183,13 +188,14 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Spans that overlap are masked together under the kind of the first. Texts without secrets stay as they are.
     """
     scanned = scan_secrets(docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    seen = before_each(F.transform("found", lambda s: s["last"]), F.lit(0), lambda a, b: F.greatest(a, b))
 
-    def step(seen: Column, s: Column) -> Column:
-        fresh = F.concat(seen.out, F.substring(F.col("text"), seen.at + 1, s.start - seen.at), F.lit("<"), s.kind, F.lit(">"))
-        return F.struct(F.greatest(seen.at, s.stop).alias("at"), F.when(s.start >= seen.at, fresh).otherwise(seen.out).alias("out"))
+    def pieces(raw: Column) -> Column:
+        kept = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+        masked = F.zip_with("found", seen, lambda s, at: F.when(s["first"] >= at, F.concat(kept(at, s["first"]), F.lit("<"), s.kind, F.lit(">"))).otherwise(""))
+        return F.concat(F.array_join(masked, ""), kept(F.array_max(F.transform("found", lambda s: s["last"])), F.octet_length(raw)))
 
-    masked = F.aggregate("found", start, step, lambda seen: F.concat(seen.out, F.substring(F.col("text"), seen.at + 1, F.length("text"))))
+    masked = bound(F.col("text").cast("binary"), pieces)
     scanned = scanned.withColumn("_masked", F.when(F.size("found") > 0, masked))
     columns = {c: F.col("_row")[c] for c in docs.columns}
     columns["text"] = F.coalesce(F.col("_masked"), F.col("_row")["text"])

@@ -66,6 +66,22 @@ def test_masking_keeps_the_rest(make_docs, planted):
     assert all(not base_spans(got[i].text) for i, _ in planted)
 
 
+def test_many_matches_in_one_text(make_docs):
+    text = " é".join(f"token=abcdef{i:06d}" for i in range(20_000))
+    docs = make_docs([(1, text)])
+    r = digest(scan_secrets(docs)).first()
+    assert r.n_assign == 20_000 and r.spans == ",".join(f"assign:{m.start()}:{m.end()}" for m in ASSIGN.finditer(text))
+    assert mask_secrets(docs).first().text == " é".join(["<assign>"] * 20_000)
+
+
+def test_keys_and_logins_are_masked_whole(make_docs):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq3" + "x" * 44] * 9)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES,00\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {key} b"), (2, f"a -----BEGIN PRIVATE KEY-----\n{body}== and prose"), (3, f"redis://:{'p' * 80}@host"), (4, "-----BEGIN PRIVATE KEY----- only said")]
+    got = {r.doc_id: r.text for r in mask_secrets(make_docs(rows)).collect()}
+    assert got == {1: "a <pem> b", 2: "a <pem> and prose", 3: "redis<login>host", 4: "<pem> only said"}
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]{24,}") is None and trigram_query("ab|c") is None
     assert trigram_query("(?:abc|abcd)x?") == [frozenset({"abc"})]
