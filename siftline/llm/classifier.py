@@ -2,8 +2,8 @@
 
 Statistics of each whole text (lengths, character and word shares, repetition, a compression ratio) are standardised by
 the training rows' means and deviations. FEATURES random cosines approximate a Gaussian kernel of width WIDTH over them.
-Each of PARTS partitions sums its rows' products into one matrix; the driver adds these PARTS matrices of fixed size and
-solves for the ridge weights. Ridge scores are put in bins of 1 / BINS, and isotonic regression over the bins (pool adjacent
+Each partition of PART_ROWS rows sums their products into one matrix; a second stage adds these matrices in as many tasks as
+the square root of their number, so the driver gets few of them, adds them and solves for the ridge weights. Ridge scores are put in bins of 1 / BINS, and isotonic regression over the bins (pool adjacent
 violators) gives the probability of label 1. All labelled rows that are not held out are used; there is no sample.
 
 Edge cases: a null text is an empty one and gets a score like any other. A null doc_id is never held out and has no label.
@@ -13,19 +13,22 @@ every score is the share of label 1 (0.5 without any). Null labels are left out.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut, map_batches
+from .common import cut, cut_table, in_batches, map_batches
 from .textkit import U64, Words, chunks, mix, per_text, repeated, span_hash, windows
 
 FEATURES = 320
 WIDTH = 3.0
 RIDGE = 1e-3
-PARTS = 16
+PART_ROWS = 20_000
 BINS = 1000
 SEED = 11
 THRESHOLD = 0.3
@@ -160,8 +163,17 @@ def fit(train: DataFrame) -> Model:
                 total += z.T @ np.column_stack([z, y[i : i + 4096]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = train.select(*NAMES, "quality").repartition(PARTS).mapInArrow(products, "sums binary").collect()
-    total = sum(np.frombuffer(r.sums).reshape(FEATURES + 1, FEATURES + 2) for r in parts)
+    def added(batches):
+        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        for batch in batches:
+            for sums in batch.column("sums"):
+                total += np.frombuffer(sums.as_py()).reshape(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = math.ceil(rows / PART_ROWS)
+    summed = in_batches(train.select(*NAMES, "quality").repartition(parts)).mapInArrow(products, "sums binary")
+    summed = summed.repartition(math.ceil(math.sqrt(parts))).mapInArrow(added, "sums binary").collect()
+    total = sum(np.frombuffer(r.sums).reshape(FEATURES + 1, FEATURES + 2) for r in summed)
     model.weights = np.linalg.solve(total[:, :-1] + RIDGE * rows / FEATURES * np.eye(FEATURES + 1), total[:, -1])
 
     def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,13 +210,30 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are predicted good, all columns. The statistics are worked out once to fit and once to judge."""
-    stats = described(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    """The documents that are predicted good, all columns.
+
+    The rows are written once with their statistics beside them as one binary column; the model is fitted on these and
+    they are judged by them, so no text is described twice.
+    """
+    names = docs.columns
+    own = next(c for k in range(len(names) + 1) if (c := f"_statistics{k or ''}") not in names)
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = np.concatenate([statistics(data, offsets) for _, _, data, offsets in chunks(batch.column("text").cast(pa.string()))]).astype(np.float32)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in rows], pa.binary())], [*batch.schema.names, own])
+
+    def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column(own).to_pylist()), np.float32).reshape(-1, len(NAMES))
+
+    def spelt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in unpacked(batch).T.copy())], ["doc_id", *NAMES])
+
+    rows = cut_table(map_batches(docs, describe, StructType(list(docs.schema.fields)).add(own, "binary")))
+    stats = map_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), own), spelt, "doc_id long" + "".join(f", {c} float" for c in NAMES))
     model = train_model(stats, labels)
 
     def good(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = batch.column("text").cast(pa.string())
-        rows = np.concatenate([statistics(data, offsets) for _, _, data, offsets in chunks(text)]).astype(np.float32)
-        return batch.filter(pa.array(model.score(rows.astype(np.float64)) >= THRESHOLD))
+        kept = batch.filter(pa.array(model.score(unpacked(batch).astype(np.float64)) >= THRESHOLD))
+        return pa.RecordBatch.from_arrays([kept.column(c) for c in names], names)
 
-    return map_batches(docs, good, docs.schema)
+    return map_batches(rows, good, docs.schema)
