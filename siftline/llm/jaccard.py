@@ -5,8 +5,8 @@ with one set. A set's MinHash tokens (coordinate, least hash) stand for it: two
 probability of their Jaccard similarity. A run splits all sets by the token of one coordinate, and now and then of a second
 one. Each run has coordinates of its own for each level, so runs are independent; the sketch that decides has others. A bucket of over SMALL sets is split again, by coordinates that its path chooses, until it is small or LEVELS deep.
 In a small bucket all sketches are compared by brute force, and sets whose sketches agree in LIKELY of the coordinates or
-more are tied together; a bucket that stays large is of sets that share all tokens of a path, and is tied as a whole. Runs
-are repeated until a pair at the threshold is missed with a probability of 1 - RECALL at most.
+more are tied together. A large bucket of which DENSE or more are like its first set is one of near copies: it is tied as a
+whole and not split, and so is a bucket that stays large, whose sets share all tokens of a path. Runs are repeated until a pair at the threshold is missed with a probability of 1 - RECALL at most.
 
 Ties join sets into clusters, so a cluster holds every pair that any run has found. Within a cluster the exact sets of all
 pairs are compared by brute force, in pairs of blocks of at most BLOCK sets, so that no task holds a whole cluster; each
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ RECALL = 0.99999
 SKETCH, LIKELY = 64, 0.55
 #: Chance of a second coordinate in a split: similar sets then keep 0.8 * 1.25 = 1 common bucket at each level on average.
 SECOND = 0.25
-SMALL, LEVELS = 192, 4
+SMALL, LEVELS = 128, 4
+DENSE = 0.75
 #: Sets of a block, and shingles of a block, in the exact comparison.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 
@@ -112,16 +114,18 @@ def sketches(keys: np.ndarray, bounds: np.ndarray, seeds: np.ndarray = _SEEDS) -
 
 
 def _sketch(runs: int):
+    """Of each text the sketch, the tokens of all runs for the first split (roots) and those for later ones (deep)."""
     seeds = np.concatenate([_SEEDS, _seeds(2 * LEVELS * runs, 32)])
+    cuts = [SKETCH, SKETCH + 2 * runs]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for _, _, data, offsets in chunks(batch.column("text")):
             keys, bounds = shingles(data, offsets, different=False)
             parts.append((np.diff(bounds), sketches(keys, bounds, seeds)))
-        n, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-        columns = [pa.array(n), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sketch[:, :SKETCH], sketch[:, SKETCH:]))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "mark2")), *columns], ["doc_id", "mark", "mark2", "n", "sketch", "tokens"])
+        n, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = [pa.array(n), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in np.split(values, cuts, axis=1))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "mark2")), *columns], ["doc_id", "mark", "mark2", "n", "sketch", "roots", "deep"])
 
     return fn
 
@@ -131,9 +135,12 @@ def _root(run: int, n: int) -> np.ndarray:
 
 
 def _coordinates(path: np.ndarray, run: int | np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token that each path chooses of its run's two for this level (counted from 0), the other one, and whether that one is used."""
+    """The token that each path chooses of its run's two for this level (counted from 0), the other one, and whether that one is used.
+
+    Tokens of level 0 are counted among `roots`, those of other levels among `deep`.
+    """
     drawn = mix(path + U64(0x51))
-    base, one = 2 * (LEVELS * run + level), (drawn & U64(1)).astype(int)
+    base, one = 2 * ((LEVELS - 1) * run + level - 1 if level else run), (drawn & U64(1)).astype(int)
     return base + one, base + 1 - one, ((drawn >> U64(40)) & U64(0xFFFF)) < U64(int(SECOND * 0x10000))
 
 
@@ -151,7 +158,7 @@ def _matrix(column: pa.Array, width: int = SKETCH) -> np.ndarray:
 
 def _roots(runs: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, ids, paths, of = _matrix(batch.column("tokens"), 2 * LEVELS * runs), [], [], []
+        tokens, ids, paths, of = _matrix(batch.column("roots"), 2 * runs), [], [], []
         for run in range(runs):
             rows, path = _split(tokens, _root(run, len(tokens)), run, 0)
             ids.append(rows)
@@ -166,7 +173,7 @@ def _roots(runs: int):
 def _deeper(runs: int, level: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         run = batch.column("run").to_numpy().astype(int)
-        rows, path = _split(_matrix(batch.column("tokens"), 2 * LEVELS * runs), batch.column("path").to_numpy().view(U64), run, level)
+        rows, path = _split(_matrix(batch.column("deep"), 2 * (LEVELS - 1) * runs), batch.column("path").to_numpy().view(U64), run, level)
         return pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(rows)), pa.array(path.view(np.int64)), pa.array(run[rows], pa.int32())], ["set_id", "path", "run"])
 
     return fn
@@ -226,29 +233,41 @@ def _compare_bucket(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+    like = (_matrix(batch.column("sketch")) == _matrix(batch.column("lead"))).mean(axis=1) >= LIKELY
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "run", "set_id", "least")), pa.array(like.astype(np.int32))], ["path", "run", "set_id", "least", "alike"])
+
+
 def ties(sets: DataFrame, runs: int) -> DataFrame:
-    """(a, b): ties between set_ids found by `runs` runs of chosen paths; sets: set_id, sketch, tokens of as many runs."""
-    nodes, found = cut(map_batches(sets.select("set_id", "tokens"), _roots(runs), "set_id long, path long, run int")), []
-    held = sets.select("set_id", "sketch", "tokens")
+    """(a, b): ties between set_ids found by `runs` runs of chosen paths; sets: set_id, sketch, roots and deep of as many runs."""
+    nodes, found = cut(map_batches(sets.select("set_id", "roots"), _roots(runs), "set_id long, path long, run int")), []
+    held, tie = sets.select("set_id", "sketch", "deep"), (F.col("set_id").alias("a"), F.col("least").alias("b"))
     for level in range(1, LEVELS + 1):
         counts = cut(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"))
         inside = cut(join_hot(nodes, counts, "path", "members"))
-        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held.drop("tokens"), "set_id")
-        found.append(cut(small.select("path", "set_id", "sketch").repartition(spread(sets), "path").sortWithinPartitions("path").mapInArrow(_compare_bucket, "a long, b long").distinct()))
+        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held.select("set_id", "sketch"), "set_id")
+        small = small.repartition(spread(sets), "path").sortWithinPartitions("path")
+        found.append(cut(in_batches(small).mapInArrow(_compare_bucket, "a long, b long").distinct()))
         large = inside.where(F.col("members") > SMALL)
         if large.isEmpty():
             break
         if level == LEVELS:
-            found.append(large.where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct())
-        else:
-            # only sets of large buckets go on, so later levels move few sketches
-            held = cut(held.join(large.select("set_id").distinct(), "set_id", "left_semi"))
-            split = large.select("path", "run", "set_id").join(held.drop("sketch"), "set_id")
-            nodes = cut(map_batches(split.select("set_id", "path", "run", "tokens"), _deeper(runs, level), "set_id long, path long, run int"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return cut(out.distinct())
+            found.append(cut(large.where("set_id <> least").select(*tie).distinct()))
+            break
+        lead = counts.where(F.col("members") > SMALL).join(held.select(F.col("set_id").alias("least"), F.col("sketch").alias("lead")), "least")
+        seen = join_hot(large.select("path", "run", "set_id").join(held.select("set_id", "sketch"), "set_id"), cut(lead), "path", "members")
+        seen = cut(map_batches(seen.select("path", "run", "set_id", "least", "sketch", "lead"), _alike, "path long, run int, set_id long, least long, alike int"))
+        density = cut(seen.groupBy("path").agg(F.count("*").alias("n"), (F.avg("alike") >= DENSE).alias("dense")))
+        seen = cut(join_hot(seen, density, "path"))
+        found.append(cut(seen.where("dense AND set_id <> least").select(*tie).distinct()))
+        rest = seen.where("NOT dense")
+        if rest.isEmpty():
+            break
+        # only sets of buckets that are split go on, so later levels move few sketches
+        held = cut(held.join(rest.select("set_id").distinct(), "set_id", "left_semi"))
+        split = rest.select("path", "run", "set_id").join(held.select("set_id", "deep"), "set_id")
+        nodes = cut(map_batches(split.select("set_id", "path", "run", "deep"), _deeper(runs, level), "set_id long, path long, run int"))
+    return cut(reduce(DataFrame.unionByName, found).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,11 +357,12 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     """
     texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     runs = runs_for(recall)
-    sketched = cut(map_batches(texts, _sketch(runs), "doc_id long, mark long, mark2 long, n long, sketch binary, tokens binary"))
-    # one set for each different text, with a number of its own
-    sets = sketched.groupBy("mark", "mark2").agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
-    sets = cut(sets.withColumn("set_id", F.monotonically_increasing_id()))
-    tied = ties(sets.where("n > 0"), runs)
+    sketched = map_batches(texts, _sketch(runs), "doc_id long, mark long, mark2 long, n long, sketch binary, roots binary, deep binary")
+    sketched = cut(sketched.withColumn("set_id", F.monotonically_increasing_id()))
+    # one set for each different text: the row with the least doc_id stands for it
+    row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "set_id", "n")).alias("row")
+    sets = cut(sketched.groupBy("mark", "mark2").agg(row).select("mark", "mark2", F.col("row.doc_id").alias("text_id"), "row.set_id", "row.n"))
+    tied = ties(sketched.join(sets.where("n > 0").select("set_id"), "set_id", "left_semi"), runs)
     clusters = cut(components(tied).select(F.col("id").alias("set_id"), F.col("root").alias("cluster")))
     # the text of one document for each set that is in a cluster
     chosen = sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2"))

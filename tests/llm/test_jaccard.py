@@ -1,10 +1,12 @@
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 
+from siftline.llm import common
 from siftline.llm.jaccard import LEVELS, RECALL, _root, _split, components, forest, jaccard_join, keep_one, runs_for, unlike
 
 from .conftest import sentence
@@ -74,6 +76,53 @@ def test_links_and_classes_equal_brute_force(make_docs, rows):
     assert got == sorted(brute(rows), key=key)
 
 
+def test_large_groups_over_many_partitions(spark, make_docs, monkeypatch):
+    """A large group of equal texts, one of near copies and a passage that many share, with every key of some rows a hot one."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    rng = random.Random(21)
+    base, same, passage = sentence(rng, 150), sentence(rng, 90), sentence(rng, 40)
+    rows = [(i, same) for i in range(700)] + [(1000 + i, edited(rng, base, rng.randint(0, 4))) for i in range(450)]
+    rows += [(2000 + i, f"{sentence(rng, rng.randint(20, 60))} {passage}") for i in range(300)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        docs = make_docs(rows).repartition(31)
+        expected = brute(rows)
+        assert sorted(map(tuple, jaccard_join(docs).collect())) == sorted(expected)
+        assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted({c for _, c, _, _ in expected})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_recall_on_all_pairs_of_sf01(spark):
+    """Every link of sf0.1, found by counting shared shingles of all texts, is in a class, and every text has all its links."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    texts = {}
+    for i, t in rows:
+        texts[t] = min(i, texts.get(t, i))
+    names, sizes, of = list(texts.values()), [], defaultdict(list)
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        own = {hash(tuple(w[j : j + 5])) for j in range(len(w) - 4)} or {hash(tuple(w))}
+        sizes.append(len(own))
+        for x in own:
+            of[x].append(k)
+    shared = Counter()
+    for members in of.values():
+        shared.update(combinations(members, 2))
+    links = Counter()
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (sizes[a] + sizes[b] - n) - 1e-9:
+            links[names[a]] += 1
+            links[names[b]] += 1
+    assert sum(links.values()) > 60
+    got = {r.text_id: r.n_links for r in jaccard_join(docs).collect()}
+    assert {i: n for i, n in got.items() if n} == dict(links)
+
+
 def test_one_document_of_each_class_stays(make_docs, rows):
     docs = make_docs([*rows, (7, "the same id, another text")])
     kept = keep_one(docs)
@@ -108,15 +157,15 @@ def test_forest_and_runs():
 
 def test_runs_cover_all_levels():
     rng, runs, n = np.random.default_rng(9), runs_for(), 4000
-    a = rng.integers(0, 1 << 32, (n, 2 * LEVELS * runs), dtype=np.uint32)
-    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    a = [rng.integers(0, 1 << 32, (n, 2 * k * runs), dtype=np.uint32) for k in (1, LEVELS - 1)]
+    b = [np.where(rng.random(x.shape) < 0.8, x, rng.integers(0, 1 << 32, x.shape, dtype=np.uint32)) for x in a]
     met = []
     for run in range(runs):
         sides = []
         for tokens in (a, b):
             pair, path = np.arange(n), _root(run, n)
             for level in range(LEVELS):
-                rows, path = _split(tokens[pair], path, run, level)
+                rows, path = _split(tokens[min(level, 1)][pair], path, run, level)
                 pair = pair[rows]
             sides.append(set(zip(pair.tolist(), path.tolist(), strict=True)))
         met.append(len({p for p, _ in sides[0] & sides[1]}) / n)
