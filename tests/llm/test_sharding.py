@@ -42,3 +42,25 @@ def test_written_shards_hold_whole_rows(spark, make_docs, odd_rows, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1]) for r in odd_rows)
     assert {r.shard for r in back.collect()} == {0, 1, 2}
+
+
+def test_any_partitioning(spark, make_docs, odd_rows):
+    """One full partition among empty ones, uneven ones, and columns of clashing names."""
+    tables = [
+        spark.range(0, 3000, numPartitions=1).union(spark.range(0).repartition(3)),
+        spark.range(0).repartition(2).union(spark.range(0, 3000, numPartitions=1)).union(spark.range(0).repartition(2)),
+        spark.range(0, 2990, numPartitions=1).union(spark.range(2990, 3000, numPartitions=7)),
+    ]
+    for df in tables:
+        df = df.selectExpr("id", "id _place", "1 shard", "id key", "id _key", "id _at", "id _part", "id place")
+        out = shuffle_into_shards(df)
+        got = out.collect()
+        assert sorted(r.id for r in got) == list(range(3000)) and all(r._place == r.id == r.key == r._at == r._part == r.place for r in got)
+        assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(40) for k in range(75)]
+        assert sorted(out.columns) == sorted(df.columns + ["slot"])
+
+
+def test_one_file_at_sf01(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = measured(shuffle_into_shards(docs), "shard", "slot").collect()
+    assert len(got) == docs.count() and Counter(r.shard for r in got) == Counter({s: 250 for s in range(40)})
