@@ -3,8 +3,10 @@
 Texts are cut into pre-tokens by the public pattern, worked out on arrays of code points. Equal pre-tokens of a chunk are
 encoded once. A pre-token that is itself in the vocabulary is one token; the others are rows of padded matrices, one
 matrix for each range of lengths. In each round every row merges its leftmost pair of least rank: ranks of pairs come from
-a hash table, rows are compacted to the left, and rows without a pair leave the matrix. Pre-tokens of over LONGEST bytes
-take the same merges from a heap, which does not grow with the square of the length. Spans are told apart by 64-bit hashes.
+a hash table, rows are compacted to the left, and rows without a pair leave the matrix. Rows of over SHORT bytes merge all
+their pairs of that rank in one round, from the left, unless one of these merges makes a pair of a lower rank, which would
+come before the others; so the ids are the same. Only runs of over LONGEST bytes without any boundary take the same merges
+from a heap, as the work in a matrix grows with length times rounds. Spans are told apart by 64-bit hashes.
 
 Edge cases: a null text is an empty one, with no tokens. Repeated rows each give a row. Null doc_ids are kept. Special
 tokens are ordinary text. An empty table gives an empty result. Extra columns are ignored.
@@ -29,8 +31,10 @@ from .textkit import U64, chunks, span_hash
 
 #: Bytes of text worked on at once: more find more pre-tokens equal, and take more memory.
 CHUNK = 1 << 20
-LONGEST = 256
-WIDTHS = (4, 8, 12, 16, 24, 48, LONGEST)
+SHORT, LONGEST = 48, 1 << 16
+WIDTHS = (4, 8, 12, 16, 24, SHORT, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, LONGEST)
+#: Bytes of a matrix's rows that are merged together.
+MATRIX = 1 << 20
 NO_RANK = np.iinfo(np.int32).max
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -165,8 +169,53 @@ class Vocabulary:
             ranks[inner, place[inner] - 1] = self.pair_ranks(tokens[inner, place[inner] - 1], best[inner])
         return ids, counts
 
+    def _merge_all(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _merge_matrix, with all of a row's pairs of least rank in one round."""
+        n, width = tokens.shape
+        ids, counts = np.full((n, width), -1, np.int32), np.zeros(n, np.int64)
+        rows = np.arange(n)
+        tokens = np.column_stack([tokens, np.full(n, -1, np.int32)])
+        ranks = self.pair_ranks(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(n, width)
+        while len(rows):
+            best = ranks.min(axis=1)
+            done = best == NO_RANK
+            if done.any():
+                ids[rows[done], : tokens.shape[1] - 1] = tokens[done, :-1]
+                counts[rows[done]] = (tokens[done] >= 0).sum(axis=1)
+                rows, tokens, ranks, best = rows[~done], tokens[~done], ranks[~done], best[~done]
+                if not len(rows):
+                    break
+            hit, columns = ranks == best[:, None], np.arange(ranks.shape[1])
+            fresh = hit.copy()
+            fresh[:, 1:] &= ~hit[:, :-1]
+            hit &= (columns - np.maximum.accumulate(np.where(fresh, columns, 0), axis=1)) % 2 == 0  # in a run, every second
+            row, at = np.nonzero(hit)
+            made, last = best[row], tokens.shape[1] - 1
+            after = np.where(at + 2 <= last, tokens[row, np.minimum(at + 2, last)], -1)
+            prior = np.where(at > 0, np.where((at > 1) & hit[row, np.maximum(at - 2, 0)], made, tokens[row, np.maximum(at - 1, 0)]), -1)
+            early = np.unique(row[np.minimum(self.pair_ranks(made, after), self.pair_ranks(prior, made)) < made])
+            if len(early):
+                first = hit[early].argmax(axis=1)
+                hit[early] = False
+                hit[early, first] = True
+                row, at = np.nonzero(hit)
+            kept = tokens >= 0
+            kept[:, 1:] &= ~hit
+            to = np.cumsum(kept, axis=1) - 1
+            tokens[row, at] = best[row]
+            place = to[row, at]
+            row_kept, at_kept = np.nonzero(kept[:, :-1])
+            used, place_kept = int(to[:, -1].max()) + 1, to[row_kept, at_kept]
+            fewer, lower = np.full((len(rows), used + 1), -1, np.int32), np.full((len(rows), used), NO_RANK, np.int32)
+            fewer[row_kept, place_kept], lower[row_kept, place_kept] = tokens[row_kept, at_kept], ranks[row_kept, at_kept]
+            lower[row, place] = self.pair_ranks(fewer[row, place], fewer[row, place + 1])
+            row, place = row[place > 0], place[place > 0] - 1
+            lower[row, place] = self.pair_ranks(fewer[row, place], fewer[row, place + 1])
+            tokens, ranks = fewer, lower
+        return ids, counts
+
     def _merge_heap(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
+        """The same merges for one very long piece: a heap of (rank, place) over a linked list."""
         ids = [int(self.single[b]) for b in piece]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         parts = {i: piece[i : i + 1] for i in range(len(ids))}
@@ -199,13 +248,14 @@ class Vocabulary:
         found = [(np.flatnonzero(whole), self.hashed[place[whole]])]
         low = 0
         for width in WIDTHS:
-            rows = np.flatnonzero(~whole & (lengths > low) & (lengths <= width))
-            low = width
-            if len(rows):
+            of_width = np.flatnonzero(~whole & (lengths > low) & (lengths <= width))
+            low, many = width, max(1, MATRIX // width) if width > SHORT else max(1, len(of_width))
+            for i in range(0, len(of_width), many):
+                rows = of_width[i : i + many]
                 index = starts[rows, None] + np.arange(width)
                 inside = index < ends[rows, None]
                 tokens = np.where(inside, self.single[data[np.minimum(index, len(data) - 1)]], -1).astype(np.int32)
-                ids, counts[rows] = self._merge_matrix(tokens)
+                ids, counts[rows] = (self._merge_all if width > SHORT else self._merge_matrix)(tokens)
                 found.append((np.repeat(rows, counts[rows]), ids[ids >= 0]))
         for row in np.flatnonzero(~whole & (lengths > LONGEST)):
             ids = self._merge_heap(data[starts[row] : ends[row]].tobytes())
@@ -258,7 +308,7 @@ def encode_chunk(words: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tu
 
 
 def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """docs without text, with n_tokens and ids, an array of integers."""
+    """docs without text, with n_tokens and ids, an array of integers; these take the place of columns of such names."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
 
