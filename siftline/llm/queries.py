@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .chat import format_chat, gather, loss_text, read_back
 from .classifier import classify
-from .common import table
+from .common import cut_table, table
 from .fingerprints import fingerprint_all, with_near
 from .jaccard import jaccard_join
 from .mixing import mixture
 from .quality_rules import quality_rules
 from .secrets import BASE, RULES, digest, scan_secrets
 from .sharding import measured, shuffle_into_shards
-from .token_counts import count_with_edits, three_edits
+from .token_counts import edit_trees, keep_trees, three_edits
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = shuffle_into_shards(measured(table(spark, sf_dir, "documents")))
+    dealt = measured(shuffle_into_shards(table(spark, sf_dir, "documents")), "shard", "slot")
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -64,7 +64,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_with_edits(table(spark, sf_dir, "documents").withColumn("edits", three_edits()))
+    kept = cut_table(keep_trees(table(spark, sf_dir, "documents")))
+    edited = edit_trees(kept.withColumn("edits", three_edits()), texts=False)
+    return edited.select("doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_chars").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), F.col("pretokens_before").alias("n_pretokens"), "reencoded")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

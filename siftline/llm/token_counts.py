@@ -1,10 +1,13 @@
 """Token counts that follow edits: a segment tree over each document's pre-tokens, re-encoding only what an edit touches.
 
-The leaves of a tree are blocks of BLOCK pre-tokens, the nodes hold sums of code points and of tokens. An edit (start,
-stop, replacement, in code points of the text as it then is) goes down the sums to the pre-tokens it touches. Two
-pre-tokens before it may look at what it changes, so cutting starts there; it goes on until a cut of the new text falls on
-one of the old text behind the edit, from where both agree. Only the pre-tokens in between are encoded, and the sums
-from their blocks to the root are set anew. The total is that of encoding the edited text as a whole.
+keep_trees makes a table of documents with their trees, to be written and kept; edit_trees applies edits to rows of such a
+table and gives rows of the same form, to be kept in turn, so edits can come at any later time. A tree is five arrays:
+the sizes of its leaves, which are blocks of about BLOCK pre-tokens, the widths (code points) and numbers of tokens of the
+pre-tokens, and the sums of both over the nodes. An edit (start, stop, replacement, in code points of the text as it then
+is) goes down the sums to the pre-tokens it touches. Two pre-tokens before it may look at what it changes, so cutting
+starts there; it goes on until a cut of the new text falls on one of the old text behind the edit, from where both agree.
+Only the pre-tokens in between are encoded, and the sums from their blocks to the root are set anew. The total is that of
+encoding the edited text as a whole. A block that has grown to over MOST pre-tokens makes the tree be laid out anew.
 
 Edge cases: a null text is an empty one; positions beyond a text mean its end, and stop before start means start. Null
 replacements are empty, null edits none. Edits of a document apply in the order given. Repeated rows each give a row and
@@ -13,6 +16,8 @@ null doc_ids are kept. An empty table gives an empty result. Extra columns are i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,7 +28,7 @@ from .bpe import CHUNK, Vocabulary, default_ranks, pretokens, read_ranks, vocabu
 from .common import map_batches
 from .textkit import chunks
 
-BLOCK = 16
+BLOCK, MOST = 16, 256
 #: Pre-tokens before an edit whose ends may depend on what it changes.
 CONTEXT = 2
 EDITS = "array<struct<start:long,stop:long,text:string>>"
@@ -32,15 +37,33 @@ EDITS = "array<struct<start:long,stop:long,text:string>>"
 class Tree:
     """Segment tree over the pre-tokens of one text: their widths in code points and their numbers of tokens."""
 
-    def __init__(self, widths: np.ndarray, tokens: np.ndarray):
-        self.blocks = [(widths[i : i + BLOCK].tolist(), tokens[i : i + BLOCK].tolist()) for i in range(0, len(widths), BLOCK)] or [([], [])]
-        size = 1 << (len(self.blocks) - 1).bit_length()
-        self.sums = [[0] * (2 * size), [0] * (2 * size)]
-        for side, sums in enumerate(self.sums):
-            sums[size : size + len(self.blocks)] = [sum(b[side]) for b in self.blocks]
+    def __init__(self, blocks: list[tuple[list[int], list[int]]], sums: list[list[int]]):
+        self.blocks, self.sums, self.size = blocks, sums, len(sums[0]) // 2
+
+    @classmethod
+    def built(cls, widths: np.ndarray, tokens: np.ndarray) -> Tree:
+        blocks = [(widths[i : i + BLOCK].tolist(), tokens[i : i + BLOCK].tolist()) for i in range(0, len(widths), BLOCK)] or [([], [])]
+        size = 1 << (len(blocks) - 1).bit_length()
+        sums = [[0] * (2 * size), [0] * (2 * size)]
+        for side, of_side in enumerate(sums):
+            of_side[size : size + len(blocks)] = [sum(b[side]) for b in blocks]
             for node in range(size - 1, 0, -1):
-                sums[node] = sums[2 * node] + sums[2 * node + 1]
-        self.size = size
+                of_side[node] = of_side[2 * node] + of_side[2 * node + 1]
+        return cls(blocks, sums)
+
+    @classmethod
+    def kept(cls, sizes: list[int], widths: list[int], tokens: list[int], chars: list[int], counts: list[int]) -> Tree:
+        """From the arrays of columns()."""
+        ends = np.cumsum(sizes).tolist()
+        return cls([(widths[e - n : e], tokens[e - n : e]) for e, n in zip(ends, sizes, strict=True)], [chars, counts])
+
+    def columns(self) -> tuple[list[int], ...]:
+        """Sizes of the blocks, widths, tokens, and the nodes' sums of both."""
+        widths, tokens = ([x for b in self.blocks for x in b[side]] for side in (0, 1))
+        if max(len(b[0]) for b in self.blocks) > MOST:
+            fresh = Tree.built(np.array(widths), np.array(tokens))
+            self.blocks, self.sums, self.size = fresh.blocks, fresh.sums, fresh.size
+        return [len(b[0]) for b in self.blocks], widths, tokens, *self.sums
 
     @property
     def chars(self) -> int:
@@ -134,7 +157,7 @@ def _trees(words: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> list[Tre
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     widths = lead[ends] - lead[starts] if len(starts) else counts
-    return [Tree(widths[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [Tree.built(widths[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def count_tokens(words: Vocabulary, pieces: list[str], known: dict[str, int]) -> None:
@@ -147,24 +170,54 @@ def count_tokens(words: Vocabulary, pieces: list[str], known: dict[str, int]) ->
         known.update(zip(fresh, counts.tolist(), strict=True))
 
 
-SCHEMA = "doc_id long, n_tokens long, edited_chars long, edited_tokens long, n_pretokens long, reencoded long"
+TREE = "sizes array<int>, widths array<int>, tokens array<int>, node_chars array<long>, node_tokens array<long>"
+KEPT = f"doc_id long, text string, {TREE}, n_chars long, n_tokens long, n_pretokens long"
+EDITED = "tokens_before long, pretokens_before long, reencoded long"
 
 
-def count_with_edits(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """docs (doc_id, text, edits): tokens before and after the edits, pre-tokens of the text and those that were re-encoded."""
-    import public_tokenizers
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
 
+def _stored(trees: list[Tree]) -> list[pa.Array]:
+    """The columns of TREE, n_chars, n_tokens and n_pretokens."""
+    arrays = [t.columns() for t in trees]
+    lists = [pa.array([a[k] for a in arrays], pa.list_(pa.int32() if k < 3 else pa.int64())) for k in range(5)]
+    return [*lists, *(pa.array(x, pa.int64()) for x in ([t.chars for t in trees], [t.tokens for t in trees], [len(a[1]) for a in arrays]))]
+
+
+def keep_trees(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """doc_id, text, the columns of TREE, n_chars, n_tokens and n_pretokens of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
-    cutting = public_tokenizers.PATTERN
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, pattern, rows = vocabulary(shared.value), regex.compile(cutting), []
-        texts, edits = batch.column("text"), batch.column("edits")
-        for i, j, data, offsets in chunks(texts, CHUNK):
-            trees = _trees(words, data, offsets)
-            before = [(t.tokens, sum(len(b[0]) for b in t.blocks)) for t in trees]
-            plain = [x or "" for x in texts[i:j].to_pylist()]
-            todo = [[e for e in x or [] if e is not None] for x in edits[i:j].to_pylist()]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(shared.value)
+        for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
+            rows = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *_stored(_trees(words, data, offsets))], _names(KEPT))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return map_batches(texts, run, KEPT)
+
+
+def edit_trees(kept: DataFrame, ranks: str | None = None, texts: bool = True) -> DataFrame:
+    """kept (with a column `edits`) after the edits, in the same form, and for each row tokens_before, pretokens_before and reencoded.
+
+    reencoded: the pre-tokens that were encoded. Without `texts`, the texts and trees are left out and only the counts are returned.
+    """
+    import public_tokenizers
+
+    shared = kept.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
+    cutting, names = public_tokenizers.PATTERN, _names(TREE)
+    schema = f"{KEPT}, {EDITED}" if texts else f"doc_id long, n_chars long, n_tokens long, n_pretokens long, {EDITED}"
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, pattern = vocabulary(shared.value), regex.compile(cutting)
+        for i, j, *_ in chunks(batch.column("text"), CHUNK):
+            rows = batch.slice(i, j - i)
+            trees = [Tree.kept(*arrays) for arrays in zip(*(rows.column(c).to_pylist() for c in names), strict=True)]
+            plain = rows.column("text").to_pylist()
+            todo = [[e for e in x or [] if e is not None] for x in rows.column("edits").to_pylist()]
             touched = np.zeros(j - i, np.int64)
             known: dict[str, int] = {}
             for turn in range(max(map(len, todo), default=0)):  # the same edit of all texts together: their pieces are encoded at once
@@ -178,11 +231,11 @@ def count_with_edits(docs: DataFrame, ranks: str | None = None) -> DataFrame:
                 for k, ((block, place, until), pieces) in found.items():
                     trees[k].replace(block, place, until, [len(p) for p in pieces], [known[p] for p in pieces])
                     touched[k] += len(pieces)
-            rows += [(n, t.chars, t.tokens, many, int(x)) for (n, many), t, x in zip(before, trees, touched, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
+            *lists, chars, tokens, many = _stored(trees)
+            own = [pa.array(plain, pa.string()), *lists] if texts else []
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *own, chars, tokens, many, rows.column("n_tokens"), rows.column("n_pretokens"), pa.array(touched)], _names(schema))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast(EDITS).alias("edits"))
-    return map_batches(texts, run, SCHEMA)
+    return map_batches(kept.select("doc_id", "text", *names, "n_tokens", "n_pretokens", F.col("edits").cast(EDITS).alias("edits")), run, schema)
 
 
 def three_edits(text: str = "text") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import bpe
 from siftline.llm.bpe import decode, encode, round_trip
-from siftline.llm.token_counts import count_with_edits, three_edits
+from siftline.llm.token_counts import edit_trees, keep_trees, three_edits
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-HARD = ["it's we're I'll 's ' s ''s x''s\n's 're'd 'l", "hello   world  \n\n x\t\ty ", " 　 é's 123abc 1²½ <|endoftext|>", "ab" * 400 + " " + "x1" * 300, "q" * 3000, "\n a", "'", "日本語 テキスト"]
+HARD = ["it's we're I'll 's ' s ''s x''s\n's 're'd 'l", "hello   world  \n\n x\t\ty ", " 　 é's 123abc 1²½ <|endoftext|>", "ab" * 400 + " " + "x1" * 300, "q" * 3000, "a" * 71 + " " + "の" * 700, "abcab" * 900, "\n a", "'", "日本語 テキスト"]
 
 
 def test_ids_equal_the_library_and_decode(make_docs, odd_rows, library):
@@ -52,32 +52,54 @@ def test_any_text_equals_the_library(library, parts):
     assert ids.tolist() == library.encode_ordinary(text)
 
 
-def test_counts_after_edits_equal_a_full_recount(spark, make_docs, odd_rows, library):
+def test_wide_matrices_equal_the_library(library):
+    rng = random.Random(7)
+    words = bpe.vocabulary(bpe.read_ranks(bpe.default_ranks()))
+    for n in (49, 130, 700, 5000, 70_000):
+        for letters in ("ab", "ethransio", "日本語の人あい", "é"):
+            piece = "".join(rng.choice(letters) for _ in range(n)).encode()
+            data = bpe.np.frombuffer(piece, bpe.np.uint8)
+            ids, (many,) = words.encode_pieces(data, bpe.np.array([0]), bpe.np.array([len(data)]))
+            assert ids.tolist() == library.encode_ordinary(piece.decode()) and many == len(ids)
+
+
+def edited_text(text, edits):
+    for start, stop, new in edits:
+        start = min(start, len(text))
+        text = text[:start] + (new or "") + text[min(max(stop, start), len(text)) :]
+    return text
+
+
+def test_kept_trees_follow_later_edits(spark, make_docs, odd_rows, library, tmp_path):
+    """Trees are written, edited, written again and edited again; the counts are those of the texts encoded afresh."""
     rng = random.Random(3)
-    rows = [r[:2] for r in odd_rows if r[0] is not None] + [(2000 + i, t) for i, t in enumerate(HARD)] + [(3000 + i, "".join(rng.choice(["a", " ", "\n", "'s", "1", "é ", "!"]) for _ in range(rng.randint(0, 60)))) for i in range(300)]
-    edits = {}
-    for i, t in rows:
-        n = len(t or "")
-        edits[i] = [(a := rng.randint(0, n + 2), rng.choice([a, a + 1, a + 5, a - 1, n + 9]), rng.choice(["", " ", "x", "'s", "\n\n ", " word", None])) for _ in range(rng.randint(0, 5))]
-    given_edits = spark.createDataFrame([(i, e) for i, e in edits.items()], "id long, edits array<struct<start:long,stop:long,text:string>>").dropDuplicates(["id"])
-    docs = make_docs(rows)
-    got = count_with_edits(docs.join(given_edits, docs["doc_id"] == given_edits["id"])).collect()
-    assert len(got) == len(rows)
-    texts = dict(rows)
-    for r in got:
-        text = texts[r.doc_id] or ""
-        assert r.n_tokens == len(library.encode_ordinary(text))
-        for start, stop, new in edits[r.doc_id]:
-            start = min(start, len(text))
-            text = text[:start] + (new or "") + text[min(max(stop, start), len(text)) :]
-        assert (r.edited_chars, r.edited_tokens) == (len(text), len(library.encode_ordinary(text))), (r.doc_id, edits[r.doc_id])
+    rows = [r[:2] for r in odd_rows if r[0] is not None and r[0] != 104] + [(2000 + i, t) for i, t in enumerate(HARD)] + [(3000 + i, "".join(rng.choice(["a", " ", "\n", "'s", "1", "é ", "!"]) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    texts = {i: t or "" for i, t in rows}
+    keep_trees(make_docs(rows)).write.parquet(str(tmp_path / "0"))
+    for turn in range(2):
+        kept = spark.read.parquet(str(tmp_path / str(turn)))
+        edits = {}
+        for i, t in texts.items():
+            n = len(t)
+            edits[i] = [(a := rng.randint(0, n + 2), rng.choice([a, a + 1, a + 5, a - 1, n + 9]), rng.choice(["", " ", "x", "'s", "\n\n ", " word", None, "many words " * 200])) for _ in range(rng.randint(0, 5))]
+        given_edits = spark.createDataFrame(list(edits.items()), "id long, edits array<struct<start:long,stop:long,text:string>>")
+        edit_trees(kept.join(given_edits, kept["doc_id"] == given_edits["id"])).write.parquet(str(tmp_path / str(turn + 1)))
+        got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / str(turn + 1))).collect()}
+        assert set(got) == set(texts)
+        for i, r in got.items():
+            assert r.tokens_before == len(library.encode_ordinary(texts[i]))
+            texts[i] = edited_text(texts[i], edits[i])
+            ids = library.encode_ordinary(texts[i])
+            assert (r.text, r.n_chars, r.n_tokens) == (texts[i], len(texts[i]), len(ids)), (i, edits[i])
+            assert sum(r.tokens) == r.node_tokens[1] == len(ids) and sum(r.widths) == r.node_chars[1] == len(texts[i]) and sum(r.sizes) == len(r.widths) == r.n_pretokens
 
 
 def test_edits_reencode_little(make_docs, odd_rows):
-    docs = make_docs(odd_rows)
-    rows = count_with_edits(docs.withColumn("edits", three_edits())).collect()
+    kept = keep_trees(make_docs(odd_rows))
+    rows = edit_trees(kept.withColumn("edits", three_edits()), texts=False).collect()
     assert len(rows) == len(odd_rows)
     long = [r for r in rows if r.doc_id == 103][0]
-    assert long.n_pretokens > 8000 and 0 < long.reencoded < 60
-    plain = count_with_edits(docs.withColumn("edits", F.lit(None))).collect()
-    assert all(r.n_tokens == r.edited_tokens and r.reencoded == 0 for r in plain)
+    assert long.pretokens_before > 8000 and 0 < long.reencoded < 60
+    plain = edit_trees(kept.withColumn("edits", F.lit(None))).collect()
+    assert all(r.tokens_before == r.n_tokens and r.reencoded == 0 for r in plain)
+    assert keep_trees(make_docs(odd_rows).limit(0)).count() == 0

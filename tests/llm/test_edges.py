@@ -11,12 +11,12 @@ from siftline.llm.mixing import mixture
 from siftline.llm.quality_rules import quality_rules
 from siftline.llm.secrets import digest, scan_secrets
 from siftline.llm.sharding import measured, shuffle_into_shards
-from siftline.llm.token_counts import count_with_edits, three_edits
+from siftline.llm.token_counts import edit_trees, keep_trees, three_edits
 
 JOBS = {
     "secrets": lambda d, _: digest(scan_secrets(d)), "jaccard": lambda d, _: jaccard_join(d), "sharding": lambda d, _: shuffle_into_shards(measured(d)),
     "fingerprints": lambda d, _: with_near(fingerprint_all(d)), "rules": lambda d, _: quality_rules(d), "mixing": lambda d, _: mixture(d),
-    "counts": lambda d, _: count_with_edits(d.withColumn("edits", three_edits())), "bpe": lambda d, _: round_trip(d), "encode": lambda d, _: encode(d),
+    "counts": lambda d, _: edit_trees(keep_trees(d).withColumn("edits", three_edits())), "bpe": lambda d, _: round_trip(d), "encode": lambda d, _: encode(d),
     "classifier": classify, "good": keep_good,
 }
 
