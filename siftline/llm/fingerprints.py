@@ -22,11 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, spread
+from .common import cut, in_batches, map_batches, spread
 from .jaccard import grouped
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
@@ -101,13 +100,13 @@ def fingerprint_all(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like the edited and the next document's ones are."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("_hash", F.xxhash64("text"))
-    ranged = keyed.repartitionByRange(spread(docs), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").drop("_hash")
+    ranged = keyed.repartitionByRange(spread(docs), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").drop("_hash").withColumn("part", F.spark_partition_id().cast("long"))
 
     def walk(batches):
-        part, held = TaskContext.get().partitionId(), None
+        held = None
 
         def edge(kind, row):
-            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[1:]), pa.array([kind]), pa.array([part]), row.column("text")], [*NAMES[1:], "edge", "part", "text"]).add_column(0, "doc_id", row.column("doc_id"))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[1:]), pa.array([kind]), row.column("part"), row.column("text")], [*NAMES[1:], "edge", "part", "text"]).add_column(0, "doc_id", row.column("doc_id"))
 
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for batch in batches:
@@ -117,7 +116,7 @@ def fingerprint_all(docs: DataFrame) -> DataFrame:
                 yield edge(0, batch.slice(0, 1))
                 rows = batch
             else:
-                rows = pa.RecordBatch.from_arrays([pa.concat_arrays([held.column(c), batch.column(c)]) for c in ("doc_id", "text")], ["doc_id", "text"])
+                rows = pa.RecordBatch.from_arrays([pa.concat_arrays([held.column(c), batch.column(c)]) for c in ("doc_id", "text", "part")], ["doc_id", "text", "part"])
             for i, j, *_ in chunks(rows.column("text").slice(0, rows.num_rows - 1), CHUNK):
                 done = _compare(rows.column("text").slice(i, j - i + 1))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(i, j - i), *done, pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.string())], [*NAMES, "edge", "part", "text"])
@@ -125,7 +124,7 @@ def fingerprint_all(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield edge(1, held)
 
-    walked = cut(ranged.mapInArrow(walk, RESULT + ", edge long, part long, text string"))
+    walked = cut(in_batches(ranged).mapInArrow(walk, RESULT + ", edge long, part long, text string"))
     firsts = walked.where("edge = 0").select("part", F.col("text").alias("next_text"))
     parts = sorted(r.part for r in firsts.select("part").collect())  # one number for each partition
     following = walked.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part long, follower long")
@@ -206,7 +205,7 @@ def _searched(queries: DataFrame, marks: DataFrame, pairs: bool) -> DataFrame:
     asked = asked.select(F.col("blocks")[F.col("table")].bitwiseXOR(F.col("bits")).alias("key"), "a", "b", F.lit(0).cast("long").alias("n"))
     held = _halves_of(marks, "n").select(F.explode(_blocks()).alias("key"), "a", "b", "n")
     dealt = asked.unionByName(held).repartition(spread(marks), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_meet(pairs), ", ".join(f"{c} long" for c in (PAIRS if pairs else COUNTS)))
+    return in_batches(dealt).mapInArrow(_meet(pairs), ", ".join(f"{c} long" for c in (PAIRS if pairs else COUNTS)))
 
 
 def _text(a: str, b: str) -> Column:

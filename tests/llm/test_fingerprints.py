@@ -1,13 +1,17 @@
 import hashlib
 import random
+import re
+import struct
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftline.llm.fingerprints import BLOCKS, RADIUS, SHARES, changes, fingerprint_all, fingerprints, with_near, within_radius
+from siftline.llm.fingerprints import BITS, BLOCKS, LONGEST, RADIUS, SHARES, changes, fingerprint_all, fingerprints, with_near, within_radius
 from siftline.llm.jaccard import shingles
-from siftline.llm.textkit import buffers
+from siftline.llm.textkit import buffers, span_hash
 
 from .conftest import sentence
 
@@ -89,3 +93,55 @@ def test_near_copies_lie_within_radius():
 
 def test_shares_cover_the_radius():
     assert sum(s + 1 for s in SHARES) == RADIUS + 1 and len(changes()) == len(set(changes())) and len(SHARES) == BLOCKS
+
+
+def plain_fingerprint(text):
+    """The votes of a text's words and pairs of words, one term and one bit at a time."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    terms = [(hash_of(w), min(len(w), LONGEST)) for w in words]
+    terms += [(pair_of(terms[k][0], terms[k + 1][0]), terms[k][1] + terms[k + 1][1]) for k in range(len(words) - 1)]
+    out = 0
+    for bit in range(BITS):
+        votes = sum(weight if bits_of(h)[bit] else -weight for h, weight in terms)
+        out = out << 1 | (votes > 0)
+    return f"{out:032x}"
+
+
+@lru_cache(None)
+def hash_of(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(span_hash(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def finish(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def pair_of(a, b):
+    return finish((a * 0x9E3779B97F4A7C15 + b) % 2**64)
+
+
+@lru_cache(None)
+def bits_of(h):
+    """128 bits in the order of the fingerprint's bytes, each byte from its high bit."""
+    raw = struct.pack("<QQ", finish((h + 1) % 2**64), finish(h ^ 0xA5A5A5A55A5A5A5A))
+    return [byte >> k & 1 for byte in raw for k in range(7, -1, -1)]
+
+
+def test_bits_equal_plain_votes(make_docs, odd_rows):
+    """Also of ties, repeated rows, null ids and the long texts."""
+    docs = make_docs(odd_rows)
+    texts = [t or "" for _, t, *_ in odd_rows]
+    got = fingerprint_all(docs).collect()
+    assert Counter(r.fingerprint for r in got) == Counter(map(plain_fingerprint, texts))
+    ordered = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0))  # null first; 104 comes twice with one text
+    assert [r[0] for r in ordered] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
+    edited = []
+    for k, (_, t, *_) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1] or ""
+        t = t or ""
+        edited.append(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+    assert Counter(r.edited_fingerprint for r in got) == Counter(map(plain_fingerprint, edited))
+    assert Counter(r.edited_sha256 for r in got) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in edited)
