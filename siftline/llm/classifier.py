@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, cut_table, in_batches, map_batches
+from .common import cut, in_batches, map_batches, unused
 from .textkit import U64, Words, chunks, mix, per_text, repeated, span_hash, windows
 
 FEATURES = 320
@@ -212,11 +212,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are predicted good, all columns.
 
-    The rows are written once with their statistics beside them as one binary column; the model is fitted on these and
+    The rows are kept once with their statistics beside them as one binary column; the model is fitted on these and
     they are judged by them, so no text is described twice.
     """
     names = docs.columns
-    own = next(c for k in range(len(names) + 1) if (c := f"_statistics{k or ''}") not in names)
+    own = unused("_statistics", names)
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = np.concatenate([statistics(data, offsets) for _, _, data, offsets in chunks(batch.column("text").cast(pa.string()))]).astype(np.float32)
@@ -228,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def spelt(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in unpacked(batch).T.copy())], ["doc_id", *NAMES])
 
-    rows = cut_table(map_batches(docs, describe, StructType(list(docs.schema.fields)).add(own, "binary")))
+    rows = cut(map_batches(docs, describe, StructType(list(docs.schema.fields)).add(own, "binary")))
     stats = map_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), own), spelt, "doc_id long" + "".join(f", {c} float" for c in NAMES))
     model = train_model(stats, labels)
 

@@ -73,6 +73,11 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or with a number behind it if a column has it already."""
+    return next(c for k in range(len(columns) + 1) if (c := f"{name}{k or ''}") not in columns)
+
+
 def spread(df: DataFrame) -> int:
     """The number of partitions that a shuffle of this session has."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

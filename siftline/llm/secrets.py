@@ -14,10 +14,9 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
-from re import _constants as sre_constants
-from re import _parser as sre_parse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +55,75 @@ RULES = BASE + MORE
 MOST_STRINGS, MOST_CHARACTERS = 64, 6
 
 
+_GROUP = re.compile(r"\?(?:[a-z]*:|P<\w+>)")
+_QUANTIFIER = re.compile(r"(?:([?*+])|\{(\d+)(,?)(\d*)\})[?+]?")
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v"}
+
+
+def parts_of(pattern: str) -> list[list[tuple]]:
+    """The branches of a pattern, each a list of (options, least, most).
+
+    options: the characters that a part may be, a list of branches for a group, or None if they are many or unknown; most:
+    None without a bound. Look-around and back references are refused.
+    """
+    at = 0
+
+    def escape() -> set[str] | None:
+        nonlocal at
+        c, at = pattern[at], at + 1
+        if c == "x":
+            at += 2
+            return {chr(int(pattern[at - 2 : at], 16))}
+        if c.isdigit():
+            raise ValueError(f"back reference in {pattern}")
+        return {c} if not c.isalpha() else {_ESCAPED[c]} if c in _ESCAPED else None
+
+    def one_of() -> set[str] | None:
+        nonlocal at
+        found, known, begin = set(), pattern[at] != "^", at
+        at += not known
+        while pattern[at] != "]" or at == begin:
+            c, at = pattern[at], at + 1
+            members = escape() if c == "\\" else {c}
+            if members and pattern[at] == "-" and pattern[at + 1] != "]":
+                last, at = pattern[at + 1], at + 2
+                members = {chr(k) for k in range(ord(min(members)), ord(last) + 1)}
+            known &= members is not None
+            found |= members or set()
+        at += 1
+        return found if known else None
+
+    def branches() -> list[list[tuple]]:
+        nonlocal at
+        found: list[list[tuple]] = [[]]
+        while at < len(pattern) and pattern[at] != ")":
+            c, at = pattern[at], at + 1
+            if c == "|":
+                found.append([])
+                continue
+            if c in "^$":
+                continue
+            if c == "(":
+                if pattern[at] == "?":
+                    head = _GROUP.match(pattern, at)
+                    if not head:
+                        raise ValueError(f"look-around in {pattern}")
+                    at = head.end()
+                options = branches()
+                at += 1
+            else:
+                options = one_of() if c == "[" else escape() if c == "\\" else None if c == "." else {c}
+            least, most = 1, 1
+            if many := _QUANTIFIER.match(pattern, at):
+                at = many.end()
+                mark, low, comma, high = many.groups()
+                least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[mark] if mark else (int(low), int(high) if high else None if comma else int(low))
+            found[-1].append((options, least, most))
+        return found
+
+    return branches()
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Sets of lower-case trigrams of which every match contains one set whole; None if nothing is certain."""
     clauses: list[set[frozenset[str]]] = []
@@ -65,43 +133,35 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
         if sets and frozenset() not in sets:
             clauses.append({a for a in sets if not any(b < a for b in sets)})
 
-    def exact(node) -> set[str] | None:
+    def exact(options, least: int, most: int | None) -> set[str] | None:
         """All the strings that a part can match, if they are few."""
-        kind, value = node
-        if kind is sre_constants.LITERAL:
-            return {chr(value).lower()}
-        if kind is sre_constants.IN and all(k is sre_constants.LITERAL for k, _ in value):
-            found = {chr(v).lower() for _, v in value}
-            return found if len(found) <= MOST_CHARACTERS else None
-        if kind is sre_constants.SUBPATTERN:
-            return exact_all(value[3])
-        if kind is sre_constants.BRANCH:
-            parts = [exact_all(p) for p in value[1]]
-            return None if any(p is None for p in parts) else set().union(*parts)
-        if kind is sre_constants.MAX_REPEAT and value[1] <= 5:
-            part = exact_all(value[2])
-            if part is None or len(part) ** value[1] > MOST_STRINGS:
-                return None
-            return {"".join(p) for n in range(value[0], value[1] + 1) for p in product(part, repeat=n)}
-        return None
-
-    def exact_all(nodes) -> set[str] | None:
+        if isinstance(options, list):
+            each = [exact_all(b) for b in options]
+            options = None if any(e is None for e in each) else set().union(*each)
+        elif options is not None:
+            options = {c.lower() for c in options}
+            options = options if len(options) <= MOST_CHARACTERS else None
+        if options is None or most is None or most > 5 or len(options) ** most > MOST_STRINGS:
+            return None
+        return {"".join(p) for n in range(least, most + 1) for p in product(options, repeat=n)}
+
+    def exact_all(parts) -> set[str] | None:
         strings = {""}
-        for node in nodes:
-            part = exact(node)
-            if part is None or len(strings) * len(part) > MOST_STRINGS:
+        for part in parts:
+            found = exact(*part)
+            if found is None or len(strings) * len(found) > MOST_STRINGS:
                 return None
-            strings = {a + b for a in strings for b in part}
+            strings = {a + b for a in strings for b in found}
         return strings
 
-    strings = {""}
-    for node in sre_parse.parse(pattern):
-        part = exact(node)
-        if part is None or len(strings) * len(part) > MOST_STRINGS:
+    branches, strings = parts_of(pattern), {""}
+    for part in branches[0] if len(branches) == 1 else [(branches, 1, 1)]:
+        found = exact(*part)
+        if found is None or len(strings) * len(found) > MOST_STRINGS:
             close(strings)
-            strings = part if part is not None else {""}
+            strings = found if found is not None else {""}
         else:
-            strings = {a + b for a in strings for b in part}
+            strings = {a + b for a in strings for b in found}
     close(strings)
     query = [frozenset()]
     for clause in clauses:  # the clauses hold together; one that would make too many sets is left out

@@ -1,6 +1,8 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 from siftline.llm.mixing import mix, mixture
 
 from .conftest import sentence
@@ -58,3 +60,13 @@ def test_mixed_documents_are_whole_rows(make_docs):
 def test_empty_tables(make_docs):
     empty = make_docs([(1, "a")]).limit(0)
     assert mixture(empty).count() == 0 and mix(empty).count() == 0
+
+
+def test_before_each_is_a_prefix_fold(spark):
+    from siftline.llm.common import FOLD, before_each
+
+    for n in (0, 1, FOLD - 1, FOLD, FOLD + 1, 3 * FOLD + 5):
+        values = [(7 * k) % 11 for k in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        got = df.select(before_each(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), before_each(F.col("v"), F.lit(0), lambda a, b: F.greatest(a, b)).alias("m")).first()
+        assert got.s == [sum(values[:k]) for k in range(n)] and got.m == [max(values[:k], default=0) for k in range(n)]

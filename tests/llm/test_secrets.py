@@ -86,6 +86,11 @@ def test_trigram_queries():
     assert trigram_query("[0-9a-f]{24,}") is None and trigram_query("ab|c") is None
     assert trigram_query("(?:abc|abcd)x?") == [frozenset({"abc"})]
     assert trigram_query("abc.*xyz") == [frozenset({"abc", "xyz"})]
+    assert trigram_query(r"a\.b\x20c{2}d") == [frozenset({"a.b", ".b ", "b c", " cc", "ccd"})]
+    assert trigram_query(r"[^a]bcd|[]x]yzz+") is None and trigram_query(r"x(?:abc|ab\d+)y") is None
+    assert trigram_query("[a-c]ok") == [frozenset({"aok"}), frozenset({"bok"}), frozenset({"cok"})]
+    with pytest.raises(ValueError):
+        trigram_query("a(?=b)")
     rng = random.Random(1)
     for pattern, made in ((r"gh[pousr]_[a-z]{3}", lambda: f"gh{rng.choice('pousr')}_abc"), (r"(?i:api_?key)=", lambda: rng.choice(["APIkey=", "api_KEY="]))):
         for _ in range(20):
