@@ -6,9 +6,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,16 +84,41 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """rows joined with keyed, which has one row for each key and the number of rows that have it as column `n`.
+def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As cut, with measures that are taken on the way, so that they cost no job of their own. Without rows they are 0."""
+    seen = Observation()
+    kept = cut(df.observe(seen, *(F.coalesce(v, F.lit(0)).alias(k) for k, v in measures.items())))
+    return kept, seen.get
 
-    Rows of hot keys stay where they are: the hot part of keyed is broadcast, HOT_KEYS rows at most. So no task gets
-    more rows of one key than the greater of HOT_ROWS and 1 / HOT_KEYS of all. Both sides are read twice: cut them before.
+
+@dataclass(frozen=True)
+class Keyed:
+    """A table with one row for each key and the number of rows elsewhere that have it as column `n`; their sum and maximum."""
+
+    rows: DataFrame
+    n: str
+    total: int
+    most: int
+
+
+def keyed(df: DataFrame, n: str = "n") -> Keyed:
+    """df, cut, as the side of join_hot with one row for each key."""
+    rows, seen = cut_observed(df, total=F.sum(n), most=F.max(n))
+    return Keyed(rows, n, seen["total"], seen["most"])
+
+
+def join_hot(rows: DataFrame, by: Keyed, key: str) -> DataFrame:
+    """rows joined with a keyed table.
+
+    Rows of hot keys stay where they are: the hot part of the keyed table is broadcast, HOT_KEYS rows at most. So no task
+    gets more rows of one key than the greater of HOT_ROWS and 1 / HOT_KEYS of all. If there are hot keys, rows are read
+    twice: cut them before.
     """
-    total = keyed.agg(F.sum(n)).first()[0] or 0
-    most = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(keyed.where(F.col(n) > most))
-    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(n) <= most), key)
+    most = max(HOT_ROWS, by.total // HOT_KEYS)
+    if by.most <= most:
+        return rows.join(by.rows, key)
+    hot = F.broadcast(by.rows.where(F.col(by.n) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(by.rows.where(F.col(by.n) <= most), key)
     return rows.join(hot, key).unionByName(cold)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, join_hot, map_batches, spread
+from .common import Keyed, cut, cut_observed, in_batches, join_hot, keyed, map_batches, spread
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
 SHINGLE = 5
@@ -243,52 +243,50 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
     nodes, found = cut(map_batches(sets.select("set_id", "roots"), _roots(runs), "set_id long, path long, run int")), []
     held, tie = sets.select("set_id", "sketch", "deep"), (F.col("set_id").alias("a"), F.col("least").alias("b"))
     for level in range(1, LEVELS + 1):
-        counts = cut(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"))
-        inside = cut(join_hot(nodes, counts, "path", "members"))
+        counts = keyed(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"), "members")
+        inside = cut(join_hot(nodes, counts, "path"))
         small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held.select("set_id", "sketch"), "set_id")
         small = small.repartition(spread(sets), "path").sortWithinPartitions("path")
-        found.append(cut(in_batches(small).mapInArrow(_compare_bucket, "a long, b long").distinct()))
-        large = inside.where(F.col("members") > SMALL)
-        if large.isEmpty():
+        found.append(cut(in_batches(small).mapInArrow(_compare_bucket, "a long, b long")))
+        if counts.most <= SMALL:
             break
+        large = inside.where(F.col("members") > SMALL)
         if level == LEVELS:
-            found.append(cut(large.where("set_id <> least").select(*tie).distinct()))
+            found.append(large.where("set_id <> least").select(*tie))
             break
-        lead = counts.where(F.col("members") > SMALL).join(held.select(F.col("set_id").alias("least"), F.col("sketch").alias("lead")), "least")
-        seen = join_hot(large.select("path", "run", "set_id").join(held.select("set_id", "sketch"), "set_id"), cut(lead), "path", "members")
+        lead = counts.rows.where(F.col("members") > SMALL).join(held.select(F.col("set_id").alias("least"), F.col("sketch").alias("lead")), "least")
+        seen = join_hot(large.select("path", "run", "set_id").join(held.select("set_id", "sketch"), "set_id"), keyed(lead, "members"), "path")
         seen = cut(map_batches(seen.select("path", "run", "set_id", "least", "sketch", "lead"), _alike, "path long, run int, set_id long, least long, alike int"))
-        density = cut(seen.groupBy("path").agg(F.count("*").alias("n"), (F.avg("alike") >= DENSE).alias("dense")))
-        seen = cut(join_hot(seen, density, "path"))
-        found.append(cut(seen.where("dense AND set_id <> least").select(*tie).distinct()))
-        rest = seen.where("NOT dense")
-        if rest.isEmpty():
+        density = keyed(seen.groupBy("path").agg(F.count("*").alias("n"), (F.avg("alike") >= DENSE).alias("dense")))
+        seen, split_on = cut_observed(join_hot(seen, density, "path"), rows=F.count_if(F.expr("NOT dense")))
+        found.append(seen.where("dense AND set_id <> least").select(*tie))
+        if not split_on["rows"]:
             break
+        rest = seen.where("NOT dense")
         # only sets of buckets that are split go on, so later levels move few sketches
         held = cut(held.join(rest.select("set_id").distinct(), "set_id", "left_semi"))
         split = rest.select("path", "run", "set_id").join(held.select("set_id", "deep"), "set_id")
         nodes = cut(map_batches(split.select("set_id", "path", "run", "deep"), _deeper(runs, level), "set_id long, path long, run int"))
-    return cut(reduce(DataFrame.unionByName, found).distinct())
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): for each id in edges (a, b) the least id that edges join it with, directly or not.
 
-    Rounds of least neighbours: every id and its root look for a smaller root around them. The edges shrink to stars. The
-    edges of an id with very many of them stay spread out (join_hot).
+    Rounds of least neighbours: every id meets its least neighbour and hands its other neighbours to it. The edges shrink
+    to stars, which they are when every id with a smaller neighbour has no other one. The edges of an id with very many of
+    them stay spread out (join_hot).
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        # each node meets the least of its neighbours, and hands its other neighbours to it
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        handed = join_hot(both, least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
-        fresh = cut(handed.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        # done when every id has one edge, and no root has one of its own
-        ends = fresh.groupBy("a").agg(F.count("*").alias("n"))
-        inner = fresh.select(F.col("b").alias("a")).distinct().join(ends.select("a"), "a", "left_semi")
-        if ends.where("n > 1").isEmpty() and inner.isEmpty():
-            return fresh.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(fresh.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-        pairs = fresh
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        rows, seen = cut_observed(least, total=F.sum("n"), most=F.max("n"), inner=F.max(F.when(F.col("m") < F.col("a"), F.col("n"))))
+        if seen["inner"] <= 1:
+            return rows.select(F.col("a").alias("id"), F.col("m").alias("root"))
+        met = join_hot(both, Keyed(rows, "n", seen["total"], seen["most"]), "a")
+        handed = met.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(rows.select(F.col("a").alias("x"), F.col("m").alias("y")))
+        pairs = cut(handed.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
 def _counts(one: list[np.ndarray], two: list[np.ndarray] | None) -> np.ndarray:
@@ -371,7 +369,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     members = cut(map_batches(found, _with_shingles, "set_id long, cluster long, n long, shingles binary").dropDuplicates(["set_id"]))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("many") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    placed = join_hot(members, cut(sizes.select("cluster", "many", blocks.alias("blocks"))), "cluster", "many")
+    placed = join_hot(members, keyed(sizes.select("cluster", "many", blocks.alias("blocks")), "many"), "cluster")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     # a set goes to each pair of blocks that its block is in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -383,7 +381,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     joined = components(compared.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     order = F.struct(F.col("text_id").isNull().alias("none"), "text_id", "mark", "mark2")
     named = cut(joined.join(sets.select(F.col("set_id").alias("id"), order.alias("own")), "id"))
-    roots = cut(named.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")))
+    roots = keyed(named.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")))
     of_set = join_hot(named, roots, "root").select(F.col("id").alias("set_id"), "first")
     of_set = sets.select("mark", "mark2", "set_id", "text_id").join(of_set, "set_id", "left").join(links, "set_id", "left")
     first = F.coalesce("first", order)
