@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A key is hot if more rows have it than this, and than 1 / HOT_KEYS of all rows have; so HOT_KEYS of them are hot at most.
-HOT_ROWS, HOT_KEYS = 4096, 50_000
+HOT_ROWS, HOT_KEYS = 256, 50_000
 #: Items of an array that are folded together.
 FOLD = 256
 
