@@ -13,8 +13,9 @@ from .plans.diff import compare
 from .plans.lint import Splits, lint_files, lint_splits
 from .plans.suppress import MARKER
 from .sinks.fixes import apply
-from .sinks.report import diff_json, diff_text, rendered
-from .sources.jsonl import read_jsonl, readable
+from .sinks.report import diff_json, diff_text, write
+from .sources.jsonl import read_jsonl
+from .sources.paths import readable
 
 
 def _datasets(values: list[str]) -> dict[str, list[str]]:
@@ -52,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("siftline").getOrCreate()
     if args.diff_old or args.diff_new:
         for p in (args.diff_old, args.diff_new):
-            if not p or not readable(p):
+            if not p or not readable(spark, p):
                 print(f"siftline: cannot read {p}", file=sys.stderr)
                 return 1
         report = compare(read_jsonl(spark, [args.diff_old]), read_jsonl(spark, [args.diff_new]), args.diff_old, args.diff_new)
@@ -72,7 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if splits.paths():
             found = found.unionByName(lint_splits(spark, splits, settings, args.marker))
         found = found.persist()
-        print(rendered(at_least(found, args.min_severity), args.format))
+        write(at_least(found, args.min_severity), args.format, sys.stdout)
+        print()
     except (OSError, ValueError) as e:
         print(f"siftline: {e}", file=sys.stderr)
         return 1

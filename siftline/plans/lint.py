@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..findings import ERROR, findings, union
-from ..sources.jsonl import kind_of, read_jsonl, readable
+from ..sources.jsonl import ENDINGS, kind_of, read_jsonl
 from ..sources.parquet_footers import read_row_groups
+from ..sources.paths import resolve
 from ..sources.python_calls import calls, read_sources
 from .registry import rules
 from .suppress import MARKER, in_records, in_sources, without_suppressed
@@ -41,36 +42,46 @@ def lint_records(docs: DataFrame, config: Config = Config()) -> DataFrame:
     return union(docs.sparkSession, [r.check(docs, config.settings(r.id)) for r in _active(config, "jsonl")])
 
 
+def _unread(paths: DataFrame, rule_id: str) -> DataFrame:
+    return findings(paths, rule_id, ERROR, F.format_string("read error: %s: %s", "path", "error"))
+
+
 def lint_calls(found: DataFrame, config: Config = Config()) -> DataFrame:
     return union(found.sparkSession, [r.check(found, config.settings(r.id)) for r in _active(config, "python")])
 
 
 def lint_files(spark: SparkSession, paths: list[str], config: Config = Config(), given: dict[str, str] | None = None, marker: str = MARKER) -> DataFrame:
-    """Findings of all files. Files that cannot be read are reported if they are JSON lines and skipped otherwise."""
+    """Findings of all files, folders and patterns; folders are searched for files of every kind.
+
+    A given path that matches nothing is a finding (of an unknown kind: of JSON lines), so a lint of nothing is not clean.
+    """
     given, parts, rows, lines = given or {}, [], None, None
-    kinds = {k: [p for p in dict.fromkeys(paths) if kind_of(p) == k] for k in ("jsonl", "parquet", "python")}
+    there, lost = resolve(spark, [p for p in paths if p not in given])
+    folders = {x.given for x in there if not x.file and kind_of(x.given) == "unknown"}
+    kinds = {k: [p for p in dict.fromkeys(paths) if p not in lost and (kind_of(p) == k or p in folders)] for k in ENDINGS}
     if kinds["jsonl"]:
         docs = read_jsonl(spark, kinds["jsonl"]).persist(StorageLevel.MEMORY_AND_DISK)
         parts.append(lint_records(docs, config))
         rows = in_records(docs, marker)
-        lost = [p for p in kinds["jsonl"] if not readable(p)]
-        if lost and config.enabled("jsonl-malformed-line"):
-            parts.append(findings(spark.createDataFrame([(p,) for p in lost], "path string"), "jsonl-malformed-line", ERROR, F.concat(F.lit("read error: "), "path", F.lit(": no such file"))))
+    if lost and config.enabled("jsonl-malformed-line"):
+        parts.append(_unread(spark.createDataFrame([(p, "no such file") for p in lost], "path string, error string"), "jsonl-malformed-line"))
     if kinds["python"]:
-        there = [p for p in kinds["python"] if p in given or readable(p)]
-        if there:
-            sources = read_sources(spark, there, given).persist(StorageLevel.MEMORY_AND_DISK)
-            parts.append(lint_calls(calls(sources).persist(StorageLevel.MEMORY_AND_DISK), config))
-            lines = in_sources(sources, marker)
+        sources = read_sources(spark, kinds["python"], given).persist(StorageLevel.MEMORY_AND_DISK)
+        parts.append(lint_calls(calls(sources).persist(StorageLevel.MEMORY_AND_DISK), config))
+        lines = in_sources(sources, marker)
     if kinds["parquet"] and _active(config, "parquet"):
         groups = read_row_groups(spark, kinds["parquet"])
         parts += [r.check(groups, config.settings(r.id)) for r in _active(config, "parquet")]
+        parts.append(_unread(groups.where("error IS NOT NULL"), _active(config, "parquet")[0].id))
     return without_suppressed(union(spark, parts), rows, lines)
 
 
 def lint_splits(spark: SparkSession, splits: Splits, config: Config = Config(), marker: str = MARKER) -> DataFrame:
     """Findings of the rules across files; they are suppressed by the rows they point to."""
     parts, found = [], []
+    lost = resolve(spark, splits.paths())[1]
+    if lost and config.enabled("jsonl-malformed-line"):
+        parts.append(_unread(spark.createDataFrame([(p, "no such file") for p in lost], "path string, error string"), "jsonl-malformed-line"))
     active = {r.id: r for r in _active(config, "corpus")}
     if "train-eval-overlap" in active and splits.train and splits.evaluation:
         train, evaluation = read_jsonl(spark, splits.train), read_jsonl(spark, splits.evaluation)

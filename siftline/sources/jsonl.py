@@ -2,43 +2,47 @@
 
 from __future__ import annotations
 
-import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import allow_duplicate_keys, tag, trim, with_document
+from .paths import Input, groups, named, reader, resolve
 
 RECORD = ["path", "path_ord", "row", "line", "blank", "valid", "tag", "doc"]
 
 
-def kind_of(path: str) -> str:
-    """jsonl, python, parquet or unknown, by the ending of the path (its case matters)."""
-    return next((k for end, k in ((".jsonl", "jsonl"), (".py", "python"), (".parquet", "parquet")) if path.endswith(end)), "unknown")
+ENDINGS = {"jsonl": ".jsonl", "python": ".py", "parquet": ".parquet"}
 
 
-def readable(path: str) -> bool:
-    """Whether the path is there; paths with a scheme are left to Spark."""
-    return "://" in path or os.path.isfile(path)
+def kind_of(path: str) -> str:
+    """jsonl, python, parquet or unknown, by the ending of the path (its case matters)."""
+    return next((k for k, end in ENDINGS.items() if path.endswith(end)), "unknown")
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: list[str], ending: str | None = None) -> DataFrame:
     """(path, path_ord, row, line): lines end at a newline only, carriage returns at their ends go; rows count from 1.
 
-    Row numbers need no global order: a file's splits count their lines, and a small table of these counts by split gives
-    the number of lines before each split.
+    paths: files, folders or patterns, with or without a scheme; of a folder all files, or those with an ending at any
+    depth. Row numbers need no global order: a file's splits count their lines, and a small table of these counts by
+    split gives the number of lines before each split.
     """
-    paths = list(dict.fromkeys(p for p in paths if readable(p)))
-    if not paths:
-        return spark.createDataFrame([], "path string, path_ord int, row bigint, line string")
-    given = spark.createDataFrame([(p, i, p if "://" in p else os.path.abspath(p)) for i, p in enumerate(paths)], "path string, path_ord int, _full string")
-    raw = spark.read.option("lineSep", "\n").text(paths)
+    parts = [_lines(spark, group, ending) for group in groups(resolve(spark, paths)[0])]
+    return union(parts) if parts else spark.createDataFrame([], "path string, path_ord int, row bigint, line string")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _lines(spark: SparkSession, group: list[Input], ending: str | None) -> DataFrame:
+    raw = reader(spark, group, ending).option("lineSep", "\n").text([x.given for x in group])
     raw = raw.select("value", F.col("_metadata.file_path").alias("_uri"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     blocks = raw.groupBy("_uri", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_uri", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    plain = F.regexp_replace(F.url_decode(F.replace(F.col("_uri"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    placed = raw.join(blocks, ["_uri", "_block"]).withColumn("_full", plain).join(F.broadcast(given), "_full")
+    placed = named(raw.join(blocks, ["_uri", "_block"]), "_uri", group)
     row = (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("row")
     return placed.select("path", "path_ord", row, F.regexp_replace("value", "[\\r\\n]+$", "").alias("line"))
 
@@ -50,8 +54,8 @@ def records(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("valid", F.col("valid") & ~F.col("blank")).select(*RECORD)
 
 
-def read_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return records(read_lines(spark, paths))
+def read_jsonl(spark: SparkSession, paths: list[str], ending: str | None = ENDINGS["jsonl"]) -> DataFrame:
+    return records(read_lines(spark, paths, ending))
 
 
 def table_records(df: DataFrame, row: Column, path: str, *columns: str | Column) -> DataFrame:

@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .jsonl import ENDINGS, union
+from .paths import groups, named, reader, resolve
+
+GROUPS = "path string, idx int, num_rows bigint, error string"
 
 
 def read_row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, idx, num_rows) of every row group of every file; a file that cannot be read has none."""
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 256)))
+    """(path, idx, num_rows, error) of every row group of every file, of folders those of all their Parquet files.
 
-    def footers(batches):
-        import pyarrow.parquet as pq
+    A file that is no Parquet has no row groups. A file that cannot be reached has one row with the error, and so has a
+    given path that matches nothing.
+    """
+    found, lost = resolve(spark, paths)
+    out = spark.createDataFrame([(p, None, None, "no such file") for p in lost], GROUPS)
+    for group in groups(found):
+        files = reader(spark, group, ENDINGS["parquet"]).format("binaryFile").load([x.given for x in group])
+        listed = named(files.select(F.col("_metadata.file_path").alias("_uri"), F.col("path").alias("file")), "_uri", group)
+        out = out.unionByName(listed.select("path", "file").mapInArrow(_footers, GROUPS))
+    return out
 
-        for batch in batches:
-            rows = []
-            for path in batch.column("path").to_pylist():
+
+def _footers(batches):
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path, file in zip(*(batch.column(c).to_pylist() for c in ("path", "file")), strict=True):
+            try:
+                local = file.startswith("file:")
+                system, name = (fs.LocalFileSystem(), "/" + file[5:].lstrip("/")) if local else fs.FileSystem.from_uri(quote(file, safe=":/@"))
+                stream = system.open_input_file(name)
+            except (OSError, pa.ArrowException) as e:
+                rows.append((path, None, None, str(e)[:200]))
+                continue
+            with stream:
                 try:
-                    meta = pq.ParquetFile(path).metadata
+                    meta = pq.ParquetFile(stream).metadata
                 except (OSError, pa.ArrowException):
                     continue
-                rows += [(path, i, meta.row_group(i).num_rows) for i in range(meta.num_row_groups)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["path", "idx", "num_rows"])
-
-    return listed.mapInArrow(footers, "path string, idx int, num_rows bigint")
+                rows += [(path, i, meta.row_group(i).num_rows, None) for i in range(meta.num_row_groups)]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in GROUPS.split(", ")])

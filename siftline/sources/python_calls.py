@@ -3,41 +3,43 @@
 from __future__ import annotations
 
 import ast
-import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jsonl import ENDINGS, union
+from .paths import groups, named, reader, resolve
+
 CALLS = "path string, dotted string, base_name string, line int, col int, start_off bigint, preorder int, nested boolean, last_import int"
 
 
 def dotted_name(node: ast.expr) -> str:
     """a.b.c of names and attributes only, else nothing."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute) and (left := dotted_name(node.value)):
-        return f"{left}.{node.attr}"
-    return ""
+    parts: list[str] = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else ""
 
 
 def calls_of(source: str) -> list[tuple]:
-    """(dotted, base_name, line, col, start_off, preorder, nested, last_import) of each call in source order; a file that does not parse has none."""
+    """(dotted, base_name, line, col, start_off, preorder, nested, last_import) of each call in source order.
+
+    A file that does not parse, or is nested too deeply for the parser, has none.
+    """
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     imports = [n.end_lineno for n in ast.walk(tree) if isinstance(n, ast.Import) or isinstance(n, ast.ImportFrom) and n.module != "__future__"]
-    found: list[tuple[ast.Call, bool]] = []
-
-    def visit(node: ast.AST, nested: bool) -> None:
+    found, todo = [], [(tree, False)]
+    while todo:
+        node, nested = todo.pop()
         if isinstance(node, ast.Call):
             found.append((node, nested))
             nested = True
-        for below in ast.iter_child_nodes(node):
-            visit(below, nested)
-
-    visit(tree, False)
+        todo += [(below, nested) for below in ast.iter_child_nodes(node)]
     starts = [0]
     for line in source.encode().split(b"\n"):
         starts.append(starts[-1] + len(line) + 1)
@@ -61,13 +63,11 @@ def calls(sources: DataFrame) -> DataFrame:
     return sources.select("path", "source").mapInArrow(run, CALLS)
 
 
-def read_sources(spark: SparkSession, paths: list[str], given: dict[str, str] | None = None) -> DataFrame:
-    """(path, source) of files, or of texts that are given in their place."""
+def read_sources(spark: SparkSession, paths: list[str], given: dict[str, str] | None = None, ending: str | None = ENDINGS["python"]) -> DataFrame:
+    """(path, source) of files and of folders' files, or of texts that are given in the place of a path's file."""
     given = given or {}
-    rest = [p for p in paths if p not in given]
-    out = spark.createDataFrame([(p, given[p]) for p in paths if p in given], "path string, source string")
-    if rest:
-        full = spark.createDataFrame([(p, os.path.abspath(p)) for p in rest], "path string, _full string")
-        read = spark.read.text(rest, wholetext=True).select(F.col("value").alias("source"), F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("_full"))
-        out = out.unionByName(read.join(F.broadcast(full), "_full").select("path", "source"))
-    return out
+    parts = [spark.createDataFrame([(p, given[p]) for p in paths if p in given], "path string, source string")]
+    for group in groups(resolve(spark, [p for p in paths if p not in given])[0]):
+        read = reader(spark, group, ending).text([x.given for x in group], wholetext=True)
+        parts.append(named(read.select(F.col("value").alias("source"), F.col("_metadata.file_path").alias("_uri")), "_uri", group).select("path", "source"))
+    return union(parts)
