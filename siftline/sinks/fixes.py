@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Line ends and bytes that are no UTF-8 come back as they were.
+AS_IS = {"encoding": "utf-8", "errors": "surrogateescape", "newline": ""}
+
+
 @dataclass
 class Applied:
     files: int = 0
@@ -20,23 +26,25 @@ def edits_of(found: DataFrame) -> DataFrame:
 
 
 def inserted(source: str, edits: list[tuple[int, str]]) -> str:
-    """source with lines inserted before the given 1-based lines, the last first so that earlier places stay."""
+    """source with lines inserted before the given 1-based lines; behind the last line if there are fewer. All else stays."""
+    new: dict[int, list[str]] = {}
     lines = source.split("\n")
-    for line, text in sorted(edits, key=lambda e: -e[0]):
-        at = min(max(line - 1, 0), len(lines))
-        lines[at:at] = text.rstrip("\n").split("\n")
-    return "\n".join(lines)
+    for line, text in sorted(edits):
+        new.setdefault(min(max(line, 1), len(lines) + 1), []).append(text.rstrip("\n"))
+    return "\n".join(x for n, old in enumerate([*lines, None], 1) for x in (*new.get(n, ()), *(() if old is None else (old,))))
 
 
 def apply(found: DataFrame) -> Applied:
-    """Writes the fixed files in place. The files are sources that a person edits, so the driver writes them."""
+    """Writes the fixed files in place, each under a temporary name first. The files are sources that a person edits, so the driver writes them."""
     done, by_path = Applied(), {}
     for r in edits_of(found).toLocalIterator():
         by_path.setdefault(r.path, []).append((r.line, r.insert))
     for path, edits in sorted(by_path.items()):
-        with open(path, encoding="utf-8") as f:
+        with open(path, **AS_IS) as f:
             source = f.read()
-        with open(path, "w", encoding="utf-8") as f:
+        with open(f"{path}.fixed", "w", **AS_IS) as f:
             f.write(inserted(source, edits))
+        shutil.copymode(path, f"{path}.fixed")
+        os.replace(f"{path}.fixed", path)
         done.files, done.edits = done.files + 1, done.edits + len(edits)
     return done

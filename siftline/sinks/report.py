@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import html
+import io
 import json
+import textwrap
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import TextIO
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -26,23 +29,40 @@ def ordered(found: DataFrame) -> Iterator[Row]:
     return found.orderBy(*ORDER).toLocalIterator()
 
 
-def as_json(found: DataFrame) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in ordered(found)], indent=2, ensure_ascii=False)
+def _json(value) -> str:
+    return json.dumps(value, indent=2, ensure_ascii=False)
 
 
-def as_sarif(found: DataFrame, version: str = "") -> str:
+def _items(items: Iterator[dict], indent: str, out: TextIO) -> None:
+    """A JSON array of items, one after the other."""
+    some = False
+    for item in items:
+        out.write((",\n" if some else "[\n") + textwrap.indent(_json(item), indent + "  "))
+        some = True
+    out.write(f"\n{indent}]" if some else "[]")
+
+
+def write_json(found: DataFrame, out: TextIO) -> None:
+    _items((r.asDict(recursive=True) for r in ordered(found)), "", out)
+
+
+def _sarif_result(r: Row) -> dict:
     """A row stands for a line where there is no line; no place without a path, no region without a line."""
-    results = []
-    for r in ordered(found):
-        result = {"ruleId": r.rule_id, "level": LEVELS.get(r.severity, "none"), "message": {"text": r.message}}
-        if r.path:
-            place: dict = {"artifactLocation": {"uri": r.path}}
-            if r.line or r.row:
-                place["region"] = {"startLine": r.line or r.row}
-            result["locations"] = [{"physicalLocation": place}]
-        results.append(result)
+    result = {"ruleId": r.rule_id, "level": LEVELS.get(r.severity, "none"), "message": {"text": r.message}}
+    if r.path:
+        place: dict = {"artifactLocation": {"uri": r.path}}
+        if r.line or r.row:
+            place["region"] = {"startLine": r.line or r.row}
+        result["locations"] = [{"physicalLocation": place}]
+    return result
+
+
+def write_sarif(found: DataFrame, out: TextIO, version: str = "") -> None:
     driver = {"name": TOOL} | ({"version": version} if version else {})
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False)
+    head, tail = _json({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [{"tool": {"driver": driver}, "results": []}]}).split("[]")
+    out.write(head)
+    _items(map(_sarif_result, ordered(found)), "      ", out)
+    out.write(tail)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -50,19 +70,21 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.min_by("severity", F.struct(*ORDER[:3])).cast("int").alias("severity"))
 
 
-def as_html(found: DataFrame) -> str:
+def write_html(found: DataFrame, out: TextIO) -> None:
     totals = summary(found).orderBy("rule_id").collect()
-    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{TOOL} report</title></head><body><h1>Findings</h1>", f"<p>{sum(t.n for t in totals)} findings, {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}</p><ul>"]
-    parts += [f"<li><a href='#{html.escape(t.rule_id)}'>{html.escape(t.rule_id)}</a>: {t.n} ({NAMES.get(t.severity, '')})</li>" for t in totals]
-    parts.append("</ul>")
+    out.write(f"<!doctype html><html><head><meta charset='utf-8'><title>{TOOL} report</title></head><body><h1>Findings</h1>")
+    out.write(f"<p>{sum(t.n for t in totals)} findings, {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}</p><ul>")
+    for t in totals:
+        out.write(f"<li><a href='#{html.escape(t.rule_id)}'>{html.escape(t.rule_id)}</a>: {t.n} ({NAMES.get(t.severity, '')})</li>")
+    out.write("</ul>")
     last = None
     for r in found.orderBy("rule_id", *ORDER[:3], "message").toLocalIterator():
         if r.rule_id != last:
-            parts += ["</table>"] * (last is not None) + [f"<h2 id='{html.escape(r.rule_id)}'>{html.escape(r.rule_id)}</h2><table>"]
+            out.write(("" if last is None else "</table>") + f"<h2 id='{html.escape(r.rule_id)}'>{html.escape(r.rule_id)}</h2><table>")
             last = r.rule_id
         at = r.line or r.row
-        parts.append(f"<tr><td>{html.escape(r.path or '')}{f':{at}' if at else ''}</td><td>{html.escape(r.message)}</td></tr>")
-    return "".join(parts + ["</table>"] * (last is not None) + ["</body></html>"])
+        out.write(f"<tr><td>{html.escape(r.path or '')}{f':{at}' if at else ''}</td><td>{html.escape(r.message)}</td></tr>")
+    out.write(("" if last is None else "</table>") + "</body></html>")
 
 
 def drops(found: DataFrame) -> DataFrame:
@@ -71,20 +93,48 @@ def drops(found: DataFrame) -> DataFrame:
     return rows.select("path", "row", "rules")
 
 
-def as_drops(found: DataFrame) -> str:
-    return "".join(f"{r.path}\t{r.row}\t{r.rules}\n" for r in drops(found).orderBy("path", "row").toLocalIterator())
+def write_drops(found: DataFrame, out: TextIO) -> None:
+    for r in drops(found).orderBy("path", "row").toLocalIterator():
+        out.write(f"{r.path}\t{r.row}\t{r.rules}\n")
 
 
-FORMATS = {"json": as_json, "sarif": as_sarif, "html": as_html, "drops": as_drops}
+FORMATS = {"json": write_json, "sarif": write_sarif, "html": write_html, "drops": write_drops}
+
+
+def write(found: DataFrame, form: str, out: TextIO) -> None:
+    """Writes findings piece by piece, so that the driver holds one partition of them at a time."""
+    if form not in FORMATS:
+        raise ValueError(f"unknown format: {form}")
+    FORMATS[form](found, out)
 
 
-def rendered(found: DataFrame, form: str) -> str:
+def rendered(found: DataFrame, form: str, *args: str) -> str:
+    """The whole report as a string, for few findings."""
+    out = io.StringIO()
     if form not in FORMATS:
         raise ValueError(f"unknown format: {form}")
-    return FORMATS[form](found)
+    FORMATS[form](found, out, *args)
+    return out.getvalue()
+
+
+def as_json(found: DataFrame) -> str:
+    return rendered(found, "json")
+
+
+def as_sarif(found: DataFrame, version: str = "") -> str:
+    return rendered(found, "sarif", version)
+
+
+def as_html(found: DataFrame) -> str:
+    return rendered(found, "html")
+
+
+def as_drops(found: DataFrame) -> str:
+    return rendered(found, "drops")
 
 
 def diff_text(r: Report) -> str:
+    # The labels and the layout, as scripts read this report line by line.
     delta = r.new_rows - r.old_rows
     out = [
         f"{TOOL} diff", f"  old: {r.old_path}  ({r.old_rows} rows)", f"  new: {r.new_path}  ({r.new_rows} rows; {'+' if delta > 0 else ''}{delta})",
