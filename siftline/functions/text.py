@@ -60,7 +60,12 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)), same).otherwise(F.lit(0.0))
 
 
-def bands(signed: DataFrame) -> DataFrame:
-    """(id, band, bucket) of each signature."""
-    keys = F.array(*(F.xxhash64(*(F.col("signature")[b * ROWS + k] for k in range(ROWS))) for b in range(BANDS)))
-    return signed.select("id", F.posexplode(keys).alias("band", "bucket"))
+def bands(signed: DataFrame, n: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, band, bucket): a signature in n bands of some rows. A layout that needs more rows than there are, or none, is the usual one.
+
+    Signatures that are shorter than the layout have no bands.
+    """
+    if n < 1 or rows < 1 or n * rows > HASHES:
+        n, rows = BANDS, ROWS
+    keys = F.array(*(F.xxhash64(*(F.get("signature", F.lit(b * rows + k)) for k in range(rows))) for b in range(n)))
+    return signed.where(F.size("signature") >= n * rows).select("id", F.posexplode(keys).alias("band", "bucket"))

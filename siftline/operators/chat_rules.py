@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..findings import ERROR, WARNING, findings
 from ..functions.json_values import items_of, member, quoted
+from . import messages
 from .file_rules import first_match, usable
 
 # Phrasings of evaluation instructions.
@@ -52,13 +53,13 @@ def _first(condition: str) -> Column:
 def role_inversion(docs: DataFrame, settings: Settings) -> DataFrame:
     at = _first("i > 0 AND x.role = 'assistant' AND get(messages, i - 1).role = 'assistant'")
     hits = conversations(docs).select("path", "row", at.alias("i")).where("i IS NOT NULL")
-    message = F.format_string("assistant message at index %d follows assistant at index %d with no user/tool between", F.col("i"), F.col("i") - 1)
+    message = F.format_string(messages.ROLE_INVERSION, F.col("i"), F.col("i") - 1)
     return findings(hits, "role-inversion", ERROR, message, row=F.col("row"))
 
 
 def system_mid_conversation(docs: DataFrame, settings: Settings) -> DataFrame:
     hits = conversations(docs).select("path", "row", _first("i > 0 AND x.role = 'system'").alias("i")).where("i IS NOT NULL")
-    message = F.format_string("system message at index %d (only index 0 is conventional); likely a misformatted prompt template", F.col("i"))
+    message = F.format_string(messages.SYSTEM_MID, F.col("i"))
     return findings(hits, "system-message-mid-conversation", ERROR, message, row=F.col("row"))
 
 
@@ -73,14 +74,14 @@ def unbalanced_tool_calls(docs: DataFrame, settings: Settings) -> DataFrame:
     used = said.where("m.role = 'tool' AND m.tool_call_id <> ''").select("path", "row", "i", F.col("m.tool_call_id").alias("id"))
     loose = used.join(declared, ["path", "row", "id"], "left").where("since IS NULL OR since > i")
     hits = loose.groupBy("path", "row").agg(F.min("i").alias("i"), F.min_by("id", "i").alias("id"))
-    message = F.format_string("tool message at index %d references tool_call_id %s with no preceding assistant tool_calls entry", F.col("i"), quoted(F.col("id")))
+    message = F.format_string(messages.UNBALANCED_TOOL_CALL, F.col("i"), quoted(F.col("id")))
     return findings(hits, "unbalanced-tool-call-id", ERROR, message, row=F.col("row"))
 
 
 def tool_results_without_calls(docs: DataFrame, settings: Settings) -> DataFrame:
     chats = conversations(docs, tools=True)
     hits = chats.select("path", "row", _first("x.role = 'tool'").alias("i"), _first("x.role = 'assistant' AND size(x.calls) > 0").alias("call")).where("i IS NOT NULL AND (call IS NULL OR call > i)")
-    message = F.format_string("tool message at index %d has no preceding assistant message with tool_calls", F.col("i"))
+    message = F.format_string(messages.TOOL_WITHOUT_CALL, F.col("i"))
     return findings(hits, "tool-result-without-tool-call", ERROR, message, row=F.col("row"))
 
 
@@ -90,5 +91,5 @@ def system_prompt_leaks(docs: DataFrame, settings: Settings) -> DataFrame:
     said = conversations(docs, content=True).select("path", "row", F.posexplode("messages").alias("i", "m")).where("m.role = 'system' AND m.content <> ''")
     hits = said.select("path", "row", "i", first_match(F.col("m.content"), patterns)["sample"].alias("sample")).where("sample IS NOT NULL")
     first = hits.groupBy("path", "row").agg(F.min("i").alias("i"), F.min_by("sample", "i").alias("sample"))
-    message = F.format_string("system message at index %d matches eval-instruction pattern %s", F.col("i"), quoted(F.col("sample")))
+    message = F.format_string(messages.EVAL_INSTRUCTION, F.col("i"), quoted(F.col("sample")))
     return findings(first, "system-prompt-leaks-eval-instructions", WARNING, message, row=F.col("row"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..findings import ERROR, WARNING, findings
+from . import messages
 
 # Names of calls.
 RANDOM_CALLS = (
@@ -28,8 +29,8 @@ def random_seed_not_set(calls: DataFrame, settings: Settings) -> DataFrame:
     hits = hits.join(first, "path")
     seed = F.concat(F.regexp_extract("first", r"^((?:np\.|numpy\.)?random)\.", 1), F.lit(".seed(0)"))
     at = F.col("last_import") + 1
-    fix = F.struct(F.format_string("insert %s at line %d for reproducibility", seed, at).alias("description"), F.lit("idiomatic").alias("level"), F.array(F.struct(at.cast("int").alias("line"), F.concat(seed, F.lit("\n")).alias("insert"))).alias("edits"))
-    message = F.concat(F.col("dotted"), F.lit(" called without random.seed/np.random.seed earlier in this file; pipeline output is non-reproducible"))
+    fix = F.struct(F.format_string(messages.SEED_FIX, seed, at).alias("description"), F.lit("idiomatic").alias("level"), F.array(F.struct(at.cast("int").alias("line"), F.concat(seed, F.lit("\n")).alias("insert"))).alias("edits"))
+    message = F.format_string(messages.SEED_NOT_SET, "dotted")
     return findings(hits, "random-seed-not-set", WARNING, message, line=F.col("line"), col=F.col("col"), fix=fix)
 
 
@@ -38,7 +39,7 @@ def shuffle_after_split(calls: DataFrame, settings: Settings) -> DataFrame:
     plain = calls.where(~F.col("nested"))
     split = plain.where(F.col("dotted").isin(*SPLIT_CALLS)).groupBy("path").agg(F.min("start_off").alias("split_at"))
     hits = plain.where(F.col("dotted").isin(*SHUFFLE_CALLS)).join(split, "path").where("start_off > split_at")
-    message = F.concat(F.col("dotted"), F.lit(" called after train/eval split; either shuffle before splitting or seed each split's RNG explicitly"))
+    message = F.format_string(messages.SHUFFLE_AFTER_SPLIT, "dotted")
     return findings(hits, "shuffle-after-split", ERROR, message, line=F.col("line"), col=F.col("col"))
 
 
@@ -46,5 +47,5 @@ def dedup_without_normalization(calls: DataFrame, settings: Settings) -> DataFra
     """The first de-duplicating call of a file that has no normalising call anywhere."""
     normal = calls.where(F.col("base_name").isin(*NORMALIZERS)).select("path").distinct()
     first = calls.where(F.col("base_name").isin(*DEDUP_CALLS)).join(normal, "path", "left_anti").groupBy("path").agg(F.min_by(F.struct("base_name", "line", "col"), "preorder").alias("f"))
-    message = F.concat(F.col("f.base_name"), F.lit(" called with no string normalization (lower/strip/casefold/unicodedata.normalize) elsewhere in this file; near-duplicates may slip through"))
+    message = F.format_string(messages.DEDUP_WITHOUT_NORMALIZATION, "f.base_name")
     return findings(first, "dedup-key-misses-normalization", WARNING, message, line=F.col("f.line"), col=F.col("f.col"))

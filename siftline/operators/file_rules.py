@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..findings import ERROR, WARNING, findings
 from ..functions.json_values import entries, quoted, tag
+from . import messages
 
 # Kinds of personal data and their patterns; digits and word edges are ASCII.
 EDGE_LEFT, EDGE_RIGHT = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
@@ -42,7 +43,7 @@ def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def malformed_lines(docs: DataFrame, settings: Settings) -> DataFrame:
     bad = docs.where(F.col("blank") | ~F.col("valid"))
-    message = F.when(F.col("blank"), "blank line in JSONL").otherwise("invalid JSON: the line is not one JSON value")
+    message = F.when(F.col("blank"), messages.BLANK_LINE).otherwise("invalid JSON: the line is not one JSON value")
     return findings(bad, "jsonl-malformed-line", ERROR, message, row=F.col("row"))
 
 
@@ -59,11 +60,11 @@ def personal_data(docs: DataFrame, settings: Settings) -> DataFrame:
         strings = strings.where(F.contains("s", F.lit("@")) | F.col("s").rlike(r"\d{3}"))
     hits = strings.withColumn("hit", first_match(F.col("s"), patterns)).where("hit IS NOT NULL")
     first = hits.groupBy("path", "row").agg(F.min_by(F.struct("key", "hit"), "key").alias("f"))
-    message = F.concat(F.col("f.hit.kind"), F.lit(" pattern matched in field "), quoted(F.col("f.key")), F.lit(" (sample: "), quoted(F.col("f.hit.sample")), F.lit("); training data should not carry user PII"))
+    message = F.format_string(messages.PERSONAL_DATA, F.col("f.hit.kind"), quoted(F.col("f.key")), quoted(F.col("f.hit.sample")))
     return findings(first, "privacy-pii-detected", ERROR, message, row=F.col("row"))
 
 
 def large_row_groups(groups: DataFrame, settings: Settings) -> DataFrame:
     most = settings.integer("max_rows_per_group", MAX_ROWS_PER_GROUP)
-    message = F.format_string(f"row group %d has %d rows (>{most}); streaming readers will buffer the whole group before projecting columns", "idx", "num_rows")
+    message = F.format_string(messages.LARGE_ROW_GROUP, "idx", "num_rows", F.lit(most))
     return findings(groups.where(F.col("num_rows") > most), "parquet-row-group-too-large-for-streaming", WARNING, message, row=F.col("idx") + 1)

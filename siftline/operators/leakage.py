@@ -9,6 +9,7 @@ from ..config import Settings
 from ..findings import ERROR, findings, union
 from ..functions.json_values import member, quoted, rounded, text_of, trim
 from ..functions.text import bands, signatures, similarity
+from . import messages
 
 
 def prompts(docs: DataFrame, field: str) -> DataFrame:
@@ -20,7 +21,7 @@ def prompts(docs: DataFrame, field: str) -> DataFrame:
 
 def first_rows(found: DataFrame, by: list[str]) -> DataFrame:
     """The first place of each key, in order of files and rows; places are combined before they are exchanged."""
-    place = F.min(F.struct("path_ord", "row", "path")).alias("place")
+    place = F.min(F.struct("path_ord", "path", "row")).alias("place")
     return found.groupBy(*by).agg(place)
 
 
@@ -32,21 +33,26 @@ def exact_hits(probe: DataFrame, index: DataFrame) -> DataFrame:
 def near_hits(probe: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """probe rows with their most similar prompt of index, at least at the threshold, and `similarity`.
 
-    Equal prompts take one signature, so copies make no bands of their own; ties go to the earliest band, then place.
+    Prompts go by a 128-bit hash, and prompts of one signature by that signature, so texts are exchanged once to be signed
+    and buckets hold different signatures only. Ties go to the earliest band, then place.
     """
-    probes, indexed = probe.select("prompt").distinct(), first_rows(index, ["prompt"])
-    texts = probes.unionByName(indexed.select("prompt")).distinct().select(F.col("prompt").alias("id"), F.col("prompt").alias("text"))
-    signed = signatures(texts)
-    cut = bands(signed)
-    left = cut.join(probes.withColumnRenamed("prompt", "id"), "id", "left_semi").withColumnRenamed("id", "p")
-    right = cut.join(indexed.select(F.col("prompt").alias("id")), "id", "left_semi").withColumnRenamed("id", "q")
-    pairs = left.join(right, ["band", "bucket"]).groupBy("p", "q").agg(F.min("band").alias("band"))
-    a, b = signed.select(F.col("id").alias("p"), F.col("signature").alias("sa")), signed.select(F.col("id").alias("q"), F.col("signature").alias("sb"))
-    scored = pairs.join(a, "p").join(b, "q").select("p", "q", "band", similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    scored = scored.join(indexed.withColumnRenamed("prompt", "q"), "q")
-    best = scored.groupBy("p").agg(F.min(F.struct(-F.col("similarity"), "band", "place")).alias("best"))
-    best = best.select(F.col("p").alias("prompt"), F.col("best.place").alias("place"), (-F.col("best.col1")).alias("similarity"))
-    return probe.join(best, "prompt")
+    own = F.md5("prompt")
+    probes, indexed = probe.withColumn("id", own), index.withColumn("id", own)
+    texts = probes.select("id", "prompt").unionByName(indexed.select("id", "prompt")).dropDuplicates(["id"])
+    signed = signatures(texts, text_column="prompt").withColumn("sign", F.md5(F.array_join("signature", ",")))
+    asked = probes.select("id").distinct().withColumn("asked", F.lit(True))
+    sides = signed.join(first_rows(indexed, ["id"]), "id", "left").join(asked, "id", "left")
+    different = sides.groupBy("sign").agg(F.first("signature").alias("signature"), F.max("asked").alias("asked"), F.min("place").alias("place"))
+    cut = bands(different.select(F.struct("sign", "asked", "place").alias("id"), "signature")).select("id.*", "band", "bucket")
+    left = cut.where("asked").select(F.col("sign").alias("p"), "band", "bucket")
+    right = cut.where("place IS NOT NULL").select(F.col("sign").alias("q"), "place", "band", "bucket")
+    pairs = left.join(right, ["band", "bucket"]).groupBy("p", "q", "place").agg(F.min("band").alias("band"))
+    whole = lambda name, sign: different.select(F.col("sign").alias(name), F.col("signature").alias(sign))
+    scored = pairs.join(whole("p", "sa"), "p").join(whole("q", "sb"), "q").select("p", "band", "place", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
+    best = scored.where(F.col("similarity") >= threshold).groupBy("p").agg(F.min(F.struct((-F.col("similarity")).alias("unlike"), "band", "place")).alias("best"))
+    best = best.select(F.col("p").alias("sign"), F.col("best.place").alias("place"), (-F.col("best.unlike")).alias("similarity"))
+    found = sides.where("asked").select("id", "sign").join(best, "sign").drop("sign")
+    return probes.join(found, "id").drop("id")
 
 
 def overlaps(probe: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
@@ -61,9 +67,8 @@ def overlaps(probe: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
 def train_eval_overlap(train: DataFrame, evaluation: DataFrame, settings: Settings) -> DataFrame:
     field, threshold = settings.text("prompt_field", "prompt"), settings.number("near_dup_threshold", 0.0)
     hits = overlaps(prompts(evaluation, field), prompts(train, field), threshold)
-    place = F.format_string("%s row %d", F.col("place.path"), F.col("place.row"))
-    exact = F.concat(F.lit("eval prompt also appears in train at "), place)
-    near = F.concat(F.lit("eval prompt is a near-duplicate (similarity "), rounded(F.col("similarity"), 2), F.lit(") of train at "), place)
+    exact = F.format_string(messages.EXACT_OVERLAP, "place.path", "place.row")
+    near = F.format_string(messages.NEAR_OVERLAP, rounded(F.col("similarity"), 2), "place.path", "place.row")
     return findings(hits, "train-eval-overlap", ERROR, F.when(F.col("similarity").isNull(), exact).otherwise(near), row=F.col("row"))
 
 
@@ -89,9 +94,9 @@ def cross_dataset_overlap(datasets: DataFrame, names: list[str], settings: Setti
                 probe = found.where(F.col("dataset") == own).drop("dataset").join(index.select("prompt").distinct(), "prompt", "left_anti")
                 parts.append(near_hits(probe, index, threshold).select(F.lit(own).alias("own"), F.lit(against).alias("other"), "path", "row", "place", "similarity"))
     hits = union(datasets.sparkSession, parts)
-    where = F.format_string("dataset %s at %s row %d (this row is in dataset %s)", quoted(F.col("other")), F.col("place.path"), F.col("place.row"), quoted(F.col("own")))
-    near = F.concat(F.lit("prompt is a near-duplicate (similarity "), rounded(F.col("similarity"), 2), F.lit(") of "), where)
-    message = F.when(F.col("similarity").isNull(), F.concat(F.lit("prompt also appears in "), where)).otherwise(near)
+    where = (quoted(F.col("other")), F.col("place.path"), F.col("place.row"), quoted(F.col("own")))
+    near = F.format_string(messages.NEAR_CROSS_OVERLAP, rounded(F.col("similarity"), 2), *where)
+    message = F.when(F.col("similarity").isNull(), F.format_string(messages.EXACT_CROSS_OVERLAP, *where)).otherwise(near)
     return findings(hits, "cross-dataset-overlap", ERROR, message, row=F.col("row"))
 
 

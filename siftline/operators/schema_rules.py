@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..findings import WARNING, findings, union
 from ..functions.json_values import entries, parse_path, quoted, rounded, tag, values_at
+from . import messages
 
 TYPES = ("string", "number", "boolean", "array", "object", "null")
 
@@ -23,7 +24,7 @@ def mixed_types(docs: DataFrame, settings: Settings) -> DataFrame:
     counts = seen.groupBy("path", "key", "kind").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     order = Window.partitionBy("path", "key").orderBy(F.desc("n"), "kind")
     ranked = counts.withColumn("place", F.row_number().over(order)).withColumn("top", F.first(F.struct("kind", "n")).over(order))
-    message = F.format_string("field %s has mixed types: %s dominant (%d rows); %s first seen here (%d rows)", quoted(F.col("key")), F.col("top.kind"), F.col("top.n"), F.col("kind"), F.col("n"))
+    message = F.format_string(messages.MIXED_TYPES, quoted(F.col("key")), F.col("top.kind"), F.col("top.n"), F.col("kind"), F.col("n"))
     return findings(ranked.where("place > 1"), "field-type-mixed-across-rows", WARNING, message, row=F.col("first"))
 
 
@@ -39,7 +40,7 @@ def mismatched_types(docs: DataFrame, settings: Settings) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    message = F.format_string("path %s declared as %s but observed as %s in %d value(s); first at row %d", quoted(F.col("at")), "want", "kind", "n", "first")
+    message = F.format_string(messages.MISMATCHED_TYPE, quoted(F.col("at")), "want", "kind", "n", "first")
     return findings(found, "field-type-mismatch-with-schema", WARNING, message, row=F.col("first"))
 
 
@@ -65,32 +66,31 @@ def optional_fields(docs: DataFrame, settings: Settings) -> DataFrame:
     ratio = F.col("n") / F.col("total")
     usual = seen.join(total, "path").where((ratio >= least) & (ratio < 1) & ~F.col("key").isin(required)).select("path", "key", "n", "first_seen", "total", "first_row", F.lit(False).alias("required"))
     fields = wanted.unionByName(usual)
-    # the first row without the field, only for fields that are reported and that the first row has
-    asked = fields.where("first_seen = first_row").select("path", "key").distinct()
-    without = rows_of(docs).select("path", "row").join(asked, "path").join(entries(docs).select("path", "row", "key"), ["path", "row", "key"], "left_anti")
-    missing = without.groupBy("path", "key").agg(F.min("row").alias("missing"))
+    # the first row without the field, only for fields that are reported and that the first row has; rows are tested in place
+    asked = fields.where("first_seen = first_row").select("path", "key").distinct().groupBy("path").agg(F.collect_set("key").alias("asked"))
+    held = F.coalesce(F.json_object_keys(F.to_json("doc")), F.array().cast("array<string>"))
+    lacking = rows_of(docs).join(asked, "path").select("path", "row", F.explode(F.array_except("asked", held)).alias("key"))
+    missing = lacking.groupBy("path", "key").agg(F.min("row").alias("missing"))
     fields = fields.join(missing, ["path", "key"], "left").withColumn("at", F.coalesce("missing", F.lit(1)))
-    must = F.format_string("schema declares %s as required but %d/%d rows are missing it", quoted(F.col("key")), F.col("total") - F.col("n"), "total")
-    may = F.format_string("field %s appears in %d/%d rows (%s%%); either mark it required or check the missing rows", quoted(F.col("key")), "n", "total", rounded(ratio * 100, 1))
+    must = F.format_string(messages.MISSING_REQUIRED, quoted(F.col("key")), F.col("total") - F.col("n"), "total")
+    may = F.format_string(messages.MOSTLY_PRESENT, quoted(F.col("key")), "n", "total", rounded(ratio * 100, 1))
     return findings(fields, "optional-field-required-by-downstream", WARNING, F.when(F.col("required"), must).otherwise(may), row=F.col("at"))
 
 
 def enum_drift(docs: DataFrame, settings: Settings) -> DataFrame:
     """Values that a string field takes after its first `lock_in_rows` occurrences and not among them.
 
-    Fields with more than `max_distinct` values among the first are free text. Only those first occurrences are ranked:
-    a grouped aggregate keeps the least rows of each field, so a field of many rows is never in one task.
+    Fields with more than `max_distinct` values among the first are free text. The first occurrences are ranked without
+    their values, and Spark limits the ranks before it exchanges rows; then only values that are new to an enum are exchanged.
     """
-    lock_in, most = settings.integer("lock_in_rows", 5), settings.integer("max_distinct", 8)
+    lock_in, most = max(1, settings.integer("lock_in_rows", 5)), settings.integer("max_distinct", 8)
     strings = entries(docs).where(tag(F.col("value")) == "string").select("path", "key", "row", F.try_variant_get("value", "$", "string").alias("v"))
-    firsts = strings.groupBy("path", "key", "v").agg(F.min("row").alias("first"))
-    # the last row of the lock-in: the rows of a field are spread over salts, each keeps its least ones
-    salted = strings.select("path", "key", "row", F.pmod(F.xxhash64("row"), F.lit(64)).alias("salt"))
-    local = salted.withColumn("place", F.row_number().over(Window.partitionBy("path", "key", "salt").orderBy("row"))).where(F.col("place") <= max(1, lock_in))
     place = F.row_number().over(Window.partitionBy("path", "key").orderBy("row"))
-    last = local.withColumn("place", place).where(F.col("place") <= max(1, lock_in)).groupBy("path", "key").agg(F.max("row").alias("last"), F.count("*").alias("n"))
-    values = firsts.join(last.where(F.col("n") >= max(1, lock_in)), ["path", "key"])
-    enums = values.where("first <= last").groupBy("path", "key").agg(F.count("*").alias("kinds")).where(F.col("kinds") <= most)
-    drifted = values.where("first > last").join(enums, ["path", "key"], "left_semi")
-    message = F.format_string(f"field %s gained value %s not seen in the first {lock_in} lock-in rows", quoted(F.col("key")), quoted(F.col("v")))
+    first = strings.select("path", "key", "row").withColumn("place", place).where(F.col("place") <= lock_in)
+    last = first.groupBy("path", "key").agg(F.max("row").alias("last"), F.count("*").alias("n")).where(F.col("n") >= lock_in).drop("n")
+    locked = strings.join(last, ["path", "key"]).where("row <= last").groupBy("path", "key", "last").agg(F.collect_set("v").alias("locked"))
+    enums = locked.where(F.size("locked") <= most)
+    fresh = strings.join(enums, ["path", "key"]).where("row > last AND NOT array_contains(locked, v)")
+    drifted = fresh.groupBy("path", "key", "v").agg(F.min("row").alias("first"))
+    message = F.format_string(messages.ENUM_DRIFT, quoted(F.col("key")), quoted(F.col("v")), F.lit(lock_in))
     return findings(drifted, "enum-drift", WARNING, message, row=F.col("first"))
