@@ -42,10 +42,12 @@ def shared_strings(found: DataFrame) -> DataFrame:
 
 def top_values(strings: DataFrame) -> DataFrame:
     """(side, key, v, n, place): the commonest values by count, then value; none for free text."""
-    counts = strings.groupBy("key", "side", "v").agg(F.count("*").alias("n"))
-    few = counts.select("key", "v").distinct().groupBy("key").agg(F.count("*").alias("values")).where(F.col("values") <= MOST_VALUES)
+    # hashes tell which fields have few values, so that free text is never a key
+    kinds = strings.select("key", F.xxhash64("v").alias("h")).distinct().groupBy("key").agg(F.count("*").alias("values"))
+    few = kinds.where(F.col("values") <= MOST_VALUES).select("key")
+    counts = strings.join(few, "key", "left_semi").groupBy("key", "side", "v").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("side", "key").orderBy(F.desc("n"), "v")).cast("int")
-    return counts.join(few, "key", "left_semi").withColumn("place", place).where(F.col("place") <= TOP).select("side", "key", "v", "n", "place")
+    return counts.withColumn("place", place).where(F.col("place") <= TOP).select("side", "key", "v", "n", "place")
 
 
 def length_stats(strings: DataFrame) -> DataFrame:
@@ -108,7 +110,9 @@ def compare(old: DataFrame, new: DataFrame, old_path: str = "old", new_path: str
     """The report on two tables of records."""
     found = members(old, new).persist()
     strings = shared_strings(found).persist()
-    fields = {s: sorted(r.key for r in field_sets(found).where(F.col("status") == s).collect()) for s in ("added", "removed", "common")}
+    fields: dict[str, list[str]] = {"added": [], "removed": [], "common": []}
+    for r in field_sets(found).orderBy("key").collect():
+        fields[r.status].append(r.key)
     made: dict[str, Distribution] = {}
     at = lambda key: made.setdefault(key, Distribution(key))
     for r in length_stats(strings).collect():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +14,15 @@ from ..config import Settings
 from ..findings import at_least
 from ..functions.text import BANDS, SCRIPTS, bands, coefficients, shingles, signatures
 from ..operators import chat_rules, file_rules, leakage, schema_rules
+from ..sinks.fixes import edits_of
 from ..sinks.report import drops as drop_rows
 from ..sinks.report import summary
-from ..sources.jsonl import records, table_records
+from ..sources.jsonl import read_jsonl, records, table_records
+from ..sources.parquet_footers import read_row_groups
+from ..sources.python_calls import calls, read_sources
 from . import diff
-from .suppress import MARKER, in_records, without_suppressed
+from .lint import lint_calls
+from .suppress import MARKER, in_records, in_sources, without_suppressed
 
 DEFAULT = Settings()
 
@@ -38,9 +45,9 @@ def _lines(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
     return records(events.select(F.lit("events").alias("path"), F.lit(0).alias("path_ord"), (F.col("event_id") + 1).alias("row"), F.expr(line).alias("line")))
 
 
-def _chats(spark: SparkSession, sf_dir: str, where: str = "true", role: str = "role", calls: str = "cast(array() AS array<string>)") -> DataFrame:
+def _chats(spark: SparkSession, sf_dir: str, role: str = "role", calls: str = "cast(array() AS array<string>)") -> DataFrame:
     """A record with messages for each conversation, in order of turn."""
-    rows = _table(spark, sf_dir, "conversations").where(where)
+    rows = _table(spark, sf_dir, "conversations")
     message = F.expr(f"struct({role} AS role, text AS content, concat('c', turn % 3) AS tool_call_id, transform({calls}, x -> struct(x AS id)) AS tool_calls)")
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("said")).select("conv_id", F.transform("said", lambda s: s.m).alias("messages"))
     return table_records(chats, F.col("conv_id") + 1, "conversations", "messages")
@@ -50,6 +57,70 @@ def malformed_lines(spark, sf_dir):
     return _shown(file_rules.malformed_lines(_lines(spark, sf_dir, "CASE event_id % 50 WHEN 0 THEN concat(props, ' x') WHEN 1 THEN '  ' ELSE props END"), DEFAULT))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share; where the session names none and runs on one machine, a temporary one."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/files-{uuid.uuid4().hex}"
+
+
+def _part(path: str = "path") -> Column:
+    """The part that a file written by _in_files holds."""
+    return F.regexp_extract(path, r"/part=(\d+)/", 1).cast("long").alias("part")
+
+
+def _in_files(df: DataFrame, order: str, *columns: str) -> str:
+    """Writes df (with a column `part`) as one file for each part, in an order; the folder. One column is written as text, more as Parquet."""
+    folder = _folder(df.sparkSession)
+    rows = df.repartition("part").sortWithinPartitions("part", order).select("part", *columns).write.partitionBy("part")
+    rows.parquet(folder) if len(columns) > 1 else rows.text(folder)
+    return folder
+
+
+def jsonl_files(spark, sf_dir):
+    """Lines of files that are written and read back, some malformed, some ending in a carriage return; rows count by file."""
+    line = F.expr("CASE event_id % 50 WHEN 0 THEN concat(props, ' x') WHEN 1 THEN '  ' WHEN 2 THEN concat(props, '\\r') ELSE props END").alias("line")
+    folder = _in_files(_table(spark, sf_dir, "events").select((F.col("event_id") % 16).alias("part"), "event_id", line), "event_id", "line")
+    return file_rules.malformed_lines(read_jsonl(spark, [folder], ".txt"), DEFAULT).select("rule_id", "severity", "message", _part(), "row")
+
+
+def row_groups(spark, sf_dir):
+    """Row groups of files that are written and whose footers are read."""
+    folder = _in_files(_table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", "n_chars"), "doc_id", "doc_id", "n_chars")
+    return file_rules.large_row_groups(read_row_groups(spark, [folder]), Settings({"max_rows_per_group": 12})).select("rule_id", "severity", "message", _part(), "row")
+
+
+#: Source files, the one of a nation by its key modulo their number.
+CODE = (
+    "import random\nrandom.shuffle(a)",
+    "import random\nrandom.seed(1)\nrandom.shuffle(a)",
+    "import numpy as np\nnp.random.permutation(a)\nnp.random.choice(b)",
+    "import random\ntrain_test_split(a)\nrandom.shuffle(a)",
+    "df.drop_duplicates()",
+    "set(x.lower())",
+    f"import random\nrandom.shuffle(a)  # {MARKER}:disable=random-seed-not-set\nrandom.sample(b, 1)",
+    "def f(:",
+    "train_test_split(random.shuffle(a), random.seed(0))\nprint(unique(a))",
+)
+
+
+def _code_findings(spark, sf_dir) -> DataFrame:
+    """Findings of all code rules on a file for each nation, but those that a comment on their line switches off."""
+    source = F.element_at(F.array(*map(F.lit, CODE)), (F.col("n_nationkey") % len(CODE) + 1).cast("int")).alias("source")
+    folder = _in_files(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("part"), "n_name", source), "n_name", "source")
+    sources = read_sources(spark, [folder], ending=".txt")
+    return without_suppressed(lint_calls(calls(sources)), lines=in_sources(sources))
+
+
+def code_files(spark, sf_dir):
+    return _code_findings(spark, sf_dir).select("rule_id", "severity", "message", _part(), "line", "col")
+
+
+def fix_edits(spark, sf_dir):
+    return edits_of(_code_findings(spark, sf_dir)).select(_part(), "line", "insert")
+
+
 def pii_scan(spark, sf_dir):
     return _shown(file_rules.personal_data(_documents(spark, sf_dir), DEFAULT))
 
@@ -59,7 +130,8 @@ def type_mixed(spark, sf_dir):
 
 
 def type_mismatch(spark, sf_dir):
-    return _shown(schema_rules.mismatched_types(_lines(spark, sf_dir, """CASE WHEN event_id % 97 = 0 THEN '{"k": "x", "m": [{"a": 1}, {"a": "s"}]}' ELSE props END"""), Settings({"field_types": {"k": "string", "m[].a": "number"}})))
+    """Two declarations that hold and three that are not valid and count for nothing."""
+    return _shown(schema_rules.mismatched_types(_lines(spark, sf_dir, """CASE WHEN event_id % 97 = 0 THEN '{"k": "x", "m": [{"a": 1}, {"a": "s"}]}' ELSE props END"""), Settings({"field_types": {"k": "string", "m[].a": "number", "k..x": "string", "event": "word", "k.": "number"}})))
 
 
 def optional_field(spark, sf_dir):
@@ -72,8 +144,11 @@ def enum_drift(spark, sf_dir):
     return _shown(schema_rules.enum_drift(table_records(events, F.col("event_id") + 1, "events", "event_type"), Settings({"lock_in_rows": 3})))
 
 
+INVERTED = "CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 0 THEN 'assistant' ELSE role END"
+
+
 def role_inversion(spark, sf_dir):
-    return _shown(chat_rules.role_inversion(_chats(spark, sf_dir, "NOT (role = 'user' AND (conv_id + turn) % 5 = 0)"), DEFAULT))
+    return _shown(chat_rules.role_inversion(_chats(spark, sf_dir, role=INVERTED), DEFAULT))
 
 
 def system_mid(spark, sf_dir):
@@ -193,7 +268,7 @@ def rule_summary(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        malformed_lines, pii_scan, type_mixed, type_mismatch, optional_field, enum_drift, role_inversion, system_mid, tool_without_call, unbalanced_tool_call, eval_leaks,
+        malformed_lines, jsonl_files, row_groups, code_files, fix_edits, pii_scan, type_mixed, type_mismatch, optional_field, enum_drift, role_inversion, system_mid, tool_without_call, unbalanced_tool_call, eval_leaks,
         exact_overlap, near_overlap, cross_dataset, benchmark_contained, shingle_counts, minhash, band_buckets, script_mix, length_stats, field_sets, top_values, drops,
         severity_filter, suppressed, rule_summary,
     )
@@ -212,8 +287,8 @@ drift AS (SELECT 'enum-drift' AS rule_id, 1 AS severity, 'field "lang" gained va
 both_rules AS (SELECT * FROM pii UNION ALL SELECT * FROM drift)"""
 
 
-def _chat_sql(role: str, where: str = "true", calls: str = "[]") -> str:
-    return f"""WITH said AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, {role} AS role, 'c' || turn % 3 AS used, {calls} AS calls FROM conversations WHERE {where})"""
+def _chat_sql(role: str, calls: str = "[]") -> str:
+    return f"""WITH said AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, {role} AS role, 'c' || turn % 3 AS used, {calls} AS calls FROM conversations)"""
 
 
 _CALLS = "CASE WHEN (conv_id + turn) % 3 = 0 THEN ['c' || turn % 2] ELSE [] END"
@@ -231,7 +306,7 @@ SELECT 'optional-field-required-by-downstream' AS rule_id, 1 AS severity, 'schem
 UNION ALL SELECT 'optional-field-required-by-downstream', 1, 'field "b" appears in ' || n || '/' || total || ' rows (' || printf('%.1f', 100.0 * n / total) || '%); either mark it required or check the missing rows', 'events', missing FROM t""",
     "enum_drift": """WITH v AS (SELECT event_type AS v, min(event_id + 1) AS first FROM events GROUP BY 1), l AS (SELECT max(event_id + 1) AS last FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 3))
 SELECT 'enum-drift' AS rule_id, 1 AS severity, 'field "event_type" gained value "' || v || '" not seen in the first 3 lock-in rows' AS message, 'events' AS path, first AS row FROM v, l WHERE first > last""",
-    "role_inversion": _chat_sql("role", "NOT (role = 'user' AND (conv_id + turn) % 5 = 0)") + f""", l AS (SELECT conv_id, i, role, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM said), f AS (SELECT conv_id, min(i) AS i FROM l WHERE role = 'assistant' AND before = 'assistant' GROUP BY conv_id)
+    "role_inversion": _chat_sql(INVERTED) + f""", l AS (SELECT conv_id, i, role, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM said), f AS (SELECT conv_id, min(i) AS i FROM l WHERE role = 'assistant' AND before = 'assistant' GROUP BY conv_id)
 SELECT 'role-inversion' AS rule_id, 2 AS severity, 'assistant message at index ' || i || ' follows assistant at index ' || i - 1 || ' with no user/tool between' AS message, {_PLACE} FROM f""",
     "system_mid": _chat_sql("CASE WHEN (conv_id + turn) % 7 = 0 THEN 'system' ELSE role END") + f""", f AS (SELECT conv_id, min(i) AS i FROM said WHERE role = 'system' AND i > 0 GROUP BY conv_id)
 SELECT 'system-message-mid-conversation' AS rule_id, 2 AS severity, 'system message at index ' || i || ' (only index 0 is conventional); likely a misformatted prompt template' AS message, {_PLACE} FROM f""",
@@ -269,6 +344,21 @@ x AS (SELECT prompt, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) % 2147483647 A
 g AS (SELECT prompt, [""" + ", ".join(f"min(({a} * x + {b}) % 2147483647)" for a, b in coefficients()) + """] AS h FROM x GROUP BY prompt),
 b AS (SELECT prompt, h, unnest(range(32)) AS band FROM g), k AS (SELECT prompt, band, h[4 * band + 1:4 * band + 4] AS bucket FROM b)"""
 
+ORACLES["band_buckets"] = f"""WITH p AS (SELECT doc_id, text AS prompt FROM documents), {_SIGNED}, shared AS (SELECT band, count(*) AS n FROM k JOIN p USING (prompt) GROUP BY band, bucket HAVING count(*) > 1)
+SELECT CAST(band AS INTEGER) AS band, CAST(sum(n) AS BIGINT) AS n_docs FROM shared GROUP BY band"""
+
+_CODE_ROWS = """(VALUES (0, 'seed', 'random.shuffle', 2, 'random'), (2, 'seed', 'np.random.permutation', 2, 'np.random'), (2, 'seed', 'np.random.choice', 3, 'np.random'), (3, 'seed', 'random.shuffle', 3, 'random'),
+  (3, 'split', 'random.shuffle', 3, NULL), (4, 'dedup', 'drop_duplicates', 1, NULL), (6, 'seed', 'random.sample', 3, 'random'), (8, 'dedup', 'unique', 2, NULL)) AS c(k, rule, name, line, seed)"""
+ORACLES["code_files"] = f"""SELECT CASE rule WHEN 'seed' THEN 'random-seed-not-set' WHEN 'split' THEN 'shuffle-after-split' ELSE 'dedup-key-misses-normalization' END AS rule_id, CASE rule WHEN 'split' THEN 2 ELSE 1 END AS severity,
+  name || CASE rule WHEN 'seed' THEN ' called without random.seed/np.random.seed earlier in this file; pipeline output is non-reproducible' WHEN 'split' THEN ' called after train/eval split; either shuffle before splitting or seed each split''s RNG explicitly'
+  ELSE ' called with no string normalization (lower/strip/casefold/unicodedata.normalize) elsewhere in this file; near-duplicates may slip through' END AS message, CAST(n_nationkey AS BIGINT) AS part, line, CASE name WHEN 'unique' THEN 7 ELSE 1 END AS col
+FROM nation JOIN {_CODE_ROWS} ON n_nationkey % 9 = k"""
+ORACLES["fix_edits"] = f"SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS part, 2 AS line, seed || '.seed(0)' || chr(10) AS insert FROM nation JOIN {_CODE_ROWS} ON n_nationkey % 9 = k WHERE seed IS NOT NULL"
+ORACLES["jsonl_files"] = """WITH e AS (SELECT event_id, event_id % 16 AS part, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) AS row FROM events)
+SELECT 'jsonl-malformed-line' AS rule_id, 2 AS severity, CASE event_id % 50 WHEN 0 THEN 'invalid JSON: the line is not one JSON value' ELSE 'blank line in JSONL' END AS message, part, row FROM e WHERE event_id % 50 < 2"""
+ORACLES["row_groups"] = """SELECT 'parquet-row-group-too-large-for-streaming' AS rule_id, 1 AS severity, 'row group 0 has ' || count(*) || ' rows (>12); streaming readers will buffer the whole group before projecting columns' AS message, doc_id % 16 AS part, CAST(1 AS BIGINT) AS row
+FROM documents GROUP BY doc_id % 16 HAVING count(*) > 12"""
+
 ORACLES["near_overlap"] = f"""WITH p AS (SELECT doc_id, {_TRIM} AS prompt FROM documents), t AS (SELECT prompt, min(doc_id + 1) AS place FROM p WHERE doc_id % 2 = 0 AND prompt <> '' GROUP BY prompt),
 e AS (SELECT doc_id, prompt FROM p WHERE doc_id % 2 = 1 AND prompt <> ''), {_SIGNED},
 pairs AS (SELECT l.prompt AS a, r.prompt AS c, min(l.band) AS band FROM k l JOIN k r ON l.band = r.band AND l.bucket = r.bucket WHERE l.prompt IN (SELECT prompt FROM e) AND l.prompt NOT IN (SELECT prompt FROM t) AND r.prompt IN (SELECT prompt FROM t) GROUP BY 1, 2),
