@@ -17,7 +17,9 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A key is hot if more rows have it than this, and than 1 / HOT_KEYS of all rows have; so HOT_KEYS of them are hot at most.
-HOT_ROWS, HOT_KEYS = 256, 50_000
+HOT_ROWS, HOT_KEYS = 4096, 50_000
+#: Bits of a filter: so many for each key, and at least and at most so many as powers of two, which makes 32 MB.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 32, 20, 28
 #: Items of an array that are folded together.
 FOLD = 256
 
@@ -122,6 +124,23 @@ def join_hot(rows: DataFrame, by: Keyed, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(cold)
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with a boolean: false if the key (a 64-bit hash) is surely not among `key` of keys, true if it is or may be.
+
+    A bitmap of the keys, of at most 2 ** FILTER_MOST bits, is broadcast, so rows that need no join need no exchange. With
+    very many keys it fills up, and more rows are true; none that should be is false.
+    """
+    bits = min(max((keys.count() * FILTER_BITS).bit_length(), FILTER_LEAST), FILTER_MOST)
+    at = lambda c: c.bitwiseAND((1 << bits) - 1)
+    held = keys.select(at(F.col(key)).alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+    held = held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    asked = rows.withColumn("_bit", at(F.col(key))).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
+    place = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return asked.join(F.broadcast(held), "_bucket", "left").withColumn(flag, there).drop("_bit", "_bucket", "_map")
+
+
 def before_each(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
     """For each item of an array: `merge` over zero and all items before it.
 

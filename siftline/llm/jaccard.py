@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keyed, cut, cut_observed, in_batches, join_hot, keyed, map_batches, spread
+from .common import Keyed, cut, cut_observed, in_batches, join_hot, keyed, map_batches, maybe_in, spread
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
 SHINGLE = 5
@@ -349,9 +349,9 @@ def _with_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, mark2) of every document, and a row for each different text: mark, mark2, text_id, n_links, first.
+    """(doc_id, mark, mark2) of every document, and a row for each different text: mark, mark2, text_id, n_links, first, alone.
 
-    first: text_id, mark and mark2 of the text that stands for the class.
+    first: text_id, mark and mark2 of the text that stands for the class; alone: whether the class has one document only.
     """
     texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     runs = runs_for(recall)
@@ -359,13 +359,15 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     sketched = cut(sketched.withColumn("set_id", F.monotonically_increasing_id()))
     # one set for each different text: the row with the least doc_id stands for it
     row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "set_id", "n")).alias("row")
-    sets = cut(sketched.groupBy("mark", "mark2").agg(row).select("mark", "mark2", F.col("row.doc_id").alias("text_id"), "row.set_id", "row.n"))
+    sets = sketched.groupBy("mark", "mark2").agg(row, F.count("*").alias("copies"))
+    sets = cut(sets.select("mark", "mark2", F.col("row.doc_id").alias("text_id"), "row.set_id", "row.n", "copies"))
     tied = ties(sketched.join(sets.where("n > 0").select("set_id"), "set_id", "left_semi"), runs)
     clusters = cut(components(tied).select(F.col("id").alias("set_id"), F.col("root").alias("cluster")))
     # the text of one document for each set that is in a cluster
-    chosen = sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2"))
-    same = texts["doc_id"].eqNullSafe(chosen["text_id"]) & (texts["mark"] == chosen["_mark"]) & (texts["mark2"] == chosen["_mark2"])
-    found = texts.join(chosen.hint("shuffle_hash"), same).select("set_id", "cluster", "text")
+    chosen = cut(sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2")))
+    asked = maybe_in(texts, chosen.select(F.col("_mark").alias("mark")), "mark", "_asked").where("_asked")
+    same = asked["doc_id"].eqNullSafe(chosen["text_id"]) & (asked["mark"] == chosen["_mark"]) & (asked["mark2"] == chosen["_mark2"])
+    found = asked.join(chosen.hint("shuffle_hash"), same).select("set_id", "cluster", "text")
     members = cut(map_batches(found, _with_shingles, "set_id long, cluster long, n long, shingles binary").dropDuplicates(["set_id"]))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("many") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
@@ -383,9 +385,9 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     named = cut(joined.join(sets.select(F.col("set_id").alias("id"), order.alias("own")), "id"))
     roots = keyed(named.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")))
     of_set = join_hot(named, roots, "root").select(F.col("id").alias("set_id"), "first")
-    of_set = sets.select("mark", "mark2", "set_id", "text_id").join(of_set, "set_id", "left").join(links, "set_id", "left")
-    first = F.coalesce("first", order)
-    return sketched.select("doc_id", "mark", "mark2"), of_set.select("mark", "mark2", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), first.alias("first"))
+    of_set = sets.select("mark", "mark2", "set_id", "text_id", "copies").join(of_set, "set_id", "left").join(links, "set_id", "left")
+    columns = (F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", order).alias("first"), (F.col("first").isNull() & (F.col("copies") == 1)).alias("alone"))
+    return sketched.select("doc_id", "mark", "mark2"), of_set.select("mark", "mark2", "text_id", *columns)
 
 
 def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -395,10 +397,17 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """docs, all columns, with one document of each class: the one with the least doc_id. Rows never leave Spark."""
+    """docs, all columns, with one document of each class: the one with the least doc_id.
+
+    Rows never leave Spark, and those that are surely alone in their class are not exchanged.
+    """
     _, of_set = classes(docs, recall)
-    kept = of_set.select(F.struct("first.text_id", "first.mark", "first.mark2").alias("_kept")).distinct()
+    of_set = cut(of_set.select("mark", "first", "alone"))
     own = marked(docs.select(F.col("doc_id").cast("long").alias("text_id"), "text", F.struct(*docs.columns).alias("_row")))
-    rows = own.select(F.struct("text_id", "mark", "mark2").alias("_own"), "_row")
-    met = rows.join(kept.hint("shuffle_hash"), rows["_own"] == kept["_kept"], "left_semi")
-    return met.dropDuplicates(["_own"]).select("_row.*")
+    rows = own.select("mark", F.struct("text_id", "mark", "mark2").alias("_own"), "_row")
+    rows = maybe_in(rows, of_set.where("NOT alone"), "mark", "_met")
+    # a row with the bit of a shared class by chance is alone: it is its class's first
+    kept = of_set.select(F.struct("first.text_id", "first.mark", "first.mark2").alias("_kept"), "mark")
+    kept = maybe_in(kept, of_set.where("NOT alone"), "mark", "_met").where("_met").select("_kept").distinct()
+    met = rows.where("_met").join(kept.hint("shuffle_hash"), F.col("_own") == F.col("_kept"), "left_semi").dropDuplicates(["_own"])
+    return rows.where("NOT _met").select("_row.*").unionByName(met.select("_row.*"))
