@@ -231,8 +231,12 @@ def edit_trees(kept: DataFrame, ranks: str | None = None, texts: bool = True) ->
                 for k, ((block, place, until), pieces) in found.items():
                     trees[k].replace(block, place, until, [len(p) for p in pieces], [known[p] for p in pieces])
                     touched[k] += len(pieces)
-            *lists, chars, tokens, many = _stored(trees)
-            own = [pa.array(plain, pa.string()), *lists] if texts else []
+            if texts:
+                *lists, chars, tokens, many = _stored(trees)
+                own = [pa.array(plain, pa.string()), *lists]
+            else:
+                own, counts = [], ([t.chars for t in trees], [t.tokens for t in trees], [sum(len(b[0]) for b in t.blocks) for t in trees])
+                chars, tokens, many = (pa.array(x, pa.int64()) for x in counts)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *own, chars, tokens, many, rows.column("n_tokens"), rows.column("n_pretokens"), pa.array(touched)], _names(schema))
 
     return map_batches(kept.select("doc_id", "text", *names, "n_tokens", "n_pretokens", F.col("edits").cast(EDITS).alias("edits")), run, schema)
