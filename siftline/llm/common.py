@@ -109,8 +109,8 @@ def keyed(df: DataFrame, n: str = "n") -> Keyed:
     return Keyed(rows, n, seen["total"], seen["most"])
 
 
-def join_hot(rows: DataFrame, by: Keyed, key: str) -> DataFrame:
-    """rows joined with a keyed table.
+def join_hot(rows: DataFrame, by: Keyed, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a keyed table; how: inner, or left to keep rows whose key it lacks.
 
     Rows of hot keys stay where they are: the hot part of the keyed table is broadcast, HOT_KEYS rows at most. So no task
     gets more rows of one key than the greater of HOT_ROWS and 1 / HOT_KEYS of all. If there are hot keys, rows are read
@@ -118,9 +118,9 @@ def join_hot(rows: DataFrame, by: Keyed, key: str) -> DataFrame:
     """
     most = max(HOT_ROWS, by.total // HOT_KEYS)
     if by.most <= most:
-        return rows.join(by.rows, key)
+        return rows.join(by.rows, key, how)
     hot = F.broadcast(by.rows.where(F.col(by.n) > most))
-    cold = rows.join(hot.select(key), key, "left_anti").join(by.rows.where(F.col(by.n) <= most), key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(by.rows.where(F.col(by.n) <= most), key, how)
     return rows.join(hot, key).unionByName(cold)
 
 
