@@ -130,11 +130,11 @@ def levels(x: np.ndarray) -> np.ndarray:
             if len(rows) == 1:
                 out[rows, k:] = rows[0]
                 continue
-            chosen = rows[net(x[rows], radius)]
-            of = nearest(x[rows], x[chosen])[0] if len(chosen) > 1 else np.zeros(len(rows), np.int64)
-            of[np.searchsorted(rows, chosen)] = np.arange(len(chosen))  # equal distances do not part a centre from itself
-            out[rows, k] = chosen[of]
-            order = np.argsort(of, kind="stable")
+            places = net(x[rows], radius)
+            of = nearest(x[rows], x[rows[places]])[0] if len(places) > 1 else np.zeros(len(rows), np.int64)
+            of[places] = np.arange(len(places))  # equal distances do not part a centre from itself
+            out[rows, k] = rows[places][of]
+            order = np.lexsort((out[rows, k] != rows, of))  # centres first
             below += np.split(rows[order], np.flatnonzero(np.diff(of[order])) + 1)
         nodes = below
     return out
@@ -320,7 +320,7 @@ def linked(sets: DataFrame, n: int, unit: int = UNIT) -> DataFrame:
     """
     wanted = max(1, min(max(-(-n // unit), math.ceil(math.sqrt(2 * spread(sets)))), n // 64))
     sample = sets.orderBy("mark", "set_id").limit(min(SAMPLE, OF_UNIT * wanted)).select("vector").toArrow()  # bounded
-    points = matrix(sample.column("vector").combine_chunks())
+    points = matrix(sample.column("vector").combine_chunks()) if sample.num_rows else np.zeros((1, 1))
     chosen, radius = np.zeros(1, np.int64), 2.0
     while len(chosen) < wanted and radius > TAU:  # nested levels, as each net begins with the one before
         radius /= 2

@@ -47,7 +47,7 @@ class _Run:
         sums = {}
         for c, base in self.bases.items():
             total = np.cumsum(values[c].view(U64) * powers(base, place))
-            sums[c] = total - np.where(begin > 0, total[begin - 1], U64(0)) + np.where(begin < 0, U64(self.total[c]), U64(0))
+            sums[c] = total - np.where(begin > 0, total[np.maximum(begin - 1, 0)], U64(0)) + np.where(begin < 0, U64(self.total[c]), U64(0))
         self.group, self.n = int(group[-1]), int(place[-1]) + 1
         self.total = {c: int(s[-1]) for c, s in sums.items()}
         self.last = {c: int(values[c][-1]) for c in self.behind}
