@@ -35,35 +35,44 @@ EDITS = "array<struct<start:long,stop:long,text:string>>"
 
 
 class Tree:
-    """Segment tree over the pre-tokens of one text: their widths in code points and their numbers of tokens."""
+    """Segment tree over the pre-tokens of one text: their widths in code points and their numbers of tokens.
 
-    def __init__(self, blocks: list[tuple[list[int], list[int]]], sums: list[list[int]]):
-        self.blocks, self.sums, self.size = blocks, sums, len(sums[0]) // 2
+    Sizes of blocks, widths and tokens are arrays that stay as they are; only blocks that are looked at become lists.
+    """
+
+    def __init__(self, sizes: np.ndarray, widths: np.ndarray, tokens: np.ndarray, chars: np.ndarray, counts: np.ndarray):
+        self.sizes, self.leaves, self.sums = sizes, (widths, tokens), [chars.tolist(), counts.tolist()]
+        self.starts, self.size = np.cumsum(sizes) - sizes, len(chars) // 2
+        self.seen: dict[int, tuple[list[int], list[int]]] = {}
+        self.changed: set[int] = set()
 
     @classmethod
     def built(cls, widths: np.ndarray, tokens: np.ndarray) -> Tree:
-        blocks = [(widths[i : i + BLOCK].tolist(), tokens[i : i + BLOCK].tolist()) for i in range(0, len(widths), BLOCK)] or [([], [])]
-        size = 1 << (len(blocks) - 1).bit_length()
-        sums = [[0] * (2 * size), [0] * (2 * size)]
-        for side, of_side in enumerate(sums):
-            of_side[size : size + len(blocks)] = [sum(b[side]) for b in blocks]
-            for node in range(size - 1, 0, -1):
-                of_side[node] = of_side[2 * node] + of_side[2 * node + 1]
-        return cls(blocks, sums)
+        columns = layout(widths, tokens, np.array([0, len(widths)]))
+        return cls(*(values for values, _ in columns))
 
-    @classmethod
-    def kept(cls, sizes: list[int], widths: list[int], tokens: list[int], chars: list[int], counts: list[int]) -> Tree:
-        """From the arrays of columns()."""
-        ends = np.cumsum(sizes).tolist()
-        return cls([(widths[e - n : e], tokens[e - n : e]) for e, n in zip(ends, sizes, strict=True)], [chars, counts])
+    def block(self, b: int) -> tuple[list[int], list[int]]:
+        if b not in self.seen:
+            a, e = self.starts[b], self.starts[b] + self.sizes[b]
+            self.seen[b] = tuple(side[a:e].tolist() for side in self.leaves)
+        return self.seen[b]
+
+    @property
+    def pretokens(self) -> int:
+        return int(self.sizes.sum()) + sum(len(self.seen[b][0]) - int(self.sizes[b]) for b in self.changed)
 
-    def columns(self) -> tuple[list[int], ...]:
+    def columns(self) -> list[np.ndarray]:
         """Sizes of the blocks, widths, tokens, and the nodes' sums of both."""
-        widths, tokens = ([x for b in self.blocks for x in b[side]] for side in (0, 1))
-        if max(len(b[0]) for b in self.blocks) > MOST:
-            fresh = Tree.built(np.array(widths), np.array(tokens))
-            self.blocks, self.sums, self.size = fresh.blocks, fresh.sums, fresh.size
-        return [len(b[0]) for b in self.blocks], widths, tokens, *self.sums
+        sizes, parts, at = self.sizes.copy(), [[], []], 0
+        for b in sorted(self.changed):
+            sizes[b] = len(self.seen[b][0])
+            for side in (0, 1):
+                parts[side] += [self.leaves[side][at : self.starts[b]], np.array(self.seen[b][side], np.int64)]
+            at = self.starts[b] + self.sizes[b]
+        widths, tokens = (np.concatenate([*parts[side], self.leaves[side][at:]]) for side in (0, 1))
+        if sizes.max() > MOST:
+            return [values for values, _ in layout(widths, tokens, np.array([0, len(widths)]))]
+        return [sizes, widths, tokens, *(np.array(x, np.int64) for x in self.sums)]
 
     @property
     def chars(self) -> int:
@@ -83,42 +92,44 @@ class Tree:
                 start += self.sums[0][node]
                 node += 1
         block = node - self.size
-        for place, width in enumerate(self.blocks[block][0]):
+        widths = self.block(block)[0]
+        for place, width in enumerate(widths):
             if at < start + width:
                 return block, place, start
             start += width
-        return block, len(self.blocks[block][0]), start
+        return block, len(widths), start
 
     def back(self, block: int, place: int, start: int, steps: int) -> tuple[int, int, int]:
         """Some pre-tokens to the left, or the first."""
         while steps:
             if place:
                 place -= 1
-                start -= self.blocks[block][0][place]
+                start -= self.block(block)[0][place]
                 steps -= 1
             elif block:
                 block -= 1
-                place = len(self.blocks[block][0])
+                place = len(self.block(block)[0])
             else:
                 break
         return block, place, start
 
     def ahead(self, block: int, place: int, start: int):
         """(block, place, start) of each pre-token from here on, and of the end."""
-        for b in range(block, len(self.blocks)):
-            widths = self.blocks[b][0]
+        for b in range(block, len(self.sizes)):
+            widths = self.block(b)[0]
             for p in range(place if b == block else 0, len(widths)):
                 yield b, p, start
                 start += widths[p]
-        yield len(self.blocks), 0, start
+        yield len(self.sizes), 0, start
 
     def replace(self, block: int, place: int, until: tuple[int, int], widths: list[int], tokens: list[int]) -> None:
         """Puts pre-tokens in place of those from (block, place) up to `until`; they stay in the first block."""
         last, stop = until
         for side, new in enumerate((widths, tokens)):
             sums = self.sums[side]
-            for b in range(block, min(last, len(self.blocks) - 1) + 1):
-                values = self.blocks[b][side]
+            for b in range(block, min(last, len(self.sizes) - 1) + 1):
+                values = self.block(b)[side]
+                self.changed.add(b)
                 left = values[:place] + new if b == block else []
                 right = values[stop:] if b == last else []
                 values[:] = left + right
@@ -150,14 +161,29 @@ def region(tree: Tree, pattern: regex.Pattern, text: str, start: int, stop: int,
         end = match.end()
 
 
-def _trees(words: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> list[Tree]:
-    starts, bounds = pretokens(data, offsets)
-    ends = np.append(starts[1:], len(data))
-    _, counts = words.encode_pieces(data, starts, ends)
-    lead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-    widths = lead[ends] - lead[starts] if len(starts) else counts
-    return [Tree.built(widths[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def layout(widths: np.ndarray, tokens: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The columns of TREE for texts whose pre-tokens are at bounds[i]:bounds[i + 1]: values of all texts, and where each text's begin."""
+    n = np.diff(bounds)
+    many = np.maximum(1, -(-n // BLOCK))
+    at = np.concatenate([[0], np.cumsum(many)])
+    sizes = np.full(at[-1], BLOCK)
+    sizes[at[1:] - 1] = n - BLOCK * (many - 1)
+    ends = np.cumsum(sizes)
+    leaves = np.array([1 << int(m - 1).bit_length() for m in many], np.int64)
+    nodes = np.concatenate([[0], np.cumsum(2 * leaves)])
+    out = [(sizes, at), (widths, bounds), (tokens, bounds)]
+    for values in (widths, tokens):
+        total = np.concatenate([[0], np.cumsum(values)])
+        of_block, sums = total[ends] - total[ends - sizes], np.zeros(nodes[-1], np.int64)
+        sums[np.repeat(nodes[:-1] + leaves - at[:-1], many) + np.arange(at[-1])] = of_block
+        for size in np.unique(leaves):  # all texts with as many leaves together, level by level
+            rows = nodes[:-1][leaves == size][:, None]
+            while size > 1:
+                size //= 2
+                own = np.arange(size, 2 * size)
+                sums[rows + own] = sums[rows + 2 * own] + sums[rows + 2 * own + 1]
+        out.append((sums, nodes))
+    return out
 
 
 def count_tokens(words: Vocabulary, pieces: list[str], known: dict[str, int]) -> None:
@@ -179,11 +205,22 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+def _lists(columns: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """The columns of TREE from values and bounds."""
+    return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32() if k < 3 else pa.int64())) for k, (values, at) in enumerate(columns)]
+
+
+def _kept(rows: pa.RecordBatch) -> list[Tree]:
+    """The trees of rows of a table of them."""
+    columns = [rows.column(c) for c in _names(TREE)]
+    values, bounds = [c.values.to_numpy() for c in columns], [c.offsets.to_numpy() for c in columns]
+    return [Tree(*(v[at[i] : at[i + 1]] for v, at in zip(values, bounds, strict=True))) for i in range(rows.num_rows)]
+
+
 def _stored(trees: list[Tree]) -> list[pa.Array]:
-    """The columns of TREE, n_chars, n_tokens and n_pretokens."""
-    arrays = [t.columns() for t in trees]
-    lists = [pa.array([a[k] for a in arrays], pa.list_(pa.int32() if k < 3 else pa.int64())) for k in range(5)]
-    return [*lists, *(pa.array(x, pa.int64()) for x in ([t.chars for t in trees], [t.tokens for t in trees], [len(a[1]) for a in arrays]))]
+    """The columns of TREE of trees that have been edited."""
+    columns = zip(*(t.columns() for t in trees), strict=True)
+    return _lists([(np.concatenate(c), np.concatenate([[0], np.cumsum([len(x) for x in c])])) for c in columns])
 
 
 def keep_trees(docs: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -194,7 +231,15 @@ def keep_trees(docs: DataFrame, ranks: str | None = None) -> DataFrame:
         words = vocabulary(shared.value)
         for i, j, data, offsets in chunks(batch.column("text"), CHUNK):
             rows = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *_stored(_trees(words, data, offsets))], _names(KEPT))
+            starts, bounds = pretokens(data, offsets)
+            ends = np.append(starts[1:], len(data))
+            _, counts = words.encode_pieces(data, starts, ends)
+            lead = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+            widths = lead[ends] - lead[starts] if len(starts) else counts
+            totals = [lead[offsets[1:]] - lead[offsets[:-1]], np.diff(np.concatenate([[0], np.cumsum(counts)])[bounds]), np.diff(bounds)]
+            columns = [*_lists(layout(widths, counts, bounds)), *(pa.array(x, pa.int64()) for x in totals)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *columns], _names(KEPT))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return map_batches(texts, run, KEPT)
@@ -215,7 +260,7 @@ def edit_trees(kept: DataFrame, ranks: str | None = None, texts: bool = True) ->
         words, pattern = vocabulary(shared.value), regex.compile(cutting)
         for i, j, *_ in chunks(batch.column("text"), CHUNK):
             rows = batch.slice(i, j - i)
-            trees = [Tree.kept(*arrays) for arrays in zip(*(rows.column(c).to_pylist() for c in names), strict=True)]
+            trees = _kept(rows)
             plain = rows.column("text").to_pylist()
             todo = [[e for e in x or [] if e is not None] for x in rows.column("edits").to_pylist()]
             touched = np.zeros(j - i, np.int64)
@@ -231,12 +276,8 @@ def edit_trees(kept: DataFrame, ranks: str | None = None, texts: bool = True) ->
                 for k, ((block, place, until), pieces) in found.items():
                     trees[k].replace(block, place, until, [len(p) for p in pieces], [known[p] for p in pieces])
                     touched[k] += len(pieces)
-            if texts:
-                *lists, chars, tokens, many = _stored(trees)
-                own = [pa.array(plain, pa.string()), *lists]
-            else:
-                own, counts = [], ([t.chars for t in trees], [t.tokens for t in trees], [sum(len(b[0]) for b in t.blocks) for t in trees])
-                chars, tokens, many = (pa.array(x, pa.int64()) for x in counts)
+            own = [pa.array(plain, pa.string()), *_stored(trees)] if texts else []
+            chars, tokens, many = (pa.array(x, pa.int64()) for x in ([t.chars for t in trees], [t.tokens for t in trees], [t.pretokens for t in trees]))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *own, chars, tokens, many, rows.column("n_tokens"), rows.column("n_pretokens"), pa.array(touched)], _names(schema))
 
     return map_batches(kept.select("doc_id", "text", *names, "n_tokens", "n_pretokens", F.col("edits").cast(EDITS).alias("edits")), run, schema)
