@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import map_batches
+from .common import map_batches, plain_names
 from .textkit import U64, chunks, span_hash
 
 #: Bytes of text worked on at once: more find more pre-tokens equal, and take more memory.
@@ -308,9 +309,10 @@ def encode_chunk(words: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tu
 
 
 def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """docs without text, with n_tokens and ids, an array of integers; these take the place of columns of such names."""
+    """docs without text, with n_tokens and ids, an array of integers; these take the place of columns of such names in any case."""
+    docs, back = plain_names(docs, "text", replaced=("n_tokens", "ids"))
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
-    others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = vocabulary(shared.value)
@@ -319,14 +321,15 @@ def encode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
             arrays = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(np.diff(bounds)), arrays], [*others, "n_tokens", "ids"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others) + "n_tokens long, ids array<int>"
-    return map_batches(docs.select(*others, F.col("text").cast("string").alias("text")), run, schema)
+    schema = StructType([docs.schema[c] for c in others]).add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
+    return back(map_batches(docs.select(*others, F.col("text").cast("string").alias("text")), run, schema))
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
-    """encoded with its ids turned to bytes as `decoded`; null ids give no bytes."""
+    """encoded with its ids turned to bytes as `decoded`, in place of a column of such a name in any case; null ids give no bytes."""
+    encoded, back = plain_names(encoded, "ids", replaced=("decoded",))
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks or default_ranks()))
-    others = [c for c in encoded.columns if c not in ("ids", "decoded")]
+    others = [c for c in encoded.columns if c != "ids"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, out = vocabulary(shared.value), []
@@ -334,8 +337,8 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
             out.append(words.decode(np.asarray(ids.values if ids.is_valid else [], np.int64))[0].tobytes())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(out, pa.binary())], [*others, "decoded"])
 
-    schema = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in others) + "decoded binary"
-    return map_batches(encoded.select(*others, "ids"), run, schema)
+    schema = StructType([encoded.schema[c] for c in others]).add("decoded", "binary")
+    return back(map_batches(encoded.select(*others, "ids"), run, schema))
 
 
 def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Statistics of each whole text (lengths, character and word shares, repetition, a compression ratio) are standardised by
 the training rows' means and deviations. FEATURES random cosines approximate a Gaussian kernel of width WIDTH over them.
-Each partition of PART_ROWS rows sums their products into one matrix; a second stage adds these matrices in as many tasks as
-the square root of their number, so the driver gets few of them, adds them and solves for the ridge weights. Ridge scores are put in bins of 1 / BINS, and isotonic regression over the bins (pool adjacent
+Each partition of PART_ROWS rows sums their products into one matrix; FAN of these at a time are added until LEFT are left, which
+the driver adds to solve for the ridge weights. Ridge scores are put in bins of 1 / BINS, and isotonic regression over the bins (pool adjacent
 violators) gives the probability of label 1. All labelled rows that are not held out are used; there is no sample.
 
 Edge cases: a null text is an empty one and gets a score like any other. A null doc_id is never held out and has no label.
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, in_batches, map_batches, unused
+from .common import cut, in_batches, map_batches, plain_names
 from .textkit import U64, Words, chunks, mix, per_text, repeated, span_hash, windows
 
 FEATURES = 320
 WIDTH = 3.0
 RIDGE = 1e-3
 PART_ROWS = 20_000
+#: Matrices that one task adds, again and again until LEFT of them are left.
+FAN, LEFT = 64, 16
 BINS = 1000
 SEED = 11
 THRESHOLD = 0.3
@@ -172,8 +174,10 @@ def fit(train: DataFrame) -> Model:
 
     parts = math.ceil(rows / PART_ROWS)
     summed = in_batches(train.select(*NAMES, "quality").repartition(parts)).mapInArrow(products, "sums binary")
-    summed = summed.repartition(math.ceil(math.sqrt(parts))).mapInArrow(added, "sums binary").collect()
-    total = sum(np.frombuffer(r.sums).reshape(FEATURES + 1, FEATURES + 2) for r in summed)
+    while parts > LEFT:
+        parts = math.ceil(parts / FAN)
+        summed = summed.repartition(parts).mapInArrow(added, "sums binary")
+    total = sum(np.frombuffer(r.sums).reshape(FEATURES + 1, FEATURES + 2) for r in summed.collect())  # LEFT matrices of a fixed size
     model.weights = np.linalg.solve(total[:, :-1] + RIDGE * rows / FEATURES * np.eye(FEATURES + 1), total[:, -1])
 
     def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,13 +214,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are predicted good, all columns.
+    """The documents that are predicted good, all columns whatever their names.
 
     The rows are kept once with their statistics beside them as one binary column; the model is fitted on these and
     they are judged by them, so no text is described twice.
     """
-    names = docs.columns
-    own = unused("_statistics", names)
+    docs, back = plain_names(docs, "doc_id", "text")
+    names, own = docs.columns, "_statistics"
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = np.concatenate([statistics(data, offsets) for _, _, data, offsets in chunks(batch.column("text").cast(pa.string()))]).astype(np.float32)
@@ -236,4 +240,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         kept = batch.filter(pa.array(model.score(unpacked(batch).astype(np.float64)) >= THRESHOLD))
         return pa.RecordBatch.from_arrays([kept.column(c) for c in names], names)
 
-    return map_batches(rows, good, docs.schema)
+    return back(map_batches(rows, good, docs.schema))

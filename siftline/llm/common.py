@@ -76,9 +76,16 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """name, or with a number behind it if a column has it already."""
-    return next(c for k in range(len(columns) + 1) if (c := f"{name}{k or ''}") not in columns)
+def plain_names(df: DataFrame, *own: str, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but `own` named by their places, without those that a result replaces; and what gives a result their names back.
+
+    Names may hold dots or back quotes, or differ in case only, as Spark's expressions and Arrow's functions do not take them.
+    `replaced` are names in lower case, which count in any case.
+    """
+    inner = [c if c in own else f"_column{k}" for k, c in enumerate(df.columns)]
+    names = dict(zip(inner, df.columns, strict=True))
+    plain = df.toDF(*inner).select(*(k for k, c in names.items() if c.lower() not in replaced))
+    return plain, lambda out: out.toDF(*(names.get(c, c) for c in out.columns))
 
 
 def spread(df: DataFrame) -> int:

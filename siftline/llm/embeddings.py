@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, cut_observed, in_batches, join_hot, keyed, map_batches, spread
-from .jaccard import components, group_starts, grouped
+from .jaccard import components, group_starts, grouped, unite
 from .textkit import buffers
 
 THRESHOLD = 0.9
@@ -166,18 +166,6 @@ class Side:
         return at[:-1], np.diff(at)
 
 
-def roots_of(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unites rows a and b: root names the least row of each row's component."""
-    while True:
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        apart = low != high
-        if not apart.any():
-            return
-        np.minimum.at(root, high[apart], low[apart])
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 class Walk:
     """The dual traversal of two trees, or of one with itself: counts of links (copies included) and roots over the rows of both."""
 
@@ -280,7 +268,7 @@ class Walk:
                 if shift == 0 and back == 0 and mine is q:
                     weight = np.where(self_pair, 0, weight)  # counted already
             np.add.at(self.links, rows, weight)
-            roots_of(self.root, rows, np.repeat(other.starts[level][theirs] + back, n))
+            unite(self.root, rows, np.repeat(other.starts[level][theirs] + back, n))
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +330,7 @@ def linked(sets: DataFrame, n: int, unit: int = UNIT) -> DataFrame:
     counts, reach = np.zeros(len(centres), np.int64), np.full(len(centres), -4.0)  # nothing is near a cell without members
     for r in sizes.collect():  # SAMPLE rows at most
         counts[r["cell"]], reach[r["cell"]] = r["n"], r["far"]
-    begin, many = _pack(centres, counts, -(-n // wanted))
+    begin, many = _pack(centres, counts, max(1, -(-n // wanted)))
     total = int((begin + many).max())
 
     def home(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, map_batches, spread
+from .common import cut, in_batches, join_hot, keyed, map_batches, spread
 from .jaccard import grouped
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
@@ -224,4 +224,5 @@ def with_near(marked: DataFrame) -> DataFrame:
     many = marked.groupBy("fingerprint").agg(F.count("*").alias("n"))
     found = _searched(marked.where(asks), many, False).groupBy("a", "b").agg((F.sum("n") - 1).alias("n_near")).select(_text("a", "b").alias("_mark"), "n_near")
     ours, others = marked.where(asks), marked.where(~F.coalesce(asks, F.lit(False)))
-    return ours.join(found, ours["fingerprint"] == found["_mark"], "left").drop("_mark").unionByName(others.withColumn("n_near", F.lit(None).cast("long")))
+    by = keyed(found.join(many.withColumnRenamed("fingerprint", "_mark"), "_mark").withColumnRenamed("_mark", "fingerprint"))
+    return join_hot(ours, by, "fingerprint", "left").drop("n").unionByName(others.withColumn("n_near", F.lit(None).cast("long")))

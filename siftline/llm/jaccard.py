@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keyed, cut, cut_observed, in_batches, join_hot, keyed, map_batches, maybe_in, spread
+from .common import Keyed, cut, cut_observed, in_batches, join_hot, keyed, map_batches, maybe_in, plain_names, spread
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ SKETCH, LIKELY = 64, 0.55
 SECOND = 0.25
 SMALL, LEVELS = 128, 4
 DENSE = 0.75
+#: Edges that one task unites at most.
+FEW = 1 << 18
 #: Sets of a block, and shingles of a block, in the exact comparison.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 
@@ -270,14 +272,37 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites the components of a and b, pair by pair, in place: root has the least member of each one's component."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [np.column_stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if found:
+        ids, at = np.unique(np.concatenate(found), return_inverse=True)
+        at, root = at.reshape(-1, 2), np.arange(len(ids))
+        unite(root, at[:, 0], at[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): for each id in edges (a, b) the least id that edges join it with, directly or not.
 
     Rounds of least neighbours: every id meets its least neighbour and hands its other neighbours to it. The edges shrink
     to stars, which they are when every id with a smaller neighbour has no other one. The edges of an id with very many of
-    them stay spread out (join_hot).
+    them stay spread out (join_hot). FEW edges or less are united in one task, in place of rounds of exchanges of next to nothing.
     """
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs, seen = cut_observed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n=F.count("*"))
+    if seen["n"] <= FEW:
+        return in_batches(pairs.coalesce(1)).mapInArrow(_united, "id long, root long")
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
@@ -349,7 +374,7 @@ def _with_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, mark2) of every document, and a row for each different text: mark, mark2, text_id, n_links, first, alone.
+    """(doc_id, mark, mark2) of every document, and a row for each different text: mark, mark2, copies, text_id, n_links, first, alone.
 
     first: text_id, mark and mark2 of the text that stands for the class; alone: whether the class has one document only.
     """
@@ -387,20 +412,22 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     of_set = join_hot(named, roots, "root").select(F.col("id").alias("set_id"), "first")
     of_set = sets.select("mark", "mark2", "set_id", "text_id", "copies").join(of_set, "set_id", "left").join(links, "set_id", "left")
     columns = (F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", order).alias("first"), (F.col("first").isNull() & (F.col("copies") == 1)).alias("alone"))
-    return sketched.select("doc_id", "mark", "mark2"), of_set.select("mark", "mark2", "text_id", *columns)
+    return sketched.select("doc_id", "mark", "mark2"), of_set.select("mark", "mark2", "copies", "text_id", *columns)
 
 
 def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, text_id and n_links of every document."""
     rows, of_set = classes(docs, recall)
-    return rows.join(of_set, ["mark", "mark2"]).select("doc_id", F.col("first.text_id").alias("class_id"), "text_id", "n_links")
+    key = F.struct("mark", "mark2").alias("key")
+    return join_hot(rows.select("doc_id", key), keyed(of_set.select(key, "copies", "first", "text_id", "n_links"), "copies"), "key").select("doc_id", F.col("first.text_id").alias("class_id"), "text_id", "n_links")
 
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """docs, all columns, with one document of each class: the one with the least doc_id.
 
-    Rows never leave Spark, and those that are surely alone in their class are not exchanged.
+    Rows never leave Spark, and those that are surely alone in their class are not exchanged. Columns may have any names.
     """
+    docs, back = plain_names(docs, "doc_id", "text")
     _, of_set = classes(docs, recall)
     of_set = cut(of_set.select("mark", "first", "alone"))
     own = marked(docs.select(F.col("doc_id").cast("long").alias("text_id"), "text", F.struct(*docs.columns).alias("_row")))
@@ -410,4 +437,4 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     kept = of_set.select(F.struct("first.text_id", "first.mark", "first.mark2").alias("_kept"), "mark")
     kept = maybe_in(kept, of_set.where("NOT alone"), "mark", "_met").where("_met").select("_kept").distinct()
     met = rows.where("_met").join(kept.hint("shuffle_hash"), F.col("_own") == F.col("_kept"), "left_semi").dropDuplicates(["_own"])
-    return rows.where("NOT _met").select("_row.*").unionByName(met.select("_row.*"))
+    return back(rows.where("NOT _met").select("_row.*").unionByName(met.select("_row.*")))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, with_rank
+from .common import cut, plain_names, with_rank
 
 WEIGHTS = 3
 CAP = 3
@@ -77,13 +77,14 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mixed documents themselves, all columns, each as many times as it is taken.
+    """The mixed documents themselves, all columns whatever their names, each as many times as it is taken.
 
     Texts follow by two hashes of the whole row; rows that are equal in all columns are one text whose copies are summed.
     """
+    docs, back = plain_names(docs, "doc_id", "text", "source")
     key = F.struct(F.xxhash64(*docs.columns).alias("one"), F.xxhash64(F.lit("second"), *docs.columns).alias("two"))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
     goals = copies_of(cut(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key"))), seed)
     taken = goals.where("copies > 0").groupBy(F.col("key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
     rows = keyed.groupBy("_key").agg(F.first("_row").alias("_row")).join(taken, "_key")
-    return rows.select(F.explode(F.array_repeat("_row", F.col("_copies"))).alias("_row")).select("_row.*")
+    return back(rows.select(F.explode(F.array_repeat("_row", F.col("_copies"))).alias("_row")).select("_row.*"))

@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import before_each, bound
+from .common import before_each, bound, plain_names
 
 
 @dataclass(frozen=True)
@@ -171,9 +171,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """_key, the whole row as _row, and text, a null text empty."""
+    """_key, doc_id, the whole row as _row, and text, a null text empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id"), text).alias("_key"), F.struct(*docs.columns).alias("_row"), text.alias("text"))
+    return docs.select(F.xxhash64(F.col("doc_id"), text).alias("_key"), "doc_id", F.struct(*docs.columns).alias("_row"), text.alias("text"))
 
 
 def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -219,7 +219,9 @@ def spans_of(text: Column, rule: Rule, rank: int = 0) -> Column:
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The row of each document as _row, its text, and found: an array of SPAN in the order of its fields."""
+    """doc_id, the row of each document as _row, its text, and found: an array of SPAN in the order of its fields."""
+    whole = docs.schema
+    docs, _ = plain_names(docs, "doc_id", "text")
     texts = keyed(docs)
     narrowed = candidates(postings(texts, rules), rules)
     joined = texts.join(narrowed.hint("shuffle_hash"), "_key", "left")
@@ -227,7 +229,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for rank, rule in enumerate(rules):
         possible = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.col("text").rlike(rule.pattern)
         found.append(F.when(possible, spans_of(F.col("text"), rule, rank)).otherwise(none))
-    return joined.select("_row", "text", F.array_sort(F.concat(*found)).alias("found"))
+    return joined.select("doc_id", F.col("_row").cast(whole).alias("_row"), "text", F.array_sort(F.concat(*found)).alias("found"))
 
 
 def listed(found: Column) -> Column:
@@ -239,14 +241,15 @@ def digest(scanned: DataFrame) -> DataFrame:
     """Counts of the base kinds, the hash of the base spans and all spans of each document."""
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
-    return scanned.select("_row.doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return scanned.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs, all columns and rows, with each secret in a text replaced by its kind in angle brackets, n_chars set anew.
+    """docs, all columns (whatever their names) and rows, with each secret in a text replaced by its kind in angle brackets, n_chars set anew.
 
     Spans that overlap are masked together under the kind of the first. Texts without secrets stay as they are.
     """
+    docs, back = plain_names(docs, "doc_id", "text", "n_chars")
     scanned = scan_secrets(docs, rules)
     seen = before_each(F.transform("found", lambda s: s["last"]), F.lit(0), lambda a, b: F.greatest(a, b))
 
@@ -261,4 +264,4 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     columns["text"] = F.coalesce(F.col("_masked"), F.col("_row")["text"])
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("_masked").isNotNull(), F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
-    return scanned.select(*(v.alias(c) for c, v in columns.items()))
+    return back(scanned.select(*(v.alias(c) for c, v in columns.items())))

@@ -12,8 +12,8 @@ themselves are exchanged once. Shards take as many partitions as the exchange ha
 within a shard without bringing it into one task.
 
 Edge cases: rows are rows, whatever is null or repeated in them; fewer rows than shards leave some shards with none, and
-partitions may be empty or of any size. An empty table gives an empty result. Columns of clashing names (shard, slot)
-are replaced, all others stay whatever their names are.
+partitions may be empty or of any size. An empty table gives an empty result. Columns of clashing names (shard, slot,
+in any case) are replaced, all others stay whatever their names are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_table, unused, with_rank
+from .common import cut_table, plain_names, with_rank
 
 SHARDS = 40
 SEED = 5
@@ -46,8 +46,8 @@ def communication_matrix(rows: list[int], shards: int, seed: int = SEED) -> np.n
 
 def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (0 to the shard's size - 1), uniformly at random."""
-    df = df.drop("shard", "slot")
-    place = unused("_place", df.columns)
+    df, back = plain_names(df, replaced=("shard", "slot"))
+    place = "_place"
     kept = cut_table(df.withColumn(place, F.monotonically_increasing_id()))
     places = kept.select(F.col(place).alias("place"))
     counts = {r.part: r.n for r in places.groupBy(F.shiftright("place", PLACE_BITS).alias("part")).agg(F.count("*").alias("n")).collect()}
@@ -72,7 +72,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -
 
     dealt = places.mapInArrow(deal, "place long, shard int, key long")
     ranked = with_rank(dealt, ["shard"], ["key", "place"], "slot").select("place", "shard", (F.col("slot") - 1).alias("slot"))
-    return kept.join(ranked.withColumnRenamed("place", place), place).select(*df.columns, "shard", "slot")
+    return back(kept.join(ranked.withColumnRenamed("place", place), place).select(*df.columns, "shard", "slot"))
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:
