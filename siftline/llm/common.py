@@ -102,27 +102,30 @@ def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str
 
 @dataclass(frozen=True)
 class Keyed:
-    """A table with one row for each key and the number of rows elsewhere that have it as column `n`; their sum and maximum."""
+    """A table with one row for each key and the number of rows elsewhere that have it as column `n`; their sum and maximum, and the number of keys."""
 
     rows: DataFrame
     n: str
     total: int
     most: int
+    keys: int
 
 
 def keyed(df: DataFrame, n: str = "n") -> Keyed:
     """df, cut, as the side of join_hot with one row for each key."""
-    rows, seen = cut_observed(df, total=F.sum(n), most=F.max(n))
-    return Keyed(rows, n, seen["total"], seen["most"])
+    rows, seen = cut_observed(df, total=F.sum(n), most=F.max(n), keys=F.count("*"))
+    return Keyed(rows, n, seen["total"], seen["most"], seen["keys"])
 
 
 def join_hot(rows: DataFrame, by: Keyed, key: str, how: str = "inner") -> DataFrame:
     """rows joined with a keyed table; how: inner, or left to keep rows whose key it lacks.
 
-    Rows of hot keys stay where they are: the hot part of the keyed table is broadcast, HOT_KEYS rows at most. So no task
+    A table of HOT_KEYS keys or less is broadcast whole, so no row is exchanged. Of a larger one, rows of hot keys stay where they are: the hot part of the keyed table is broadcast, HOT_KEYS rows at most. So no task
     gets more rows of one key than the greater of HOT_ROWS and 1 / HOT_KEYS of all. If there are hot keys, rows are read
     twice: cut them before.
     """
+    if by.keys <= HOT_KEYS:
+        return rows.join(F.broadcast(by.rows), key, how)
     most = max(HOT_ROWS, by.total // HOT_KEYS)
     if by.most <= most:
         return rows.join(by.rows, key, how)
@@ -131,6 +134,11 @@ def join_hot(rows: DataFrame, by: Keyed, key: str, how: str = "inner") -> DataFr
     return rows.join(hot, key).unionByName(cold)
 
 
+def join_few(rows: DataFrame, few: DataFrame, key: str, n: int) -> DataFrame:
+    """rows joined with a table of n rows, which is broadcast if these are HOT_KEYS or less."""
+    return rows.join(F.broadcast(few) if n <= HOT_KEYS else few, key)
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """rows with a boolean: false if the key (a 64-bit hash) is surely not among `key` of keys, true if it is or may be.
 

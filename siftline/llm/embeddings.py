@@ -43,10 +43,12 @@ SLACK = 1e-7
 RADII = (1.0, 0.5, 0.25)
 #: Sets of a unit at most (about), sets of the sample for each unit, and in all.
 UNIT, OF_UNIT, SAMPLE = 8192, 8, 4096
-#: A level is passed over if more than this share of its pairs stays.
-DENSE = 0.1
+#: A level is passed over if more than this share of its pairs would have to be opened.
+DENSE = 0.03
 #: Pairs that are compared at a time, and rows of a product of matrices.
 AT_ONCE, STRIP = 1 << 19, 1024
+#: Nodes of either side that tell whether a level is dense.
+SOME = 256
 
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,6 +142,10 @@ def levels(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _evenly(n: int, some: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(n, some)).astype(np.int64))
+
+
 class Side:
     """A unit's tree over the rows that a task has of it: rows in order of their paths, and the nodes of each level as runs of rows."""
 
@@ -191,27 +197,37 @@ class Walk:
                 at += 1
             # the lowest level's nodes are rows: all pairs are decided
 
+    def _dense(self, level: int) -> bool:
+        """Whether many pairs of nodes of a level would have to be opened, by some of them."""
+        (c, r), (d, t) = ((side.centres[level][at], side.radii[level][at]) for side in (self.left, self.right) for at in [_evenly(len(side.centres[level]), SOME)])
+        far, reach = distance(c @ d.T), r[:, None] + t[None, :]
+        return np.mean((far <= reach + TAU + SLACK) & (far + reach > TAU - SLACK)) > DENSE
+
     def _whole(self, level: int, must: bool) -> list[tuple[np.ndarray, np.ndarray]] | None:
-        """Pairs of nodes of a level that stay undecided, or None if too many do."""
-        a, b, out, stay, seen = self.left, self.right, [], 0, 0
-        for i in range(0, len(a.centres[level]), STRIP):
-            strip, parts = a.centres[level][i : i + STRIP], []
-            for j in range(i if self.alone else 0, len(b.centres[level]), 4 * STRIP):
-                far = distance(strip @ b.centres[level][j : j + 4 * STRIP].T)
-                near = far <= a.radii[level][i : i + STRIP, None] + b.radii[level][None, j : j + 4 * STRIP] + TAU + SLACK
-                stay, seen = stay + int(np.count_nonzero(near)), seen + near.size
-                if not must and stay > DENSE * max(seen, STRIP * STRIP):
-                    return None
-                p, q = np.nonzero(near)
-                parts.append((p + i, q + j))
-            out.append(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
-        self.compared += seen
-        if not must and stay > DENSE * seen and seen > STRIP:
+        """Pairs of nodes of a level that stay undecided, or None if too many would.
+
+        Nodes are taken in order of their radii, so that one bound holds for a whole product and only what passes it is looked at.
+        """
+        if not must and self._dense(level):
             return None
-        found = []
-        for p, q in out:
+        (a, r), (b, t) = ((side.centres[level], side.radii[level]) for side in (self.left, self.right))
+        first, second, found = np.argsort(-r, kind="stable"), np.argsort(-t, kind="stable"), []
+        for i in range(0, len(first), STRIP):
+            strip, parts = a[first[i : i + STRIP]], []
+            for j in range(i if self.alone else 0, len(second), 4 * STRIP):
+                reach = r[first[i]] + t[second[j]] + TAU + SLACK
+                dots = strip @ b[second[j : j + 4 * STRIP]].T
+                self.compared += dots.size
+                p, q = np.nonzero(dots >= 1 - reach * reach / 2)
+                if self.alone:
+                    p, q = p[p + i <= q + j], q[p + i <= q + j]
+                far = distance(dots[p, q])
+                p, q = first[p + i], second[q + j]
+                near = far <= r[p] + t[q] + TAU + SLACK
+                parts.append((p[near], q[near]))
+            p, q = (np.concatenate(x) for x in zip(*parts, strict=True))
             if self.alone:
-                p, q = p[p <= q], q[p <= q]
+                p, q = np.minimum(p, q), np.maximum(p, q)
             for k in range(0, len(p), AT_ONCE):
                 kept = self._decided(level, p[k : k + AT_ONCE], q[k : k + AT_ONCE])
                 if len(kept[0]):

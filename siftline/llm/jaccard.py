@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keyed, cut, cut_observed, in_batches, join_hot, keyed, map_batches, maybe_in, plain_names, spread
+from .common import HOT_KEYS, Keyed, cut, cut_observed, in_batches, join_few, join_hot, keyed, map_batches, maybe_in, plain_names, spread
 from .textkit import U64, Words, buffers, chunks, mix, span_hash, windows
 
 SHINGLE = 5
@@ -246,8 +246,8 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
     held, tie = sets.select("set_id", "sketch", "deep"), (F.col("set_id").alias("a"), F.col("least").alias("b"))
     for level in range(1, LEVELS + 1):
         counts = keyed(nodes.groupBy("path").agg(F.count("*").alias("members"), F.min("set_id").alias("least")).where("members > 1"), "members")
-        inside = cut(join_hot(nodes, counts, "path"))
-        small = inside.where(F.col("members") <= SMALL).select("path", "set_id").join(held.select("set_id", "sketch"), "set_id")
+        inside, seen = cut_observed(join_hot(nodes, counts, "path"), small=F.count_if(F.col("members") <= SMALL), large=F.count_if(F.col("members") > SMALL))
+        small = join_few(held.select("set_id", "sketch"), inside.where(F.col("members") <= SMALL).select("path", "set_id"), "set_id", seen["small"])
         small = small.repartition(spread(sets), "path").sortWithinPartitions("path")
         found.append(cut(in_batches(small).mapInArrow(_compare_bucket, "a long, b long")))
         if counts.most <= SMALL:
@@ -256,8 +256,8 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
         if level == LEVELS:
             found.append(large.where("set_id <> least").select(*tie))
             break
-        lead = counts.rows.where(F.col("members") > SMALL).join(held.select(F.col("set_id").alias("least"), F.col("sketch").alias("lead")), "least")
-        seen = join_hot(large.select("path", "run", "set_id").join(held.select("set_id", "sketch"), "set_id"), keyed(lead, "members"), "path")
+        lead = join_few(held.select(F.col("set_id").alias("least"), F.col("sketch").alias("lead")), counts.rows.where(F.col("members") > SMALL), "least", counts.keys)
+        seen = join_hot(join_few(held.select("set_id", "sketch"), large.select("path", "run", "set_id"), "set_id", seen["large"]), keyed(lead, "members"), "path")
         seen = cut(map_batches(seen.select("path", "run", "set_id", "least", "sketch", "lead"), _alike, "path long, run int, set_id long, least long, alike int"))
         density = keyed(seen.groupBy("path").agg(F.count("*").alias("n"), (F.avg("alike") >= DENSE).alias("dense")))
         seen, split_on = cut_observed(join_hot(seen, density, "path"), rows=F.count_if(F.expr("NOT dense")))
@@ -266,8 +266,9 @@ def ties(sets: DataFrame, runs: int) -> DataFrame:
             break
         rest = seen.where("NOT dense")
         # only sets of buckets that are split go on, so later levels move few sketches
-        held = cut(held.join(rest.select("set_id").distinct(), "set_id", "left_semi"))
-        split = rest.select("path", "run", "set_id").join(held.select("set_id", "deep"), "set_id")
+        few = split_on["rows"] <= HOT_KEYS
+        held = cut(held.join(F.broadcast(rest.select("set_id")) if few else rest.select("set_id").distinct(), "set_id", "left_semi"))
+        split = join_few(held.select("set_id", "deep"), rest.select("path", "run", "set_id"), "set_id", split_on["rows"])
         nodes = cut(map_batches(split.select("set_id", "path", "run", "deep"), _deeper(runs, level), "set_id long, path long, run int"))
     return reduce(DataFrame.unionByName, found)
 
@@ -306,10 +307,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-        rows, seen = cut_observed(least, total=F.sum("n"), most=F.max("n"), inner=F.max(F.when(F.col("m") < F.col("a"), F.col("n"))))
+        rows, seen = cut_observed(least, total=F.sum("n"), most=F.max("n"), keys=F.count("*"), inner=F.max(F.when(F.col("m") < F.col("a"), F.col("n"))))
         if seen["inner"] <= 1:
             return rows.select(F.col("a").alias("id"), F.col("m").alias("root"))
-        met = join_hot(both, Keyed(rows, "n", seen["total"], seen["most"]), "a")
+        met = join_hot(both, Keyed(rows, "n", seen["total"], seen["most"], seen["keys"]), "a")
         handed = met.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(rows.select(F.col("a").alias("x"), F.col("m").alias("y")))
         pairs = cut(handed.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
@@ -387,9 +388,9 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     sets = sketched.groupBy("mark", "mark2").agg(row, F.count("*").alias("copies"))
     sets = cut(sets.select("mark", "mark2", F.col("row.doc_id").alias("text_id"), "row.set_id", "row.n", "copies"))
     tied = ties(sketched.join(sets.where("n > 0").select("set_id"), "set_id", "left_semi"), runs)
-    clusters = cut(components(tied).select(F.col("id").alias("set_id"), F.col("root").alias("cluster")))
+    clusters, seen = cut_observed(components(tied).select(F.col("id").alias("set_id"), F.col("root").alias("cluster")), n=F.count("*"))
     # the text of one document for each set that is in a cluster
-    chosen = cut(sets.join(clusters, "set_id").select("set_id", "cluster", "text_id", F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2")))
+    chosen = cut(join_few(sets, clusters, "set_id", seen["n"]).select("set_id", "cluster", "text_id", F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2")))
     asked = maybe_in(texts, chosen.select(F.col("_mark").alias("mark")), "mark", "_asked").where("_asked")
     same = asked["doc_id"].eqNullSafe(chosen["text_id"]) & (asked["mark"] == chosen["_mark"]) & (asked["mark2"] == chosen["_mark2"])
     found = asked.join(chosen.hint("shuffle_hash"), same).select("set_id", "cluster", "text")
