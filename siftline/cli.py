@@ -5,15 +5,15 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from . import config
 from .findings import SEVERITIES, at_least, fails
 from .plans.diff import compare
-from .plans.lint import Splits, lint_files, lint_splits
+from .plans.lint import Splits, lint_files, lint_splits, release
 from .plans.suppress import MARKER
 from .sinks.fixes import apply
-from .sinks.report import diff_json, diff_text, write
+from .sinks.report import diff_json, diff_text, write, write_folder
 from .sources.jsonl import read_jsonl
 from .sources.paths import readable
 
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="siftline", description=__doc__)
     p.add_argument("paths", nargs="*")
     p.add_argument("--format", default="json", help="json, sarif, html or drops")
+    p.add_argument("--out", help="folder for a report of any size, in place of standard output")
     p.add_argument("--config")
     p.add_argument("--fail-on", default="none", help="exit with 1 if a finding has this severity or above")
     p.add_argument("--min-severity", default="none", help="show findings of this severity or above")
@@ -66,21 +67,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ValueError as e:
         print(f"siftline: {e}", file=sys.stderr)
         return 2
+    held: list[DataFrame] = []
     try:
         settings = config.load(args.config)
-        found = lint_files(spark, args.paths, settings, marker=args.marker)
+        found = lint_files(spark, args.paths, settings, marker=args.marker, held=held)
         splits = Splits(args.train, args.eval, datasets)
         if splits.paths():
-            found = found.unionByName(lint_splits(spark, splits, settings, args.marker))
-        found = found.persist()
-        write(at_least(found, args.min_severity), args.format, sys.stdout)
-        print()
+            found = found.unionByName(lint_splits(spark, splits, settings, args.marker, held))
+        held.append(found.persist())
+        shown = at_least(found, args.min_severity)
+        if args.out:
+            write_folder(shown, args.format, args.out)
+        else:
+            write(shown, args.format, sys.stdout)
+            if args.format != "drops":  # its lines end by themselves
+                print()
+        if args.fix:
+            apply(found)
+        return int(fails(found, args.fail_on))
     except (OSError, ValueError) as e:
         print(f"siftline: {e}", file=sys.stderr)
         return 1
-    if args.fix:
-        apply(found)
-    return int(fails(found, args.fail_on))
+    finally:
+        release(held)
 
 
 if __name__ == "__main__":

@@ -46,10 +46,17 @@ def tag(value: Column) -> Column:
     )
 
 
+def member_of(value: Column, name: str) -> Column:
+    """The member of an object, as VARIANT; SQL NULL if it is missing or the value is no object. Paths have no way to escape quotes."""
+    quote = next((q for q in "\"'" if q not in name), None) if name else None
+    if quote is None:
+        return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+
+
 def member(value: str, name: str) -> Column:
-    """The member of an object, as VARIANT; SQL NULL if it is missing or the value is no object."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'").replace('"', '\\"')
-    return F.expr(f"""try_variant_get({value}, '$["{quoted}"]', 'variant')""")
+    """As member_of, for a column by its name."""
+    return member_of(F.col(value), name)
 
 
 def text_of(value: Column) -> Column:
@@ -101,12 +108,40 @@ def parse_path(path: str) -> list[Step]:
     return steps
 
 
-def values_at(docs: DataFrame, path: str) -> DataFrame:
-    """(path, row, value) for every value at a declared path; a wrong shape or a missing member gives none."""
-    out = docs.where("tag = 'object'").select("path", "row", F.col("doc").alias("value"))
-    for step in parse_path(path):
-        if step.name is None:
-            out = out.withColumn("value", F.explode(items_of(F.col("value"))))
-        else:
-            out = out.withColumn("value", F.when(tag(F.col("value")) == "object", member("value", step.name))).where("value IS NOT NULL")
-    return out
+@dataclass
+class PathTree:
+    """Declared paths by their common beginnings: the paths that end here, and what lies below a member or an element."""
+
+    ends: list[str]
+    below: dict[Step, PathTree]
+
+    @classmethod
+    def of(cls, paths: list[str]) -> PathTree:
+        """Paths that are not valid are left out."""
+        root = cls([], {})
+        for path in paths:
+            at = root
+            for step in parse_path(path):
+                at = at.below.setdefault(step, cls([], {}))
+            if at is not root:
+                at.ends.append(path)
+        return root
+
+
+def kinds_at(value: Column, tree: PathTree) -> Column:
+    """array<struct<at,kind>>: the type of every value at the tree's paths, found in one walk of a VARIANT.
+
+    A wrong shape or a missing member ends the walk there. Paths share their common steps, so each value is taken out once.
+    """
+    def walk(below: PathTree):
+        return lambda v: kinds_at(v, below)
+
+    none = F.array().cast("array<struct<at:string,kind:string>>")
+    found = [F.transform(F.array(*map(F.lit, tree.ends)), lambda at: F.struct(at.alias("at"), tag(value).alias("kind")))] if tree.ends else []
+    members = [(s.name, t) for s, t in tree.below.items() if s.name is not None]
+    for name, below in members:
+        inner = F.filter(F.array(F.when(tag(value) == "object", member_of(value, name))), lambda v: v.isNotNull())
+        found.append(F.flatten(F.transform(inner, walk(below))))
+    for below in (t for s, t in tree.below.items() if s.name is None):
+        found.append(F.coalesce(F.flatten(F.transform(items_of(value), walk(below))), none))
+    return F.concat(*found) if found else none

@@ -1,4 +1,4 @@
-"""Text functions: letters by script, shingles, MinHash signatures."""
+"""Text functions: scripts, shingles, and what compares MinHash signatures; signing.py makes them."""
 
 from __future__ import annotations
 
@@ -16,14 +16,6 @@ HASHES, BANDS, ROWS = 128, 32, 4
 SHINGLE = 3
 
 
-def script_counts(text: Column) -> Column:
-    """array<struct<script,n>> of the letters of a text; scripts without letters are left out."""
-    counts = [F.struct(F.lit(s).alias("script"), F.regexp_count(text, F.lit(rf"[\p{{L}}&&\p{{Is{s}}}]")).cast("long").alias("n")) for s in SCRIPTS]
-    known = sum((c["n"] for c in counts[1:]), counts[0]["n"])
-    other = F.struct(F.lit("Other").alias("script"), (F.regexp_count(text, F.lit(r"\p{L}")) - known).cast("long").alias("n"))
-    return F.filter(F.array(*counts, other), lambda c: c.n > 0)
-
-
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda t: t != "")
 
@@ -42,18 +34,6 @@ def coefficients(seed: int = 0) -> list[tuple[int, int]]:
     return [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(HASHES)]
 
 
-def signatures(texts: DataFrame, id_column: str = "id", text_column: str = "text", seed: int = 0) -> DataFrame:
-    """(id, signature): MinHash of the shingles; ids without a shingle have none.
-
-    Shingles are exploded and the minima taken by a grouped aggregation, which combines on the map side and spills.
-    """
-    words = texts.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("w")).where(F.size("w") >= SHINGLE)
-    runs = words.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")))).alias("s"))
-    x = runs.select("id", (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % PRIME).alias("x"))
-    minima = [F.min((F.lit(a).cast("long") * F.col("x") + F.lit(b)) % PRIME).alias(f"h{i}") for i, (a, b) in enumerate(coefficients(seed))]
-    return x.groupBy("id").agg(*minima).select("id", F.array(*(F.col(f"h{i}") for i in range(HASHES))).alias("signature"))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures; 0 if either is missing or the lengths differ."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / F.lit(float(HASHES))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..findings import ERROR, WARNING, findings
-from ..functions.json_values import items_of, member, quoted
+from ..functions.json_values import items_of, quoted
 from . import messages
 from .file_rules import first_match, usable
 
@@ -24,24 +24,33 @@ EVAL_PHRASES = (
 )
 
 
+def _folded(value: str, name: str, kind: str = "variant") -> str:
+    """SQL for a member by its name, or else for the last one in order of keys whose name differs in case only; of another type, NULL."""
+    # the long s and the sign for kelvin are the only other letters that fold to ASCII ones
+    members = f"map_filter(try_variant_get({value}, '$', 'map<string,variant>'), (fold_k, fold_v) -> lower(translate(fold_k, '\u017f\u212a', 'sk')) = '{name}')"
+    found = f"coalesce(try_variant_get({value}, '$.{name}', 'variant'), try_element_at(map_values({members}), -1))"
+    return found if kind == "variant" else f"try_variant_get({found}, '$', '{kind}')"
+
+
 def conversations(docs: DataFrame, content: bool = False, tools: bool = False) -> DataFrame:
     """(path, row, messages) of objects whose messages have the expected shape, with at least one.
 
     A member of another type than expected, in any message, makes the whole row one that these rules cannot read, and
-    it is left out; nulls and missing members are empty. `content` and `tools` say which members a rule reads.
+    it is left out; nulls and missing members are empty. `content` and `tools` say which members a rule reads. Names of members may
+    be in any case.
     """
-    base = docs.where("tag = 'object'").select("path", "row", items_of(member("doc", "messages")).alias("m")).where(F.size("m") > 0)
+    base = docs.where("tag = 'object'").select("path", "row", items_of(F.expr(_folded("doc", "messages"))).alias("m")).where(F.size("m") > 0)
     names = ["role"] + ["content"] * content + ["tool_call_id"] * tools
-    texts = " AND ".join(f"coalesce(schema_of_variant(try_variant_get(x, '$.{n}', 'variant')), 'VOID') IN ('VOID', 'STRING')" for n in names)
-    calls = "try_variant_get(x, '$.tool_calls', 'variant')"
+    texts = " AND ".join(f"coalesce(schema_of_variant({_folded('x', n)}), 'VOID') IN ('VOID', 'STRING')" for n in names)
+    calls = _folded("x", "tool_calls")
     shape = f"(schema_of_variant(x) = 'VOID' OR schema_of_variant(x) LIKE 'OBJECT%') AND {texts}"
-    items = "coalesce(try_variant_get(x, '$.tool_calls', 'array<variant>'), cast(array() AS array<variant>))"
+    items = f"coalesce({_folded('x', 'tool_calls', 'array<variant>')}, cast(array() AS array<variant>))"
     if tools:
         shape += f" AND (coalesce(schema_of_variant({calls}), 'VOID') = 'VOID' OR schema_of_variant({calls}) LIKE 'ARRAY%')"
-        inner = "(schema_of_variant(c) = 'VOID' OR schema_of_variant(c) LIKE 'OBJECT%') AND coalesce(schema_of_variant(try_variant_get(c, '$.id', 'variant')), 'VOID') IN ('VOID', 'STRING')"
+        inner = f"(schema_of_variant(c) = 'VOID' OR schema_of_variant(c) LIKE 'OBJECT%') AND coalesce(schema_of_variant({_folded('c', 'id')}), 'VOID') IN ('VOID', 'STRING')"
         shape += f" AND forall({items}, c -> {inner})"
-    fields = [f"coalesce(try_variant_get(x, '$.{n}', 'string'), '') AS {n}" for n in names]
-    fields += [f"transform({items}, c -> coalesce(try_variant_get(c, '$.id', 'string'), '')) AS calls"] * tools
+    fields = [f"coalesce({_folded('x', n, 'string')}, '') AS {n}" for n in names]
+    fields += [f"transform({items}, c -> coalesce({_folded('c', 'id', 'string')}, '')) AS calls"] * tools
     return base.where(F.expr(f"forall(m, x -> {shape})")).select("path", "row", F.expr(f"transform(m, x -> struct({', '.join(fields)}))").alias("messages"))
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..findings import ERROR, findings, union
+from ..functions.arrow import starts_of, whole_groups
 from ..functions.json_values import member, quoted, rounded, text_of, trim
-from ..functions.text import bands, signatures, similarity
+from ..functions.signing import signatures
+from ..functions.text import HASHES, bands
 from . import messages
 
+#: Signatures of a block of a bucket, and how many of them are compared at a time with as many others.
+BLOCK, STRIP = 2048, 128
+
 
 def prompts(docs: DataFrame, field: str) -> DataFrame:
     """(path, path_ord, row, prompt) of records whose field is a string that is not blank, trimmed."""
@@ -25,48 +34,124 @@ def first_rows(found: DataFrame, by: list[str]) -> DataFrame:
     return found.groupBy(*by).agg(place)
 
 
-def exact_hits(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """probe with the place of the first equal prompt of index."""
-    return probe.join(first_rows(index, ["prompt"]), "prompt")
+def exact_hits(found: DataFrame) -> DataFrame:
+    """Rows of found (see overlaps) with each set before their own that has an equal prompt: `other`, and its first `place` there."""
+    other = first_rows(found, ["prompt", "d"]).withColumnRenamed("d", "other")
+    return found.join(other, "prompt").where("other < d")
+
 
+def near_hits(found: DataFrame, threshold: float) -> DataFrame:
+    """Rows of found (see overlaps) with each set before their own that lacks their prompt but has one at least this similar.
 
-def near_hits(probe: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
-    """probe rows with their most similar prompt of index, at least at the threshold, and `similarity`.
+    `other` is that set, `place` the first place there of its most similar prompt, `similarity` how similar. Ties go to the
+    earliest band, then place. However many sets there are, every prompt is signed once and all sets meet in one join of bands.
+    Prompts go by a 128-bit hash, and prompts of one signature by that signature.
+    """
+    found = found.withColumn("id", F.md5("prompt"))
+    held = first_rows(found, ["id", "d"])
+    # the sets that have a prompt, in order; a set asks if some set before it has not: its place in the list is less than its number
+    sets = held.groupBy("id").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+    sets = sets.withColumn("asks", F.array_max(F.transform("ds", lambda d, i: F.when(d > i, d))))
+    signed = signatures(found.select("id", "prompt").dropDuplicates(["id"]), text_column="prompt").withColumn("sign", F.md5(F.array_join("signature", ",")))
+    named = signed.join(sets, "id")
+    places = named.select("id", "sign").join(held, "id").groupBy("sign", "d").agg(F.min("place").alias("place"))
+    signs = named.groupBy("sign").agg(F.first("signature").alias("signature"), F.max("asks").alias("asks"), F.min(F.col("ds")[0]).alias("least"))
+    best = best_in_buckets(signs, places, threshold)
+    hits = named.where("asks IS NOT NULL").select("id", "sign", "ds").join(best, "sign").where("NOT array_contains(ds, other)")
+    return found.join(hits.select("id", "other", "place", "similarity"), "id").where("other < d").drop("id")
+
+
+#: Pairs of blocks: band, bucket, and the numbers of a block of signatures that ask and of one that are asked.
+PAIR = ["band", "bucket", "i", "j"]
+
+
+def in_blocks(signs: DataFrame, places: DataFrame) -> DataFrame:
+    """The signatures of all buckets in which someone asks a set that someone there is in, dealt and sorted by PAIR.
+
+    signs: sign, signature, asks (it asks sets before this one; null: none), least (the first set that has it); places: sign, d, place.
+    A bucket is cut into blocks of about BLOCK signatures that ask and that are asked, and a signature goes to each pair that its
+    block is in. So a task gets some pairs of blocks, whatever the size of a bucket.
+    """
+    cut = bands(signs.select(F.struct("sign", "asks", "least").alias("id"), "signature")).select("id.*", "band", "bucket")
+    sizes = cut.groupBy("band", "bucket").agg(F.max("asks").alias("last"), F.min("least").alias("first"), F.count("asks").alias("asking"), F.count("*").alias("all"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = sizes.where("first < last").select("band", "bucket", "first", "last", blocks("asking").alias("m"), blocks("all").alias("n"))
+    met = cut.join(sizes, ["band", "bucket"]).withColumn("own", F.xxhash64("sign"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = met.where("asks > first").withColumn("i", F.pmod("own", "m").cast("int")).withColumn("j", all_of("n"))
+    asking = asking.select(*PAIR, "sign", F.lit(True).alias("asking"), F.col("asks").alias("d"), F.lit(None).cast("struct<path_ord:int,path:string,row:bigint>").alias("place"))
+    asked = met.where("least < last").withColumn("j", F.pmod("own", "n").cast("int")).withColumn("i", all_of("m"))
+    asked = asked.join(places, "sign").where("d < last").select(*PAIR, "sign", F.lit(False).alias("asking"), "d", F.col("place").cast("struct<path_ord:int,path:string,row:bigint>").alias("place"))
+    rows = asking.unionByName(asked).join(signs.select("sign", F.col("signature").cast("array<int>").alias("signature")), "sign")
+    tasks = int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that pairs which are small but long to compare are not put together
+    return rows.select(*PAIR, "sign", "asking", "d", "place.*", "signature").repartition(tasks, *PAIR).sortWithinPartitions(*PAIR)
+
+
+def best_in_buckets(signs: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """(sign, other, place, similarity): for each signature, and each set that it asks, the most similar one there that shares a bucket.
+
+    A pair of blocks returns a row for each signature that asks and each set, not its pairs.
+    """
 
-    Prompts go by a 128-bit hash, and prompts of one signature by that signature, so texts are exchanged once to be signed
-    and buckets hold different signatures only. Ties go to the earliest band, then place.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, PAIR):
+            yield from _best(whole, PAIR, threshold)
+
+    best = in_blocks(signs, places).mapInArrow(run, "sign string, other int, unlike double, band int, path_ord int, path string, row long")
+    best = best.groupBy("sign", "other").agg(F.min(F.struct("unlike", "band", F.struct("path_ord", "path", "row").alias("place"))).alias("best"))
+    return best.select("sign", "other", "best.place", (-F.col("best.unlike")).alias("similarity"))
+
+
+def _best(rows: pa.RecordBatch, key: list[str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """For each group of rows: of each signature that asks and each set before it, the most similar one; ties go to the first place."""
+    starts = np.append(starts_of(rows, key), rows.num_rows)
+    asking, d = rows.column("asking").to_numpy(zero_copy_only=False), rows.column("d").to_numpy()
+    marks = rows.column("signature").flatten().to_numpy().reshape(-1, HASHES)
+    path = rows.column("path").fill_null("").dictionary_encode()
+    rank = np.argsort(np.argsort(np.array(path.dictionary.to_pylist(), object)))[path.indices.to_numpy()]
+    order = np.lexsort((rows.column("row").fill_null(0).to_numpy(), rank, rows.column("path_ord").fill_null(0).to_numpy(), d))
+    group = np.searchsorted(starts, np.arange(rows.num_rows), "right") - 1
+    order = order[np.argsort(group[order], kind="stable")]  # by group, set and place
+    found = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        own = order[a:b]
+        asks, held = own[asking[own]], own[~asking[own]]
+        if not len(asks) or not len(held):
+            continue
+        edges = np.append(np.flatnonzero(np.diff(d[held], prepend=-1)), len(held))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            other, theirs = d[held[lo]], marks[held[lo:hi]]
+            for k in range(0, len(asks), STRIP):
+                mine = asks[k : k + STRIP][d[asks[k : k + STRIP]] > other]
+                best, at = np.full(len(mine), -1.0), np.zeros(len(mine), np.int64)
+                for m in range(0, hi - lo, STRIP):
+                    like = (marks[mine][:, None, :] == theirs[None, m : m + STRIP]).sum(axis=2) / HASHES
+                    top = like.argmax(axis=1)
+                    more = like[np.arange(len(mine)), top] > best
+                    best[more], at[more] = like[np.arange(len(mine)), top][more], top[more] + m
+                near = best >= threshold
+                found.append((mine[near], held[lo:hi][at[near]], -best[near]))
+    if found:
+        mine, theirs, unlike = (np.concatenate(x) for x in zip(*found, strict=True))
+        taken = rows.take(pa.array(theirs))
+        columns = [rows.column("sign").take(pa.array(mine)), taken.column("d"), pa.array(unlike), *(taken.column(c) for c in ("band", "path_ord", "path", "row"))]
+        yield pa.RecordBatch.from_arrays(columns, ["sign", "other", "unlike", "band", "path_ord", "path", "row"])
+
+
+def overlaps(found: DataFrame, threshold: float) -> DataFrame:
+    """found: prompts with a set number `d`. Its rows with each set before their own that has their prompt, or one like it.
+
+    Exact hits have no similarity; near ones are those of prompts that the other set lacks, if the threshold is above 0.
     """
-    own = F.md5("prompt")
-    probes, indexed = probe.withColumn("id", own), index.withColumn("id", own)
-    texts = probes.select("id", "prompt").unionByName(indexed.select("id", "prompt")).dropDuplicates(["id"])
-    signed = signatures(texts, text_column="prompt").withColumn("sign", F.md5(F.array_join("signature", ",")))
-    asked = probes.select("id").distinct().withColumn("asked", F.lit(True))
-    sides = signed.join(first_rows(indexed, ["id"]), "id", "left").join(asked, "id", "left")
-    different = sides.groupBy("sign").agg(F.first("signature").alias("signature"), F.max("asked").alias("asked"), F.min("place").alias("place"))
-    cut = bands(different.select(F.struct("sign", "asked", "place").alias("id"), "signature")).select("id.*", "band", "bucket")
-    left = cut.where("asked").select(F.col("sign").alias("p"), "band", "bucket")
-    right = cut.where("place IS NOT NULL").select(F.col("sign").alias("q"), "place", "band", "bucket")
-    pairs = left.join(right, ["band", "bucket"]).groupBy("p", "q", "place").agg(F.min("band").alias("band"))
-    whole = lambda name, sign: different.select(F.col("sign").alias(name), F.col("signature").alias(sign))
-    scored = pairs.join(whole("p", "sa"), "p").join(whole("q", "sb"), "q").select("p", "band", "place", similarity(F.col("sa"), F.col("sb")).alias("similarity"))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("p").agg(F.min(F.struct((-F.col("similarity")).alias("unlike"), "band", "place")).alias("best"))
-    best = best.select(F.col("p").alias("sign"), F.col("best.place").alias("place"), (-F.col("best.unlike")).alias("similarity"))
-    found = sides.where("asked").select("id", "sign").join(best, "sign").drop("sign")
-    return probes.join(found, "id").drop("id")
-
-
-def overlaps(probe: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
-    """Exact hits, and near ones of the prompts without an exact hit if the threshold is above 0."""
-    exact = exact_hits(probe, index).withColumn("similarity", F.lit(None).cast("double"))
-    if threshold <= 0:
-        return exact
-    rest = probe.join(index.select("prompt").distinct(), "prompt", "left_anti")
-    return exact.unionByName(near_hits(rest, index, threshold))
+    found = found.withColumn("d", F.col("d").cast("int"))
+    exact = exact_hits(found).withColumn("similarity", F.lit(None).cast("double"))
+    return exact.unionByName(near_hits(found, threshold), allowMissingColumns=False) if threshold > 0 else exact
 
 
 def train_eval_overlap(train: DataFrame, evaluation: DataFrame, settings: Settings) -> DataFrame:
     field, threshold = settings.text("prompt_field", "prompt"), settings.number("near_dup_threshold", 0.0)
-    hits = overlaps(prompts(evaluation, field), prompts(train, field), threshold)
+    side = lambda docs, d: prompts(docs, field).withColumn("d", F.lit(d))
+    hits = overlaps(side(train, 0).unionByName(side(evaluation, 1)), threshold)
     exact = F.format_string(messages.EXACT_OVERLAP, "place.path", "place.row")
     near = F.format_string(messages.NEAR_OVERLAP, rounded(F.col("similarity"), 2), "place.path", "place.row")
     return findings(hits, "train-eval-overlap", ERROR, F.when(F.col("similarity").isNull(), exact).otherwise(near), row=F.col("row"))
@@ -75,26 +160,16 @@ def train_eval_overlap(train: DataFrame, evaluation: DataFrame, settings: Settin
 def cross_dataset_overlap(datasets: DataFrame, names: list[str], settings: Settings) -> DataFrame:
     """Each pair of datasets a < b by name: rows of the later (or, by setting, the earlier) whose prompt the other has.
 
-    Exact overlaps of all pairs are one join on the prompt; only near ones are worked out pair by pair.
+    All pairs are one join on the prompt, and one more on bands of signatures for near overlaps.
     """
     field, threshold = settings.text("prompt_field", "prompt"), settings.number("near_dup_threshold", 0.0)
-    earlier = settings.text("anchor", "later") == "earlier"
-    found = prompts(datasets, field)
-    shown = found.withColumnRenamed("dataset", "own")
-    other = first_rows(found, ["dataset", "prompt"]).withColumnRenamed("dataset", "other")
-    order = F.col("own") < F.col("other") if earlier else F.col("own") > F.col("other")
-    exact = shown.join(other, "prompt").where(order).select("own", "other", "path", "row", "place", F.lit(None).cast("double").alias("similarity"))
-    parts = [exact]
-    if threshold > 0:
-        names = sorted(set(names))
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                own, against = (a, b) if earlier else (b, a)
-                index = found.where(F.col("dataset") == against).drop("dataset")
-                probe = found.where(F.col("dataset") == own).drop("dataset").join(index.select("prompt").distinct(), "prompt", "left_anti")
-                parts.append(near_hits(probe, index, threshold).select(F.lit(own).alias("own"), F.lit(against).alias("other"), "path", "row", "place", "similarity"))
-    hits = union(datasets.sparkSession, parts)
-    where = (quoted(F.col("other")), F.col("place.path"), F.col("place.row"), quoted(F.col("own")))
+    order = sorted(set(names), reverse=settings.text("anchor", "later") == "earlier")
+    if not order:
+        return union(datasets.sparkSession, [])
+    listed = F.array(*map(F.lit, order))
+    found = prompts(datasets, field).withColumn("d", F.array_position(listed, F.col("dataset")) - 1).where("d >= 0")
+    hits = overlaps(found, threshold).withColumn("name", F.get(listed, F.col("other")))
+    where = (quoted(F.col("name")), F.col("place.path"), F.col("place.row"), quoted(F.col("dataset")))
     near = F.format_string(messages.NEAR_CROSS_OVERLAP, rounded(F.col("similarity"), 2), *where)
     message = F.when(F.col("similarity").isNull(), F.format_string(messages.EXACT_CROSS_OVERLAP, *where)).otherwise(near)
     return findings(hits, "cross-dataset-overlap", ERROR, message, row=F.col("row"))

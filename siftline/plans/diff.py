@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import entries, tag
-from ..functions.text import script_counts
+from ..functions.scripts import script_counts
 from ..operators.schema_rules import rows_of
 
 TOP = 5
@@ -63,7 +63,7 @@ def length_stats(strings: DataFrame) -> DataFrame:
 
 def script_mix(strings: DataFrame) -> DataFrame:
     """(side, key, script, n, ratio); left out if neither side has enough letters."""
-    counts = strings.select("side", "key", F.explode(script_counts(F.col("v"))).alias("c")).groupBy("side", "key", "c.script").agg(F.sum("c.n").alias("n"))
+    counts = script_counts(strings, "v", ["side", "key"]).groupBy("side", "key", "script").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("side", "key").agg(F.sum("n").alias("total"))
     shown = totals.groupBy("key").agg(F.max("total").alias("most")).where(F.col("most") >= LEAST_LETTERS)
     return counts.join(totals, ["side", "key"]).join(shown, "key", "left_semi").select("side", "key", "script", "n", (F.col("n") / F.col("total")).alias("ratio"))

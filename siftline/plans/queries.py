@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..findings import at_least
-from ..functions.text import BANDS, SCRIPTS, bands, coefficients, shingles, signatures
+from ..functions.arrow import dealt
+from ..functions.signing import signatures
+from ..functions.text import BANDS, SCRIPTS, bands, coefficients, shingles
 from ..operators import chat_rules, file_rules, leakage, schema_rules
 from ..sinks.fixes import edits_of
 from ..sinks.report import drops as drop_rows
@@ -70,10 +72,10 @@ def _part(path: str = "path") -> Column:
     return F.regexp_extract(path, r"/part=(\d+)/", 1).cast("long").alias("part")
 
 
-def _in_files(df: DataFrame, order: str, *columns: str) -> str:
+def _in_files(df: DataFrame, order: str, *columns: str, **options: str) -> str:
     """Writes df (with a column `part`) as one file for each part, in an order; the folder. One column is written as text, more as Parquet."""
     folder = _folder(df.sparkSession)
-    rows = df.repartition("part").sortWithinPartitions("part", order).select("part", *columns).write.partitionBy("part")
+    rows = df.repartition("part").sortWithinPartitions("part", order).select("part", *columns).write.options(**options).partitionBy("part")
     rows.parquet(folder) if len(columns) > 1 else rows.text(folder)
     return folder
 
@@ -86,30 +88,34 @@ def jsonl_files(spark, sf_dir):
 
 
 def row_groups(spark, sf_dir):
-    """Row groups of files that are written and whose footers are read."""
-    folder = _in_files(_table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", "n_chars"), "doc_id", "doc_id", "n_chars")
+    """Row groups of files of several, which are written and whose footers are read."""
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", "n_chars")
+    folder = _in_files(docs, "doc_id", "doc_id", "n_chars", **{"parquet.block.row.count.limit": "20"})
     return file_rules.large_row_groups(read_row_groups(spark, [folder]), Settings({"max_rows_per_group": 12})).select("rule_id", "severity", "message", _part(), "row")
 
 
-#: Source files, the one of a nation by its key modulo their number.
+#: Lines of a supplier's source file, and the condition on its key under which the file has each. Some do not parse.
 CODE = (
-    "import random\nrandom.shuffle(a)",
-    "import random\nrandom.seed(1)\nrandom.shuffle(a)",
-    "import numpy as np\nnp.random.permutation(a)\nnp.random.choice(b)",
-    "import random\ntrain_test_split(a)\nrandom.shuffle(a)",
-    "df.drop_duplicates()",
-    "set(x.lower())",
-    f"import random\nrandom.shuffle(a)  # {MARKER}:disable=random-seed-not-set\nrandom.sample(b, 1)",
-    "def f(:",
-    "train_test_split(random.shuffle(a), random.seed(0))\nprint(unique(a))",
+    ("import random", "k >= 0"),
+    ("import numpy as np", "k % 2 = 1"),
+    ("random.seed(1)", "k % 3 = 0"),
+    ("def broken(:", "k % 5 = 0"),
+    ("    inner = (rows[: 3", "k % 10 = 5"),
+    ("a, b = train_test_split(rows)", "k % 7 < 3"),
+    ("random.shuffle(rows)", "k % 4 < 2 AND k % 11 > 0"),
+    (f"random.shuffle(rows)  # {MARKER}:disable=random-seed-not-set", "k % 4 < 2 AND k % 11 = 0"),
+    ("print(np.random.choice(rows), [unique(x) for x in rows]", "k % 8 = 6"),
+    ("frame.drop_duplicates()", "k % 2 = 0"),
+    ("for x in names: x.lower()", "k % 9 = 0"),
 )
 
 
 def _code_findings(spark, sf_dir) -> DataFrame:
-    """Findings of all code rules on a file for each nation, but those that a comment on their line switches off."""
-    source = F.element_at(F.array(*map(F.lit, CODE)), (F.col("n_nationkey") % len(CODE) + 1).cast("int")).alias("source")
-    folder = _in_files(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("part"), "n_name", source), "n_name", "source")
-    sources = read_sources(spark, [folder], ending=".txt")
+    """Findings of all code rules on a file for each supplier, but those that a comment on their line switches off."""
+    key = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    lines = F.array(*(F.when(F.expr(condition), F.lit(line)) for line, condition in CODE))
+    files = key.select(F.col("k").alias("part"), "k", F.array_join(F.array_compact(lines), "\n").alias("source"))
+    sources = read_sources(spark, [_in_files(files, "k", "source")], ending=".txt")
     return without_suppressed(lint_calls(calls(sources)), lines=in_sources(sources))
 
 
@@ -193,6 +199,14 @@ def cross_dataset(spark, sf_dir):
     return _shown(leakage.cross_dataset_overlap(sets, ["d0", "d1", "d2"], Settings({"prompt_field": "text"})))
 
 
+def cross_near(spark, sf_dir):
+    """As cross_dataset, with near overlaps at 0.7, the earlier dataset being told."""
+    docs = _table(spark, sf_dir, "documents")
+    sets = table_records(docs, F.col("doc_id") + 1, "documents", "text", "doc_id")
+    sets = sets.withColumn("dataset", F.concat(F.lit("d"), F.try_variant_get("doc", "$.doc_id", "long") % 3))
+    return _shown(leakage.cross_dataset_overlap(sets, ["d0", "d1", "d2"], Settings({"prompt_field": "text", "near_dup_threshold": 0.7, "anchor": "earlier"})))
+
+
 def benchmark_contained(spark, sf_dir):
     return leakage.contained(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
 
@@ -202,13 +216,13 @@ def shingle_counts(spark, sf_dir):
 
 
 def minhash(spark, sf_dir):
-    signed = signatures(_table(spark, sf_dir, "documents"), "doc_id")
+    signed = signatures(dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
     return signed.select(F.col("id").alias("doc_id"), F.col("signature")[0].alias("h0"), F.col("signature")[127].alias("h127"), F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 def band_buckets(spark, sf_dir):
     """Documents by band with another in their bucket; the buckets are hashes of Spark's own."""
-    cut = bands(signatures(_table(spark, sf_dir, "documents"), "doc_id"))
+    cut = bands(signatures(dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id"))
     shared = cut.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     return shared.groupBy("band").agg(F.sum("n").alias("n_docs")).where(F.col("band") < BANDS)
 
@@ -234,7 +248,9 @@ def _event_members(spark, sf_dir) -> DataFrame:
 
 
 def field_sets(spark, sf_dir):
-    return diff.field_sets(_event_members(spark, sf_dir))
+    """Fields named by the users of events, so that the table says which of them both versions have."""
+    docs = _lines(spark, sf_dir, """concat('{"u', user_id, '": ', event_id, '}')""")
+    return diff.field_sets(diff.members(docs.where("(row - 1) % 3 = 0"), docs.where("(row - 1) % 3 > 0")))
 
 
 def top_values(spark, sf_dir):
@@ -269,7 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         malformed_lines, jsonl_files, row_groups, code_files, fix_edits, pii_scan, type_mixed, type_mismatch, optional_field, enum_drift, role_inversion, system_mid, tool_without_call, unbalanced_tool_call, eval_leaks,
-        exact_overlap, near_overlap, cross_dataset, benchmark_contained, shingle_counts, minhash, band_buckets, script_mix, length_stats, field_sets, top_values, drops,
+        exact_overlap, near_overlap, cross_dataset, cross_near, benchmark_contained, shingle_counts, minhash, band_buckets, script_mix, length_stats, field_sets, top_values, drops,
         severity_filter, suppressed, rule_summary,
     )
 }
@@ -315,7 +331,6 @@ SELECT 'tool-result-without-tool-call' AS rule_id, 2 AS severity, 'tool message
     "unbalanced_tool_call": _chat_sql(TOOL_ROLE, calls=_CALLS) + f""", d AS (SELECT conv_id, unnest(calls) AS id, i FROM said WHERE role = 'assistant'), s AS (SELECT conv_id, id, min(i) AS since FROM d GROUP BY 1, 2),
 u AS (SELECT said.conv_id, i, used FROM said LEFT JOIN s ON s.conv_id = said.conv_id AND s.id = used WHERE role = 'tool' AND (since IS NULL OR since > i)), f AS (SELECT conv_id, min(i) AS i, arg_min(used, i) AS id FROM u GROUP BY conv_id)
 SELECT 'unbalanced-tool-call-id' AS rule_id, 2 AS severity, 'tool message at index ' || i || ' references tool_call_id "' || id || '" with no preceding assistant tool_calls entry' AS message, {_PLACE} FROM f""",
-    "eval_leaks": "SELECT 'system-prompt-leaks-eval-instructions' AS rule_id, 1 AS severity, 'system message at index 0 matches eval-instruction pattern \"Answer only with the LETTER\"' AS message, 'documents' AS path, doc_id + 1 AS row FROM documents WHERE doc_id % 40 = 0 AND text IS NOT NULL",
     "exact_overlap": f"""WITH p AS (SELECT doc_id, {_TRIM} AS prompt FROM documents), t AS (SELECT prompt, min(doc_id + 1) AS place FROM p WHERE doc_id % 2 = 0 AND prompt <> '' GROUP BY prompt)
 SELECT 'train-eval-overlap' AS rule_id, 2 AS severity, 'eval prompt also appears in train at train row ' || place AS message, 'eval' AS path, doc_id + 1 AS row FROM p JOIN t USING (prompt) WHERE doc_id % 2 = 1""",
     "cross_dataset": f"""WITH p AS (SELECT doc_id, 'd' || doc_id % 3 AS ds, {_TRIM} AS prompt FROM documents), f AS (SELECT ds, prompt, min(doc_id + 1) AS place FROM p WHERE prompt <> '' GROUP BY ds, prompt)
@@ -328,7 +343,7 @@ s AS (SELECT doc_id, unnest(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i
 h AS (SELECT doc_id, """ + ", ".join(f"min(({a} * x + {b}) % 2147483647) AS h{i}" for i, (a, b) in enumerate(coefficients())) + " FROM x GROUP BY doc_id) SELECT doc_id, h0, h127, CAST(" + " + ".join(f"h{i}" for i in range(128)) + " AS BIGINT) AS total FROM h",
     "script_mix": "WITH s AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, lang AS key, text FROM documents WHERE text IS NOT NULL), c AS (" + " UNION ALL ".join(f"SELECT side, key, '{x}' AS script, CAST(sum(len(regexp_extract_all(text, '\\p{{{x}}}'))) AS BIGINT) AS n FROM s GROUP BY ALL" for x in SCRIPTS) + r"), o AS (SELECT side, key, 'Other' AS script, CAST(sum(len(regexp_extract_all(text, '\pL'))) AS BIGINT) AS letters FROM s GROUP BY ALL), a AS (SELECT * FROM c UNION ALL SELECT side, key, script, letters - (SELECT sum(n) FROM c WHERE c.side = o.side AND c.key = o.key) FROM o), t AS (SELECT side, key, sum(n) AS total FROM a GROUP BY ALL) SELECT side, key, script, CAST(n AS BIGINT) AS n, CAST(n AS DOUBLE) / CAST(total AS DOUBLE) AS ratio FROM a JOIN t USING (side, key) WHERE n > 0 AND key IN (SELECT key FROM t WHERE total >= 50)",
     "length_stats": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, lang AS key, count(*) AS count, round(CAST(sum(strlen(text)) AS DOUBLE) / count(*), 6) AS mean, CAST(min(strlen(text)) AS INTEGER) AS min, round(quantile_cont(strlen(text), 0.5), 6) AS p50, round(quantile_cont(strlen(text), 0.9), 6) AS p90, round(quantile_cont(strlen(text), 0.99), 6) AS p99, CAST(max(strlen(text)) AS INTEGER) AS max FROM documents WHERE text IS NOT NULL GROUP BY ALL",
-    "field_sets": "SELECT * FROM (VALUES ('event_type', 'common'), ('user_id', 'common'), ('gone', 'removed'), ('fresh', 'added')) AS t(key, status) WHERE (SELECT count(*) FROM events) > 1",
+    "field_sets": "SELECT 'u' || user_id AS key, CASE WHEN bool_and(event_id % 3 = 0) THEN 'removed' WHEN bool_and(event_id % 3 > 0) THEN 'added' ELSE 'common' END AS status FROM events GROUP BY user_id",
     "top_values": """WITH c AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS side, 'event_type' AS key, event_type AS v, count(*) AS n FROM events GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY side, key ORDER BY n DESC, v) AS INTEGER) AS place FROM c) WHERE place <= 5 AND (SELECT count(DISTINCT v) FROM c) <= 20""",
     "drops": f"WITH {_PII}, {_DRIFT} SELECT path, row, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM both_rules GROUP BY path, row",
@@ -347,17 +362,35 @@ b AS (SELECT prompt, h, unnest(range(32)) AS band FROM g), k AS (SELECT prompt,
 ORACLES["band_buckets"] = f"""WITH p AS (SELECT doc_id, text AS prompt FROM documents), {_SIGNED}, shared AS (SELECT band, count(*) AS n FROM k JOIN p USING (prompt) GROUP BY band, bucket HAVING count(*) > 1)
 SELECT CAST(band AS INTEGER) AS band, CAST(sum(n) AS BIGINT) AS n_docs FROM shared GROUP BY band"""
 
-_CODE_ROWS = """(VALUES (0, 'seed', 'random.shuffle', 2, 'random'), (2, 'seed', 'np.random.permutation', 2, 'np.random'), (2, 'seed', 'np.random.choice', 3, 'np.random'), (3, 'seed', 'random.shuffle', 3, 'random'),
-  (3, 'split', 'random.shuffle', 3, NULL), (4, 'dedup', 'drop_duplicates', 1, NULL), (6, 'seed', 'random.sample', 3, 'random'), (8, 'dedup', 'unique', 2, NULL)) AS c(k, rule, name, line, seed)"""
-ORACLES["code_files"] = f"""SELECT CASE rule WHEN 'seed' THEN 'random-seed-not-set' WHEN 'split' THEN 'shuffle-after-split' ELSE 'dedup-key-misses-normalization' END AS rule_id, CASE rule WHEN 'split' THEN 2 ELSE 1 END AS severity,
-  name || CASE rule WHEN 'seed' THEN ' called without random.seed/np.random.seed earlier in this file; pipeline output is non-reproducible' WHEN 'split' THEN ' called after train/eval split; either shuffle before splitting or seed each split''s RNG explicitly'
-  ELSE ' called with no string normalization (lower/strip/casefold/unicodedata.normalize) elsewhere in this file; near-duplicates may slip through' END AS message, CAST(n_nationkey AS BIGINT) AS part, line, CASE name WHEN 'unique' THEN 7 ELSE 1 END AS col
-FROM nation JOIN {_CODE_ROWS} ON n_nationkey % 9 = k"""
-ORACLES["fix_edits"] = f"SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS part, 2 AS line, seed || '.seed(0)' || chr(10) AS insert FROM nation JOIN {_CODE_ROWS} ON n_nationkey % 9 = k WHERE seed IS NOT NULL"
+def _code_sql() -> str:
+    """lines: (k, i, line, n) of the lines of each file; found: the calls that count, each on a line of its own, with its column."""
+    lines = " UNION ALL ".join(f"SELECT s_suppkey AS k, {i} AS i, '{line}' AS line FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier) WHERE {condition}" for i, (line, condition) in enumerate(CODE))
+    return f"""WITH all_lines AS ({lines}), lines AS (SELECT k, i, line, CAST(row_number() OVER (PARTITION BY k ORDER BY i) AS INTEGER) AS n FROM all_lines),
+files AS (SELECT k, bool_or(line LIKE '%.seed(%') AS seeded, bool_or(line LIKE '%.lower(%') AS normal, min(n) FILTER (WHERE line LIKE '%train_test_split(%') AS split, max(n) FILTER (WHERE line LIKE 'import %') AS imports FROM lines GROUP BY k),
+found AS (SELECT k, n, line, seeded, normal, split, imports, regexp_extract(line, '^(random|np\\.random)\\.(shuffle|choice)') AS name FROM lines JOIN files USING (k) WHERE line NOT LIKE 'print(%'),
+unseeded AS (SELECT * FROM found WHERE name <> '' AND NOT seeded AND line NOT LIKE '%:disable=random-seed-not-set')"""
+
+
+ORACLES["code_files"] = _code_sql() + """
+SELECT 'random-seed-not-set' AS rule_id, 1 AS severity, name || ' called without random.seed/np.random.seed earlier in this file; pipeline output is non-reproducible' AS message, CAST(k AS BIGINT) AS part, n AS line, 1 AS col FROM unseeded
+UNION ALL SELECT 'shuffle-after-split', 2, name || ' called after train/eval split; either shuffle before splitting or seed each split''s RNG explicitly', k, n, 1 FROM found WHERE name LIKE '%.shuffle' AND n > split
+UNION ALL SELECT 'dedup-key-misses-normalization', 1, 'drop_duplicates called with no string normalization (lower/strip/casefold/unicodedata.normalize) elsewhere in this file; near-duplicates may slip through', k, n, 1 FROM found WHERE line LIKE '%.drop_duplicates()' AND NOT normal"""
+ORACLES["fix_edits"] = _code_sql() + " SELECT DISTINCT CAST(k AS BIGINT) AS part, imports + 1 AS line, 'random.seed(0)' || chr(10) AS insert FROM unseeded"
+
+
+def _leak_sql() -> str:
+    """All phrases on the whole text of every row; the first one in order that is there counts."""
+    hits = ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in chat_rules.EVAL_PHRASES)
+    return f"""WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN text || ' Answer only with the LETTER of it' ELSE text END AS text FROM documents), hits AS (SELECT doc_id, coalesce({hits}) AS hit FROM texts)
+SELECT 'system-prompt-leaks-eval-instructions' AS rule_id, 1 AS severity, 'system message at index 0 matches eval-instruction pattern "' || hit || '"' AS message, 'documents' AS path, doc_id + 1 AS row FROM hits WHERE hit IS NOT NULL"""
+
+
+ORACLES["eval_leaks"] = _leak_sql()
 ORACLES["jsonl_files"] = """WITH e AS (SELECT event_id, event_id % 16 AS part, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) AS row FROM events)
 SELECT 'jsonl-malformed-line' AS rule_id, 2 AS severity, CASE event_id % 50 WHEN 0 THEN 'invalid JSON: the line is not one JSON value' ELSE 'blank line in JSONL' END AS message, part, row FROM e WHERE event_id % 50 < 2"""
-ORACLES["row_groups"] = """SELECT 'parquet-row-group-too-large-for-streaming' AS rule_id, 1 AS severity, 'row group 0 has ' || count(*) || ' rows (>12); streaming readers will buffer the whole group before projecting columns' AS message, doc_id % 16 AS part, CAST(1 AS BIGINT) AS row
-FROM documents GROUP BY doc_id % 16 HAVING count(*) > 12"""
+ORACLES["row_groups"] = """WITH d AS (SELECT doc_id % 16 AS part, (row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1) // 20 AS g FROM documents)
+SELECT 'parquet-row-group-too-large-for-streaming' AS rule_id, 1 AS severity, 'row group ' || g || ' has ' || count(*) || ' rows (>12); streaming readers will buffer the whole group before projecting columns' AS message, part, g + 1 AS row
+FROM d GROUP BY part, g HAVING count(*) > 12"""
 
 ORACLES["near_overlap"] = f"""WITH p AS (SELECT doc_id, {_TRIM} AS prompt FROM documents), t AS (SELECT prompt, min(doc_id + 1) AS place FROM p WHERE doc_id % 2 = 0 AND prompt <> '' GROUP BY prompt),
 e AS (SELECT doc_id, prompt FROM p WHERE doc_id % 2 = 1 AND prompt <> ''), {_SIGNED},
@@ -367,3 +400,12 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim
 near AS (SELECT doc_id, 'eval prompt is a near-duplicate (similarity ' || printf('%.2f', sim) || ') of train at train row ' || place AS message FROM e JOIN best ON a = prompt),
 found AS (SELECT doc_id, 'eval prompt also appears in train at train row ' || place AS message FROM e JOIN t USING (prompt) UNION ALL SELECT * FROM near)
 SELECT 'train-eval-overlap' AS rule_id, 2 AS severity, message, 'eval' AS path, doc_id + 1 AS row FROM found"""
+
+ORACLES["cross_near"] = f"""WITH p AS (SELECT doc_id, doc_id % 3 AS ds, {_TRIM} AS prompt FROM documents), f AS (SELECT ds, prompt, min(doc_id + 1) AS place FROM p WHERE prompt <> '' GROUP BY ds, prompt), {_SIGNED},
+pairs AS (SELECT l.prompt AS a, r.prompt AS c, min(l.band) AS band FROM k l JOIN k r ON l.band = r.band AND l.bucket = r.bucket WHERE l.prompt <> r.prompt GROUP BY 1, 2),
+sims AS (SELECT a, f.ds, band, place, list_sum([CASE WHEN ga.h[i] = gc.h[i] THEN 1 ELSE 0 END FOR i IN range(1, 129)]) / 128 AS sim FROM pairs JOIN g ga ON ga.prompt = a JOIN g gc ON gc.prompt = c JOIN f ON f.prompt = c),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, ds ORDER BY sim DESC, band, place) AS n FROM sims WHERE sim >= 0.7) WHERE n = 1),
+near AS (SELECT p.doc_id, p.ds, best.ds AS other, place, sim FROM p JOIN best ON a = prompt AND best.ds > p.ds WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.prompt = p.prompt AND f.ds = best.ds)),
+found AS (SELECT p.doc_id, p.ds, f.ds AS other, place, NULL AS sim FROM p JOIN f ON f.prompt = p.prompt AND f.ds > p.ds UNION ALL SELECT * FROM near)
+SELECT 'cross-dataset-overlap' AS rule_id, 2 AS severity, CASE WHEN sim IS NULL THEN 'prompt also appears in' ELSE 'prompt is a near-duplicate (similarity ' || printf('%.2f', sim) || ') of' END || ' dataset "d' || other || '" at documents row ' || place || ' (this row is in dataset "d' || ds || '")' AS message,
+  'documents' AS path, doc_id + 1 AS row FROM found"""

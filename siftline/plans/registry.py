@@ -12,7 +12,10 @@ KINDS = ("jsonl", "parquet", "python", "corpus")
 
 @dataclass(frozen=True)
 class Rule:
-    """check: records, row groups or calls (or, for a corpus rule, its own inputs) and settings to findings."""
+    """check: records, row groups or calls (or, for a corpus rule, its own inputs) and settings to findings.
+
+    profiled: the check takes the records' profile of fields too, which is worked out once for all such rules.
+    """
 
     id: str
     category: str
@@ -21,6 +24,7 @@ class Rule:
     kind: str
     check: Callable
     fix: str = ""
+    profiled: bool = False
 
 
 _RULES: dict[str, Rule] = {}
@@ -47,9 +51,9 @@ for _rule in (
     Rule("jsonl-malformed-line", "file", "error", "high", "jsonl", file_rules.malformed_lines),
     Rule("privacy-pii-detected", "file", "error", "medium", "jsonl", file_rules.personal_data),
     Rule("parquet-row-group-too-large-for-streaming", "file", "warning", "medium", "parquet", file_rules.large_row_groups),
-    Rule("field-type-mixed-across-rows", "schema", "warning", "high", "jsonl", schema_rules.mixed_types),
+    Rule("field-type-mixed-across-rows", "schema", "warning", "high", "jsonl", schema_rules.mixed_types, profiled=True),
     Rule("field-type-mismatch-with-schema", "schema", "warning", "high", "jsonl", schema_rules.mismatched_types),
-    Rule("optional-field-required-by-downstream", "schema", "warning", "medium", "jsonl", schema_rules.optional_fields),
+    Rule("optional-field-required-by-downstream", "schema", "warning", "medium", "jsonl", schema_rules.optional_fields, profiled=True),
     Rule("enum-drift", "schema", "warning", "medium", "jsonl", schema_rules.enum_drift),
     Rule("role-inversion", "conversation", "error", "high", "jsonl", chat_rules.role_inversion),
     Rule("system-message-mid-conversation", "conversation", "error", "high", "jsonl", chat_rules.system_mid_conversation),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import read, replace
 
-#: Line ends and bytes that are no UTF-8 come back as they were.
-AS_IS = {"encoding": "utf-8", "errors": "surrogateescape", "newline": ""}
+#: Bytes that are no UTF-8 come back as they were.
+AS_IS = ("utf-8", "surrogateescape")
 
 
 @dataclass
@@ -35,16 +34,14 @@ def inserted(source: str, edits: list[tuple[int, str]]) -> str:
 
 
 def apply(found: DataFrame) -> Applied:
-    """Writes the fixed files in place, each under a temporary name first. The files are sources that a person edits, so the driver writes them."""
-    done, by_path = Applied(), {}
+    """Writes the fixed files in place, in any file system that Spark reads, each of them whole.
+
+    The files are sources that a person edits, so the driver writes them, one after the other.
+    """
+    spark, done, by_path = found.sparkSession, Applied(), {}
     for r in edits_of(found).toLocalIterator():
         by_path.setdefault(r.path, []).append((r.line, r.insert))
     for path, edits in sorted(by_path.items()):
-        with open(path, **AS_IS) as f:
-            source = f.read()
-        with open(f"{path}.fixed", "w", **AS_IS) as f:
-            f.write(inserted(source, edits))
-        shutil.copymode(path, f"{path}.fixed")
-        os.replace(f"{path}.fixed", path)
+        replace(spark, path, inserted(read(spark, path).decode(*AS_IS), edits).encode(*AS_IS))
         done.files, done.edits = done.files + 1, done.edits + len(edits)
     return done

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siftline.cli import main
 from siftline.config import Config, load
 from siftline.findings import SCHEMA, at_least, fails
-from siftline.functions.text import script_counts, shingles, signatures, similarity
+from siftline.functions.scripts import script_counts
+from siftline.functions.signing import signatures
+from siftline.functions.text import shingles, similarity
 from siftline.plans.diff import compare
 from siftline.plans.lint import lint_files
 from siftline.sinks.fixes import apply, inserted
@@ -61,8 +63,8 @@ def test_free_text_has_no_values_and_scripts_need_letters(spark, write):
 
 
 def test_script_classes(spark):
-    row = spark.createDataFrame([("abé 漢字 ひ カー 한 дя ع א न ω ก 1!Ⅷ𝒜",)], "t string").select(script_counts(F.col("t")).alias("c")).first()
-    got = {c.script: c.n for c in row.c}
+    row = spark.createDataFrame([("abé 漢字 ひ カー 한 дя ع א न ω ก 1!Ⅷ𝒜",)], "t string")
+    got = {c.script: c.n for c in script_counts(row, "t", []).collect()}
     assert got == {"Latin": 3, "Han": 2, "Hiragana": 1, "Katakana": 1, "Hangul": 1, "Cyrillic": 2, "Arabic": 1, "Hebrew": 1, "Devanagari": 1, "Greek": 1, "Thai": 1, "Other": 2}
 
 
