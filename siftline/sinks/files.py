@@ -7,9 +7,12 @@ from pyspark.sql import SparkSession
 
 
 def _at(spark: SparkSession, name: str):
-    """The path and its file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """The path and a file system of its own for it, which leaves no files of checksums beside what it writes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(name)
+    system = hadoop.FileSystem.newInstance(path.toUri(), spark._jsc.hadoopConfiguration())
+    system.setWriteChecksum(False)
+    return path, system
 
 
 def read(spark: SparkSession, name: str) -> bytes:
@@ -19,6 +22,7 @@ def read(spark: SparkSession, name: str) -> bytes:
         return bytes(stream.readAllBytes())
     finally:
         stream.close()
+        system.close()
 
 
 def put(spark: SparkSession, name: str, content: bytes) -> None:
@@ -28,6 +32,7 @@ def put(spark: SparkSession, name: str, content: bytes) -> None:
         out.write(bytearray(content))
     finally:
         out.close()
+        system.close()
 
 
 def replace(spark: SparkSession, name: str, content: bytes) -> None:
@@ -36,13 +41,20 @@ def replace(spark: SparkSession, name: str, content: bytes) -> None:
     Where a file system does not rename over a file, the old one goes aside until the new one is in its place.
     """
     put(spark, f"{name}.fixed", content)
-    (path, system), (new, _), (aside, _) = (_at(spark, n) for n in (name, f"{name}.fixed", f"{name}.old"))
+    path, system = _at(spark, name)
+    new, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{name}{end}") for end in (".fixed", ".old"))
     system.setPermission(new, system.getFileStatus(path).getPermission())
     try:
-        if system.rename(new, path):
-            return
+        if not _renamed(system, new, path):
+            if not (system.rename(path, aside) and system.rename(new, path)):
+                raise OSError(f"cannot replace {name}; the fixed file is {name}.fixed")
+            system.delete(aside, False)
+    finally:
+        system.close()
+
+
+def _renamed(system, new, path) -> bool:
+    try:
+        return system.rename(new, path)
     except Py4JJavaError:  # FileAlreadyExistsException
-        pass
-    if not (system.rename(path, aside) and system.rename(new, path)):
-        raise OSError(f"cannot replace {name}; the fixed file is {name}.fixed")
-    system.delete(aside, False)
+        return False
