@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import Settings
 from ..findings import ERROR, findings, union
-from ..functions.arrow import starts_of, whole_groups
+from ..functions.arrow import slices, starts_of, text_bytes, whole_groups
 from ..functions.json_values import member, quoted, rounded, text_of, trim
 from ..functions.signing import signatures
 from ..functions.text import HASHES, bands
@@ -19,6 +20,8 @@ from . import messages
 
 #: Signatures of a block of a bucket, and how many of them are compared at a time with as many others.
 BLOCK, STRIP = 2048, 128
+#: Bytes by which passages without an inner word are looked up.
+GRAM = 3
 
 
 def prompts(docs: DataFrame, field: str) -> DataFrame:
@@ -180,29 +183,54 @@ def contained(passages: DataFrame, texts: DataFrame, size: int = 8) -> DataFrame
 
     A passage is looked up by that of its inner runs that the fewest texts have, so runs that many texts share do not
     multiply pairs. Inner runs leave out the first and the last word, which may be part of a longer word in a text. Runs
-    have `size` words; passages of fewer than size + 2 words go by single words. Passages
-    of one or two words have no inner run; they are looked for in every text.
+    have `size` words; passages of fewer than size + 2 words go by single words. Passages of one or two words have no inner
+    run; if there are any, they go by three bytes (or all of them, if they are shorter). An empty passage lies in every text.
     """
     words = lambda df, key: df.select(key, F.split("text", " ").alias("w"))
-    asked = words(passages, "item_id").where(F.size("w") >= 3)
-    long = F.size("w") >= size + 2
-    parts = [_meet(asked.where(long), words(texts, "doc_id"), size), _meet(asked.where(~long), words(texts, "doc_id"), 1)]
+    asked, short = words(passages, "item_id").where(F.size("w") >= 3), passages.where(F.size(F.split("text", " ")) < 3)
+    long, of_texts = F.size("w") >= size + 2, words(texts, "doc_id")
+    parts = [_meet(_runs(asked.where(part), "item_id", n, 1), _runs(of_texts, "doc_id", n, 0)) for part, n in ((long, size), (~long, 1))]
+    if not short.isEmpty():
+        parts.append(_meet(_grams(short, "item_id", False), _grams(texts, "doc_id", True)))
     pairs = union(texts.sparkSession, parts)
     both = pairs.join(passages.select("item_id", F.col("text").alias("passage")), "item_id").join(texts.select("doc_id", "text"), "doc_id")
-    found = both.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    short = passages.where(F.size(F.split("text", " ")) < 3).select("item_id", F.col("text").alias("passage"))
-    return found.unionByName(texts.join(F.broadcast(short), F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
+    return both.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
 
 
-def _meet(asked: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(item_id, doc_id) that share the passage's rarest inner run of `size` words."""
+def _runs(df: DataFrame, key: str, size: int, skip: int) -> DataFrame:
+    """(key, run): hashes of the runs of `size` words, without `skip` words at either end."""
+    starts = F.sequence(F.lit(1 + skip), F.size("w") - size + 1 - skip)
+    return df.where(F.size("w") >= size + 2 * skip).select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, size))))).alias("run"))
 
-    def runs(df: DataFrame, key: str, skip: int) -> DataFrame:
-        starts = F.sequence(F.lit(1 + skip), F.size("w") - size + 1 - skip)
-        return df.where(F.size("w") >= size + 2 * skip).select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, size))))).alias("run"))
 
-    inner = runs(asked, "item_id", 1)
-    seen = runs(texts, "doc_id", 0).join(inner.select("run").distinct(), "run", "left_semi")
+def _grams(df: DataFrame, key: str, shorter: bool) -> DataFrame:
+    """(key, run): the different sequences of three bytes of each text; with `shorter` also those of two, one and none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column("text")):
+                data, at = text_bytes(batch.column("text").slice(i, j - i))
+                length, found = np.diff(at), []
+                for n in range(GRAM + 1):
+                    place = np.arange(max(0, len(data) - n + 1)) if n else at[:-1]
+                    owner = np.searchsorted(at, place, "right") - 1 if n else np.arange(j - i)
+                    whole = place + n <= at[owner + 1]
+                    wanted = whole & (shorter | (n == np.minimum(length, GRAM)[owner]))
+                    place, owner = place[wanted], owner[wanted]
+                    code = np.full(len(place), n, np.int64)
+                    for k in range(n):
+                        code = code << 8 | data[place + k]
+                    found.append(np.unique(np.column_stack([owner, code]), axis=0))
+                rows = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(i, j - i).take(pa.array(rows[:, 0])), pa.array(rows[:, 1])], [key, "run"])
+
+    asked = df.select(key, "text").where("text IS NOT NULL")
+    return asked.mapInArrow(run, StructType([asked.schema[key], StructField("run", LongType())]))
+
+
+def _meet(inner: DataFrame, runs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) that share the rarest run of a passage; inner: (item_id, run), runs: (doc_id, run)."""
+    seen = runs.join(inner.select("run").distinct(), "run", "left_semi")
     often = seen.groupBy("run").agg(F.count("*").alias("n"))
     rarest = inner.join(often, "run").withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "run"))).where("place = 1")
     return seen.join(rarest.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()

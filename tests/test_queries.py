@@ -1,5 +1,6 @@
 """Every query with SQL returns the rows that DuckDB returns."""
 
+import random
 from pathlib import Path
 
 import duckdb
@@ -41,3 +42,14 @@ def test_short_passages_are_contained(spark, tmp_path):
     spark.createDataFrame([(1, "ab"), (2, "b c"), (3, "one two three"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "xaby"), (2, "ab cd one two three"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, QUERIES["benchmark_contained"](spark, str(tmp_path)).collect())) == [(1, 1), (1, 2), (2, 2), (3, 2)]
+
+
+def test_many_short_passages_are_contained(spark, tmp_path):
+    rng = random.Random(7)
+    piece = lambda n: "".join(rng.choice("abcdé漢 ") for _ in range(n))
+    items = [(i, piece(rng.randint(0, 5))) for i in range(120)] + [(500, None), (501, ""), (502, "a"), (503, " ")]
+    docs = [(i, piece(rng.randint(0, 60))) for i in range(60)] + [(900, None), (901, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, d) for i, p in items for d, t in docs if p is not None and t is not None and p in t]
+    assert sorted(map(tuple, QUERIES["benchmark_contained"](spark, str(tmp_path)).collect())) == sorted(want)
