@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm.bpe import encode
 from siftline.llm.classifier import keep_good
-from siftline.llm.common import shared_folder, table
+from siftline.llm.common import remove, shared_folder, table
 from siftline.llm.jaccard import keep_one
 from siftline.llm.mixing import mix
 from siftline.llm.secrets import mask_secrets
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
+    """All stages over documents; what each returns is written to the shared folder and read again. Only the last one's rows stay there."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
