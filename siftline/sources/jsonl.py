@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from codecs import BOM_UTF8
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import allow_duplicate_keys, tag, trim, with_document
-from .paths import Input, groups, named, reader, resolve
+from .paths import Input, groups, named, opened, reader, resolve
 
 RECORD = ["path", "path_ord", "row", "line", "blank", "valid", "tag", "doc"]
 
@@ -26,7 +30,8 @@ def read_lines(spark: SparkSession, paths: list[str], ending: str | None = None)
 
     paths: files, folders or patterns, with or without a scheme; of a folder all files, or those with an ending at any
     depth. Row numbers need no global order: a file's splits count their lines, and a small table of these counts by
-    split gives the number of lines before each split.
+    split gives the number of lines before each split. A byte-order mark, which Spark's reader takes away, is put back before
+    a file's first line (in file systems that pyarrow knows), so that such a line is no JSON value.
     """
     parts = [_lines(spark, group, ending) for group in groups(resolve(spark, paths)[0])]
     return union(parts) if parts else spark.createDataFrame([], "path string, path_ord int, row bigint, line string")
@@ -42,9 +47,24 @@ def _lines(spark: SparkSession, group: list[Input], ending: str | None) -> DataF
     blocks = raw.groupBy("_uri", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_uri", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = named(raw.join(blocks, ["_uri", "_block"]), "_uri", group)
-    row = (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("row")
-    return placed.select("path", "path_ord", row, F.regexp_replace("value", "[\\r\\n]+$", "").alias("line"))
+    marked = blocks.where("_block = 0").select("_uri").mapInArrow(_marks, "_uri string, _mark string")
+    placed = named(raw.join(blocks.join(marked, "_uri", "left"), ["_uri", "_block"]), "_uri", group)
+    row = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    line = F.concat(F.when(row == 1, F.coalesce("_mark", F.lit(""))).otherwise(""), F.regexp_replace("value", "[\\r\\n]+$", ""))
+    return placed.select("path", "path_ord", row.alias("row"), line.alias("line"))
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The byte-order mark of each file, or nothing."""
+    for batch in batches:
+        found = []
+        for uri in batch.column("_uri").to_pylist():
+            try:
+                with opened(unquote(uri)) as stream:
+                    found.append("\ufeff" if stream.read(3) == BOM_UTF8 else "")
+            except (OSError, pa.ArrowException):  # a file system that only Spark knows
+                found.append("")
+        yield pa.RecordBatch.from_arrays([batch.column("_uri"), pa.array(found, pa.string())], ["_uri", "_mark"])
 
 
 def records(lines: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jsonl import ENDINGS, union
-from .paths import groups, named, reader, resolve
+from .paths import groups, named, opened, reader, resolve
 
 GROUPS = "path string, idx int, num_rows bigint, error string"
 
@@ -31,15 +29,12 @@ def read_row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _footers(batches):
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     for batch in batches:
         rows = []
         for path, file in zip(*(batch.column(c).to_pylist() for c in ("path", "file")), strict=True):
             try:
-                local = file.startswith("file:")
-                system, name = (fs.LocalFileSystem(), "/" + file[5:].lstrip("/")) if local else fs.FileSystem.from_uri(quote(file, safe=":/@"))
-                stream = system.open_input_file(name)
+                stream = opened(file)
             except (OSError, pa.ArrowException) as e:
                 rows.append((path, None, None, str(e)[:200]))
                 continue

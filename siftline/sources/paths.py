@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,3 +75,13 @@ def reader(spark: SparkSession, group: list[Input], ending: str | None):
     if not group[0].file and ending:
         read = read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ending}")
     return read
+
+
+def opened(file: str):
+    """A file by its address in Spark's metadata, opened in a task, where no Spark is. OSError or ArrowException if pyarrow cannot."""
+    from pyarrow import fs
+
+    if file.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + file[5:].lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(file, safe=":/@"))
+    return system.open_input_file(name)

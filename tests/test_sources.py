@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from siftline.cli import main
+from siftline.config import Config
 from siftline.findings import SCHEMA
 from siftline.functions.text import bands
 from siftline.plans.lint import Splits, lint_files, lint_splits
@@ -91,3 +92,11 @@ def test_band_layouts(spark):
     counted = lambda *layout: {r.id: r["count"] for r in bands(signed, *layout).groupBy("id").count().collect()}
     assert counted() == {"long": 32} and counted(16, 8) == {"long": 16} and counted(1, 3) == {"long": 1, "short": 1}
     assert counted(1000, 1000) == counted(0, 4) == {"long": 32}
+
+
+def test_a_byte_order_mark_makes_the_first_line_malformed(spark, tmp_path):
+    (tmp_path / "a b+%20.jsonl").write_bytes(b'\xef\xbb\xbf{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "b.jsonl").write_bytes(b'{"a": 1}\n\xef\xbb\xbf\n')
+    found = lint_files(spark, [str(tmp_path)], Config(enable=("jsonl-malformed-line",)))
+    assert places(found) == [("jsonl-malformed-line", "a b+%20.jsonl", 1), ("jsonl-malformed-line", "b.jsonl", 2)]
+    assert read_lines(spark, [f"{tmp_path}/a b+%20.jsonl"]).where("row = 1").first().line == '\ufeff{"a": 1}'
