@@ -41,8 +41,9 @@ TAU = math.sqrt(2 - 2 * THRESHOLD)
 #: What bounds are widened by: square roots of rounded products are this exact.
 SLACK = 1e-7
 RADII = (1.0, 0.5, 0.25)
-#: Sets of a unit at most (about), sets of the sample for each unit, and in all.
+#: Sets of a unit at most (about), sets of the sample for each unit, and in all; long vectors make both smaller, by bytes.
 UNIT, OF_UNIT, SAMPLE = 8192, 8, 4096
+BYTES = 1 << 24
 #: A level is passed over if more than this share of its pairs would have to be opened.
 DENSE = 0.03
 #: Pairs that are compared at a time, and rows of a product of matrices.
@@ -317,13 +318,15 @@ def _pack(centres: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarra
     return first, many
 
 
-def linked(sets: DataFrame, n: int, unit: int = UNIT) -> DataFrame:
+def linked(sets: DataFrame, n: int, width: int, unit: int = UNIT) -> DataFrame:
     """(set_id, links, root): for sets with links, how many rows each is linked with and a set that links join it with, in parts.
 
-    sets: set_id, mark, copies, vector, of which there are n.
+    sets: set_id, mark, copies, vector, of which there are n, with vectors of `width` bytes at most.
     """
+    most = max(64, BYTES // max(width, 1))
+    unit = min(unit, most)
     wanted = max(1, min(max(-(-n // unit), math.ceil(math.sqrt(2 * spread(sets)))), n // 64))
-    sample = sets.orderBy("mark", "set_id").limit(min(SAMPLE, OF_UNIT * wanted)).select("vector").toArrow()  # bounded
+    sample = sets.orderBy("mark", "set_id").limit(min(SAMPLE, most, OF_UNIT * wanted)).select("vector").toArrow()  # bounded
     points = matrix(sample.column("vector").combine_chunks()) if sample.num_rows else np.zeros((1, 1))
     chosen, radius = np.zeros(1, np.int64), 2.0
     while len(chosen) < wanted and radius > TAU:  # nested levels, as each net begins with the one before
@@ -390,12 +393,12 @@ def near_dedup(embeddings: DataFrame, unit: int = UNIT) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = map_batches(rows, _scaled, "vec_id long, vector binary").withColumns({"mark": F.xxhash64("vector"), "mark2": F.xxhash64(F.lit("second"), "vector"), "row": F.monotonically_increasing_id()})
-    rows = cut(rows)
+    rows, widest = cut_observed(rows, bytes=F.max(F.octet_length("vector")))
     good = rows.where("vector IS NOT NULL")
     alike = good.groupBy("mark", "mark2").agg(F.min("row").alias("set_id"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     alike, seen = cut_observed(alike, n=F.count("*"))
     sets = cut(alike.join(good.select(F.col("row").alias("set_id"), "vector"), "set_id").select("set_id", "mark", "copies", "vector"))
-    compared = cut(linked(sets, seen["n"], unit))
+    compared = cut(linked(sets, seen["n"], widest["bytes"], unit))
     links = compared.groupBy("set_id").agg(F.sum("links").alias("links"))
     joined = components(compared.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     named = cut(joined.join(alike.select(F.col("set_id").alias("id"), "least"), "id"))

@@ -50,8 +50,9 @@ def mixed(rng, n, dims=16):
     return np.concatenate([base, loose, tight, chain, base[:5], base[:5] * 3.5])
 
 
-@pytest.mark.parametrize("unit", [em.UNIT, 90])
-def test_equals_all_pairs(spark, unit):
+@pytest.mark.parametrize(("unit", "size"), [(em.UNIT, em.BYTES), (90, em.BYTES), (em.UNIT, 64 * 16 * 8)])
+def test_equals_all_pairs(spark, monkeypatch, unit, size):
+    monkeypatch.setattr(em, "BYTES", size)
     rng = np.random.default_rng(2)
     x = mixed(rng, 900)
     rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)) + 5, x, strict=True)]
