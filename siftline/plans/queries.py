@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -10,20 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Config, Settings
 from ..findings import at_least
 from ..functions.arrow import dealt
 from ..functions.signing import signatures
 from ..functions.text import BANDS, SCRIPTS, bands, coefficients, shingles
 from ..operators import chat_rules, file_rules, leakage, schema_rules
-from ..sinks.fixes import edits_of
+from ..sinks.fixes import apply, edits_of
+from ..sinks.report import diff_json, summary, write_folder
 from ..sinks.report import drops as drop_rows
-from ..sinks.report import summary
-from ..sources.jsonl import read_jsonl, records, table_records
+from ..sources.jsonl import read_jsonl, read_lines, records, table_records
 from ..sources.parquet_footers import read_row_groups
 from ..sources.python_calls import calls, read_sources
 from . import diff
-from .lint import lint_calls
+from .lint import Splits, lint_calls, lint_files, lint_splits
 from .suppress import MARKER, in_records, in_sources, without_suppressed
 
 DEFAULT = Settings()
@@ -110,21 +111,104 @@ CODE = (
 )
 
 
-def _code_findings(spark, sf_dir) -> DataFrame:
-    """Findings of all code rules on a file for each supplier, but those that a comment on their line switches off."""
+def _code_folder(spark, sf_dir) -> str:
+    """A folder with a file for each supplier."""
     key = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     lines = F.array(*(F.when(F.expr(condition), F.lit(line)) for line, condition in CODE))
     files = key.select(F.col("k").alias("part"), "k", F.array_join(F.array_compact(lines), "\n").alias("source"))
-    sources = read_sources(spark, [_in_files(files, "k", "source")], ending=".txt")
+    return _in_files(files, "k", "source")
+
+
+def _code_findings(spark, folder: str) -> DataFrame:
+    """Findings of all code rules, but those that a comment on their line switches off."""
+    sources = read_sources(spark, [folder], ending=".txt")
     return without_suppressed(lint_calls(calls(sources)), lines=in_sources(sources))
 
 
 def code_files(spark, sf_dir):
-    return _code_findings(spark, sf_dir).select("rule_id", "severity", "message", _part(), "line", "col")
+    return _code_findings(spark, _code_folder(spark, sf_dir)).select("rule_id", "severity", "message", _part(), "line", "col")
 
 
 def fix_edits(spark, sf_dir):
-    return edits_of(_code_findings(spark, sf_dir)).select(_part(), "line", "insert")
+    return edits_of(_code_findings(spark, _code_folder(spark, sf_dir))).select(_part(), "line", "insert")
+
+
+def fixed_files(spark, sf_dir):
+    """The lines of the files after the fixes have been written."""
+    folder = _code_folder(spark, sf_dir)
+    apply(_code_findings(spark, folder))
+    return read_lines(spark, [folder], ".txt").select(_part(), "row", "line")
+
+
+def _ending(spark, folder: str, ending: str) -> str:
+    """folder, its text files renamed to another ending."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(hadoop.Path(f"{folder}/part=*/*.txt")):
+        system.rename(found.getPath(), hadoop.Path(found.getPath().toString().removesuffix(".txt") + ending))
+    return folder
+
+
+def lint_folders(spark, sf_dir):
+    """Findings of some rules over folders with JSON lines, Python and Parquet, each file by its ending."""
+    events = _table(spark, sf_dir, "events").select((F.col("event_id") % 16).alias("part"), "event_id", F.when(F.col("event_id") % 50 == 0, "{").otherwise(F.col("props")).alias("line"))
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", "n_chars")
+    folders = [_ending(spark, _in_files(events, "event_id", "line"), ".jsonl"), _ending(spark, _code_folder(spark, sf_dir), ".py"), _in_files(docs, "doc_id", "doc_id", "n_chars")]
+    large = "parquet-row-group-too-large-for-streaming"
+    config = Config(rules={large: {"max_rows_per_group": 12}}, enable=("jsonl-malformed-line", "random-seed-not-set", large))
+    return lint_files(spark, folders, config).select("rule_id", "severity", _part(), "line", "row")
+
+
+def split_files(spark, sf_dir):
+    """Overlaps of a training and an evaluation split and of two datasets, read from files of JSON lines."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("kind"), (F.col("doc_id") % 5).alias("part"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("line"))
+    train, evaluation, a, b = (_ending(spark, _in_files(docs.where(F.col("kind") == k), "doc_id", "line"), ".jsonl") for k in range(4))
+    return lint_splits(spark, Splits([train], [evaluation], {"a": [a], "b": [b]})).select("rule_id", "severity", _part(), "row")
+
+
+def user_patterns(spark, sf_dir):
+    """Personal data and two patterns of a user's own, one of them named; a third cannot be used."""
+    own = Settings({"extra_patterns": ["year=(?:19|20)[0-9]{2}", "(?i)licen[cs]e [a-z]+", "(?=x)"]})
+    return _shown(file_rules.personal_data(_documents(spark, sf_dir), own))
+
+
+def _report_parts(spark, sf_dir, form: str) -> DataFrame:
+    """The parts of a report that is written as a folder, each as one string."""
+    folder = _folder(spark)
+    write_folder(_two_rules(spark, sf_dir)[0], form, folder)
+    return spark.read.text(f"{folder}/part-*", wholetext=True)
+
+
+def _report_items(spark, sf_dir, form: str, schema: str) -> DataFrame:
+    array = F.concat(F.lit("["), F.regexp_replace("value", r"\A\s*,", ""), F.lit("]"))
+    return _report_parts(spark, sf_dir, form).select(F.explode(F.from_json(array, f"array<struct<{schema}>>")).alias("x")).select("x.*")
+
+
+def report_json(spark, sf_dir):
+    return _report_items(spark, sf_dir, "json", "rule_id string, severity int, message string, path string, row bigint")
+
+
+def report_sarif(spark, sf_dir):
+    place = "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint>>>>"
+    found = _report_items(spark, sf_dir, "sarif", f"ruleId string, level string, message struct<text:string>, {place}").withColumn("at", F.col("locations")[0]["physicalLocation"])
+    return found.select(F.col("ruleId").alias("rule_id"), "level", F.col("message.text").alias("message"), F.col("at.artifactLocation.uri").alias("path"), F.col("at.region.startLine").alias("row"))
+
+
+def report_html(spark, sf_dir):
+    """The rows of the page's tables, as they are written."""
+    rows = _report_parts(spark, sf_dir, "html").select(F.explode(F.regexp_extract_all("value", F.lit("<tr>(.*?)</tr>"), F.lit(1))).alias("tr"))
+    return rows.select(F.regexp_extract("tr", "^<td>(.*?)</td>", 1).alias("place"), F.regexp_extract("tr", "</td><td>(.*)</td>$", 1).alias("message"))
+
+
+def diff_report(spark, sf_dir):
+    """The comparison of two versions, as its JSON form has it: rows, fields and the commonest values."""
+    events = _table(spark, sf_dir, "events")
+    old = table_records(events.where("event_id % 3 = 0"), F.col("event_id"), "old", "event_type", F.col("props").alias("gone"))
+    new = table_records(events.where("event_id % 3 > 0"), F.col("event_id"), "new", "event_type", F.col("props").alias("fresh"))
+    found = json.loads(diff_json(diff.compare(old, new)))
+    rows = [("rows", side, str(found[f"{side}Rows"]), None) for side in ("Old", "New")] + [("field", kind, key, None) for kind in ("Added", "Removed", "Common") for key in found[kind] or ()]
+    rows += [(f"top {side} {d['Field']}", str(i), v["Value"], v["Count"]) for d in found["Distributions"] for side in ("Old", "New") for i, v in enumerate(d[f"{side}Top"])]
+    return spark.createDataFrame(rows, "section string, name string, value string, n long")
 
 
 def pii_scan(spark, sf_dir):
@@ -284,7 +368,7 @@ def rule_summary(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        malformed_lines, jsonl_files, row_groups, code_files, fix_edits, pii_scan, type_mixed, type_mismatch, optional_field, enum_drift, role_inversion, system_mid, tool_without_call, unbalanced_tool_call, eval_leaks,
+        malformed_lines, jsonl_files, row_groups, code_files, fix_edits, fixed_files, lint_folders, split_files, user_patterns, report_json, report_sarif, report_html, diff_report, pii_scan, type_mixed, type_mismatch, optional_field, enum_drift, role_inversion, system_mid, tool_without_call, unbalanced_tool_call, eval_leaks,
         exact_overlap, near_overlap, cross_dataset, cross_near, benchmark_contained, shingle_counts, minhash, band_buckets, script_mix, length_stats, field_sets, top_values, drops,
         severity_filter, suppressed, rule_summary,
     )
@@ -375,6 +459,25 @@ ORACLES["code_files"] = _code_sql() + """
 SELECT 'random-seed-not-set' AS rule_id, 1 AS severity, name || ' called without random.seed/np.random.seed earlier in this file; pipeline output is non-reproducible' AS message, CAST(k AS BIGINT) AS part, n AS line, 1 AS col FROM unseeded
 UNION ALL SELECT 'shuffle-after-split', 2, name || ' called after train/eval split; either shuffle before splitting or seed each split''s RNG explicitly', k, n, 1 FROM found WHERE name LIKE '%.shuffle' AND n > split
 UNION ALL SELECT 'dedup-key-misses-normalization', 1, 'drop_duplicates called with no string normalization (lower/strip/casefold/unicodedata.normalize) elsewhere in this file; near-duplicates may slip through', k, n, 1 FROM found WHERE line LIKE '%.drop_duplicates()' AND NOT normal"""
+ORACLES["fixed_files"] = _code_sql() + """, fixed AS (SELECT DISTINCT k, imports FROM unseeded)
+SELECT CAST(lines.k AS BIGINT) AS part, CAST(n + CASE WHEN n > imports THEN 1 ELSE 0 END AS BIGINT) AS row, line FROM lines LEFT JOIN fixed USING (k) UNION ALL SELECT k, imports + 1, 'random.seed(0)' FROM fixed"""
+ORACLES["lint_folders"] = _code_sql() + """, e AS (SELECT event_id, event_id % 16 AS part, row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) AS row FROM events),
+d AS (SELECT doc_id % 16 AS part, count(*) AS n FROM documents GROUP BY 1)
+SELECT 'jsonl-malformed-line' AS rule_id, 2 AS severity, part, 0 AS line, row FROM e WHERE event_id % 50 = 0
+UNION ALL SELECT 'random-seed-not-set', 1, CAST(k AS BIGINT), n, 0 FROM unseeded UNION ALL SELECT 'parquet-row-group-too-large-for-streaming', 1, part, 0, 1 FROM d WHERE n > 12"""
+ORACLES["split_files"] = f"""WITH p AS (SELECT doc_id % 4 AS kind, doc_id % 5 AS part, row_number() OVER (PARTITION BY doc_id % 4, doc_id % 5 ORDER BY doc_id) AS row, {_TRIM} AS prompt FROM documents)
+SELECT 'train-eval-overlap' AS rule_id, 2 AS severity, part, row FROM p WHERE kind = 1 AND prompt <> '' AND prompt IN (SELECT prompt FROM p WHERE kind = 0)
+UNION ALL SELECT 'cross-dataset-overlap', 2, part, row FROM p WHERE kind = 3 AND prompt <> '' AND prompt IN (SELECT prompt FROM p WHERE kind = 2)"""
+ORACLES["user_patterns"] = f"""WITH {_PII}, more AS (SELECT doc_id, regexp_extract(text, '(?:19|20)[0-9]{{2}}') AS y, regexp_extract(text, '(?i)licen[cs]e [a-z]+') AS o FROM documents WHERE doc_id NOT IN (SELECT row - 1 FROM pii))
+SELECT * FROM pii UNION ALL SELECT 'privacy-pii-detected', 2, CASE WHEN y <> '' THEN 'year' ELSE 'custom' END || ' pattern matched in field "text" (sample: "' || CASE WHEN y <> '' THEN y ELSE o END || '"); training data should not carry user PII', 'documents', doc_id + 1 FROM more WHERE y <> '' OR o <> ''"""
+ORACLES["report_json"] = f"WITH {_PII}, {_DRIFT} SELECT rule_id, severity, message, path, row FROM both_rules"
+ORACLES["report_sarif"] = f"WITH {_PII}, {_DRIFT} SELECT rule_id, CASE severity WHEN 2 THEN 'error' ELSE 'warning' END AS level, message, path, row FROM both_rules"
+ORACLES["report_html"] = f"""WITH {_PII}, {_DRIFT} SELECT path || ':' || row AS place, replace(replace(replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS message FROM both_rules"""
+ORACLES["diff_report"] = """WITH c AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'Old' ELSE 'New' END AS side, event_type AS v, count(*) AS n FROM events GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, v) - 1 AS i FROM c)
+SELECT 'rows' AS section, side AS name, CAST(sum(n) AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS n FROM c GROUP BY side
+UNION ALL SELECT 'field', kind, key, NULL FROM (SELECT DISTINCT unnest(CASE side WHEN 'Old' THEN ['Common', 'Removed'] ELSE ['Common', 'Added'] END) AS kind, unnest(CASE side WHEN 'Old' THEN ['event_type', 'gone'] ELSE ['event_type', 'fresh'] END) AS key FROM c)
+UNION ALL SELECT 'top ' || side || ' event_type', CAST(i AS VARCHAR), v, n FROM top WHERE i < 5 AND (SELECT count(DISTINCT v) FROM c) <= 20"""
 ORACLES["fix_edits"] = _code_sql() + " SELECT DISTINCT CAST(k AS BIGINT) AS part, imports + 1 AS line, 'random.seed(0)' || chr(10) AS insert FROM unseeded"
 
 
