@@ -99,7 +99,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """A row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256."""
-    visits = running(rebuilt(turns_of(conversations)), "conv_id", ["at"], ["a", "b", "chars"], BASES)
+    turns = cut(turns_of(conversations))  # ranges are sampled before rows are dealt: texts are read and digested once
+    visits = running(rebuilt(turns), "conv_id", ["at"], ["a", "b", "chars"], BASES)
     visits = cut(visits.select("conv_id", F.col("place").alias("depth"), *KEY, "chars", "last"))
     one = F.lit(1).cast("long")
     partial = visits.select(*KEY, "chars", F.col("conv_id").alias("first"), one.alias("n"), F.col("last").cast("long").alias("ends"))
