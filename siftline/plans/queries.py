@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ from ..functions.arrow import dealt
 from ..functions.signing import signatures
 from ..functions.text import BANDS, SCRIPTS, bands, coefficients, shingles
 from ..operators import chat_rules, file_rules, leakage, schema_rules
+from ..sinks.files import put_all
 from ..sinks.fixes import apply, edits_of
 from ..sinks.report import diff_json, summary, write_folder
 from ..sinks.report import drops as drop_rows
 from ..sources.jsonl import read_jsonl, read_lines, records, table_records
 from ..sources.parquet_footers import read_row_groups
+from ..sources.paths import address, system_of
 from ..sources.python_calls import calls, read_sources
 from . import diff
 from .lint import Splits, lint_calls, lint_files, lint_splits
@@ -69,8 +73,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _part(path: str = "path") -> Column:
-    """The part that a file written by _in_files holds."""
-    return F.regexp_extract(path, r"/part=(\d+)/", 1).cast("long").alias("part")
+    """The part that a file holds, which its folder or the file itself is named after."""
+    return F.regexp_extract(path, r"/part=(\d+)[/.]", 1).cast("long").alias("part")
 
 
 def _in_files(df: DataFrame, order: str, *columns: str, **options: str) -> str:
@@ -111,18 +115,32 @@ CODE = (
 )
 
 
-def _code_folder(spark, sf_dir) -> str:
+#: Folders that the many small files of code are spread over, so that their list takes few steps.
+FOLDERS = 64
+
+
+def _code_folder(spark, sf_dir, ending: str = ".txt") -> str:
     """A folder with a file for each supplier."""
     key = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     lines = F.array(*(F.when(F.expr(condition), F.lit(line)) for line, condition in CODE))
     files = key.select(F.col("k").alias("part"), "k", F.array_join(F.array_compact(lines), "\n").alias("source"))
-    return _in_files(files, "k", "source")
+    folder = address(spark, _folder(spark))
+    try:
+        system_of(folder)
+    except (OSError, pa.ArrowException):  # a file system that only Spark knows
+        folder = _in_files(files, "k", "source")
+        return folder if ending == ".txt" else _ending(spark, folder, ending)
+    # a number is given, so that many small rows are not put together
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").groupBy("part").agg(F.array_join(F.collect_list("source"), "\n").alias("source"))
+    name = F.concat(F.lit("group="), F.pmod(F.xxhash64("part"), F.lit(FOLDERS)), F.lit("/part="), F.coalesce(F.col("part").cast("string"), F.lit("null")), F.lit(ending))
+    put_all(files.select(name.alias("name"), F.concat("source", F.lit("\n")).alias("content")), folder)
+    return folder
 
 
 def _code_findings(spark, folder: str) -> DataFrame:
-    """Findings of all code rules, but those that a comment on their line switches off."""
-    sources = read_sources(spark, [folder], ending=".txt")
-    return without_suppressed(lint_calls(calls(sources)), lines=in_sources(sources))
+    """Findings of all code rules, but those that a comment on their line switches off. Files are read and parsed once."""
+    sources = read_sources(spark, [folder], ending=".txt").persist(StorageLevel.MEMORY_AND_DISK)
+    return without_suppressed(lint_calls(calls(sources).persist(StorageLevel.MEMORY_AND_DISK)), lines=in_sources(sources))
 
 
 def code_files(spark, sf_dir):
@@ -153,7 +171,7 @@ def lint_folders(spark, sf_dir):
     """Findings of some rules over folders with JSON lines, Python and Parquet, each file by its ending."""
     events = _table(spark, sf_dir, "events").select((F.col("event_id") % 16).alias("part"), "event_id", F.when(F.col("event_id") % 50 == 0, "{").otherwise(F.col("props")).alias("line"))
     docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", "n_chars")
-    folders = [_ending(spark, _in_files(events, "event_id", "line"), ".jsonl"), _ending(spark, _code_folder(spark, sf_dir), ".py"), _in_files(docs, "doc_id", "doc_id", "n_chars")]
+    folders = [_ending(spark, _in_files(events, "event_id", "line"), ".jsonl"), _code_folder(spark, sf_dir, ".py"), _in_files(docs, "doc_id", "doc_id", "n_chars")]
     large = "parquet-row-group-too-large-for-streaming"
     config = Config(rules={large: {"max_rows_per_group": 12}}, enable=("jsonl-malformed-line", "random-seed-not-set", large))
     return lint_files(spark, folders, config).select("rule_id", "severity", _part(), "line", "row")

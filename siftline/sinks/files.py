@@ -1,9 +1,16 @@
-"""Single small files in any file system that Spark reads, from the driver: read whole, written whole, replaced."""
+"""Small files: single ones in any file system that Spark reads, from the driver: read whole, written whole, replaced; many ones in tasks."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.paths import system_of
 
 
 def _at(spark: SparkSession, name: str):
@@ -58,3 +65,42 @@ def _renamed(system, new, path) -> bool:
         return system.rename(new, path)
     except Py4JJavaError:  # FileAlreadyExistsException
         return False
+
+
+def put_all(files: DataFrame, folder: str) -> None:
+    """files: (name, content), the different names of files below a folder, given with its scheme, and their texts. Tasks write them.
+
+    A file is written under a name that readers pass over, then renamed, so a task that is lost or run twice leaves whole files.
+    OSError or ArrowException if pyarrow does not know the file system.
+    """
+    system_of(folder)
+
+    def run(batches):
+        (system, at), made = system_of(folder), set()
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                above, own = os.path.split(f"{at}/{name}")
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                new = f"{above}/.{own}.{uuid.uuid4().hex}"
+                with system.open_output_stream(new) as out:
+                    out.write(content.encode())
+                system.move(new, f"{above}/{own}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def replace_local(name: str, content: bytes) -> None:
+    """As replace, in a task, for a file of the local file system (or one that is mounted), without scheme."""
+    above, own = os.path.split(name)
+    new = f"{above}/.{own}.{uuid.uuid4().hex}"
+    with open(new, "wb") as out:
+        out.write(content)
+    os.chmod(new, os.stat(name).st_mode & 0o7777)
+    try:
+        os.remove(f"{above}/.{own}.crc")  # Hadoop's checksums of the old file
+    except FileNotFoundError:
+        pass
+    os.replace(new, name)

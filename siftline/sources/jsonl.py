@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import allow_duplicate_keys, tag, trim, with_document
-from .paths import Input, groups, named, opened, reader, resolve
+from .paths import Input, groups, named, opened, packed, reader, resolve
 
 RECORD = ["path", "path_ord", "row", "line", "blank", "valid", "tag", "doc"]
 
@@ -43,7 +43,8 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def _lines(spark: SparkSession, group: list[Input], ending: str | None) -> DataFrame:
     raw = reader(spark, group, ending).option("lineSep", "\n").text([x.given for x in group])
-    raw = raw.select("value", F.col("_metadata.file_path").alias("_uri"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    raw = packed(raw.select("value", F.col("_metadata.file_path").alias("_uri"), F.col("_metadata.file_block_start").alias("_block")))
+    raw = raw.withColumn("_id", F.monotonically_increasing_id())
     blocks = raw.groupBy("_uri", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("_uri").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_uri", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Partitions of a scan that become one at most.
+PACK = 32
+
+
 @dataclass(frozen=True)
 class Input:
     """A given path, its place in the list, the full name as plain() has it, and whether it is one file."""
@@ -77,11 +81,29 @@ def reader(spark: SparkSession, group: list[Input], ending: str | None):
     return read
 
 
-def opened(file: str):
-    """A file by its address in Spark's metadata, opened in a task, where no Spark is. OSError or ArrowException if pyarrow cannot."""
+def packed(read: DataFrame) -> DataFrame:
+    """A plain scan; very many partitions, as Spark makes of small files, are put together: up to PACK of them, down to those of a shuffle."""
+    parts, least = read.rdd.getNumPartitions(), int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(least, -(-parts // PACK))
+    return read.coalesce(wanted) if parts > wanted else read
+
+
+def system_of(file: str):
+    """pyarrow's file system of an address with a scheme, and the name there. OSError or ArrowException if pyarrow knows none."""
     from pyarrow import fs
 
     if file.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + file[5:].lstrip("/"))
-    system, name = fs.FileSystem.from_uri(quote(file, safe=":/@"))
+        return fs.LocalFileSystem(), "/" + file[5:].lstrip("/")
+    return fs.FileSystem.from_uri(quote(file, safe=":/@"))
+
+
+def opened(file: str):
+    """A file by its address in Spark's metadata, opened in a task, where no Spark is. OSError or ArrowException if pyarrow cannot."""
+    system, name = system_of(file)
     return system.open_input_file(name)
+
+
+def address(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark would look for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
