@@ -28,18 +28,37 @@ def with_document(lines: DataFrame, line: str = "line") -> DataFrame:
     mark as the second mean exactly one value. A number beyond a double's range is not valid.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(line), F.lit(f',"{_MARK}"]'))).cast("array<variant>")
-    parsed = lines.withColumn("_parts", wrapped)
+    parsed = once(lines, _parts=wrapped)
     one = F.coalesce((F.size("_parts") == 2) & (F.expr("try_variant_get(_parts[1], '$', 'string')") == _MARK), F.lit(False))
-    doc = F.when(one, F.expr("_parts[0]"))
-    parsed = parsed.withColumn("doc", doc).drop("_parts")
+    parsed = once(parsed, doc=F.when(one, F.expr("_parts[0]"))).drop("_parts")
     endless = F.col(line).rlike(r"[eE]\+?\d{3,}|\d{309,}") & F.to_json(F.struct("doc")).rlike(r'[:\[,]"?-?Infinity')
     valid = F.col("doc").isNotNull() & ~F.coalesce(endless, F.lit(False))
-    return parsed.withColumn("valid", valid).withColumn("tag", F.when(F.col("valid"), tag(F.col("doc"))))
+    parsed = tagged(once(parsed, valid=valid))
+    return parsed.withColumn("tag", F.when(F.col("valid"), F.col("tag")))
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with the tag of doc, whose type is looked up once a row."""
+    return once(docs, _kind=F.schema_of_variant("doc")).withColumn("tag", _tag(F.col("_kind"))).drop("_kind")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each worked out once a row: what filters and later columns use is the value, not its expression again."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_once")
+    return df.select("*", made).select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *(F.col(f"_once.{name}").alias(name) for name in columns))
 
 
 def tag(value: Column) -> Column:
     """null, boolean, number, string, array or object; SQL NULL for a missing value."""
-    kind = F.schema_of_variant(value)
+    return _tag(F.schema_of_variant(value))
+
+
+def is_string(value: Column) -> Column:
+    """Whether tag has string; the type is looked up once."""
+    return F.schema_of_variant(value) == "STRING"
+
+
+def _tag(kind: Column) -> Column:
     return (
         F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "number")
@@ -61,7 +80,7 @@ def member(value: str, name: str) -> Column:
 
 def text_of(value: Column) -> Column:
     """The string of a VARIANT that is one, else SQL NULL: numbers are not turned to text."""
-    return F.when(tag(value) == "string", F.try_variant_get(value, "$", "string"))
+    return F.when(is_string(value), F.try_variant_get(value, "$", "string"))
 
 
 def items_of(value: Column) -> Column:
@@ -140,7 +159,7 @@ def kinds_at(value: Column, tree: PathTree) -> Column:
     found = [F.transform(F.array(*map(F.lit, tree.ends)), lambda at: F.struct(at.alias("at"), tag(value).alias("kind")))] if tree.ends else []
     members = [(s.name, t) for s, t in tree.below.items() if s.name is not None]
     for name, below in members:
-        inner = F.filter(F.array(F.when(tag(value) == "object", member_of(value, name))), lambda v: v.isNotNull())
+        inner = F.filter(F.array(member_of(value, name)), lambda v: v.isNotNull())  # null if value is no object
         found.append(F.flatten(F.transform(inner, walk(below))))
     for below in (t for s, t in tree.below.items() if s.name is None):
         found.append(F.coalesce(F.flatten(F.transform(items_of(value), walk(below))), none))

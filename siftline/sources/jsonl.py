@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.json_values import allow_duplicate_keys, tag, trim, with_document
+from ..functions.json_values import allow_duplicate_keys, once, tagged, trim, with_document
 from .paths import Input, groups, named, opened, packed, reader, resolve
 
 RECORD = ["path", "path_ord", "row", "line", "blank", "valid", "tag", "doc"]
@@ -81,6 +81,7 @@ def read_jsonl(spark: SparkSession, paths: list[str], ending: str | None = ENDIN
 
 def table_records(df: DataFrame, row: Column, path: str, *columns: str | Column) -> DataFrame:
     """A table's rows as records: path, row and an object of the given columns. Null columns are JSON nulls."""
-    doc = F.to_variant_object(F.struct(*(columns or df.columns)))
-    out = df.select(F.lit(path).alias("path"), F.lit(0).alias("path_ord"), row.cast("bigint").alias("row"), doc.alias("doc"))
-    return out.select("path", "path_ord", "row", F.lit(None).cast("string").alias("line"), F.lit(False).alias("blank"), F.lit(True).alias("valid"), tag(F.col("doc")).alias("tag"), "doc")
+    members = F.struct(*(columns or df.columns)).alias("_members")
+    out = df.select(F.lit(path).alias("path"), F.lit(0).alias("path_ord"), row.cast("bigint").alias("row"), members)
+    out = tagged(once(out, doc=F.to_variant_object("_members")))
+    return out.select("path", "path_ord", "row", F.lit(None).cast("string").alias("line"), F.lit(False).alias("blank"), F.lit(True).alias("valid"), "tag", "doc")
