@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..findings import WARNING, findings, union
-from ..functions.json_values import PathTree, entries, kinds_at, parse_path, quoted, rounded, tag
+from ..functions.joins import join_keys
+from ..functions.json_values import PathTree, entries, is_string, kinds_at, parse_path, quoted, rounded, tag
 from . import messages
 
 TYPES = ("string", "number", "boolean", "array", "object", "null")
@@ -69,11 +70,11 @@ def optional_fields(docs: DataFrame, settings: Settings, seen: DataFrame | None
     wanted = wanted.join(seen, ["path", "key"], "left").select("path", "key", F.coalesce("n", F.lit(0)).alias("n"), "first_seen", "total", "first_row", F.lit(True).alias("required")).where("n < total")
     ratio = F.col("n") / F.col("total")
     usual = seen.join(total, "path").where((ratio >= least) & (ratio < 1) & ~F.col("key").isin(required)).select("path", "key", "n", "first_seen", "total", "first_row", F.lit(False).alias("required"))
-    fields = wanted.unionByName(usual)
+    fields = wanted.unionByName(usual).persist()  # a few rows, worked out once
     # the first row without the field, only for fields that are reported and that the first row has; rows are tested in place
     asked = fields.where("first_seen = first_row").select("path", "key").distinct().groupBy("path").agg(F.collect_set("key").alias("asked"))
     held = F.coalesce(F.json_object_keys(F.to_json("doc")), F.array().cast("array<string>"))
-    lacking = rows_of(docs).join(asked, "path").select("path", "row", F.explode(F.array_except("asked", held)).alias("key"))
+    lacking = join_keys(rows_of(docs), asked, ["path"]).select("path", "row", F.explode(F.array_except("asked", held)).alias("key"))
     missing = lacking.groupBy("path", "key").agg(F.min("row").alias("missing"))
     fields = fields.join(missing, ["path", "key"], "left").withColumn("at", F.coalesce("missing", F.lit(1)))
     must = F.format_string(messages.MISSING_REQUIRED, quoted(F.col("key")), F.col("total") - F.col("n"), "total")
@@ -89,13 +90,13 @@ def enum_drift(docs: DataFrame, settings: Settings) -> DataFrame:
     """
     asked, most = settings.integer("lock_in_rows", 5), settings.integer("max_distinct", 8)
     lock_in = max(1, asked)  # one row locks an enum at least
-    strings = entries(docs).where(tag(F.col("value")) == "string").select("path", "key", "row", F.try_variant_get("value", "$", "string").alias("v"))
+    strings = entries(docs).where(is_string(F.col("value"))).select("path", "key", "row", F.try_variant_get("value", "$", "string").alias("v"))
     place = F.row_number().over(Window.partitionBy("path", "key").orderBy("row"))
     first = strings.select("path", "key", "row").withColumn("place", place).where(F.col("place") <= lock_in)
     last = first.groupBy("path", "key").agg(F.max("row").alias("last"), F.count("*").alias("n")).where(F.col("n") >= lock_in).drop("n")
-    locked = strings.join(last, ["path", "key"]).where("row <= last").groupBy("path", "key", "last").agg(F.collect_set("v").alias("locked"))
+    locked = join_keys(strings, last, ["path", "key"]).where("row <= last").groupBy("path", "key", "last").agg(F.collect_set("v").alias("locked"))
     enums = locked.where(F.size("locked") <= most)
-    fresh = strings.join(enums, ["path", "key"]).where("row > last AND NOT array_contains(locked, v)")
+    fresh = join_keys(strings, enums, ["path", "key"]).where("row > last AND NOT array_contains(locked, v)")
     drifted = fresh.groupBy("path", "key", "v").agg(F.min("row").alias("first"))
     message = F.format_string(messages.ENUM_DRIFT, quoted(F.col("key")), quoted(F.col("v")), F.lit(asked))
     return findings(drifted, "enum-drift", WARNING, message, row=F.col("first"))
