@@ -10,7 +10,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.json_values import entries, tag
+from ..functions.joins import join_keys
+from ..functions.json_values import entries, is_string
 from ..functions.scripts import script_counts
 from ..operators.schema_rules import rows_of
 
@@ -36,8 +37,8 @@ def field_sets(found: DataFrame) -> DataFrame:
 def shared_strings(found: DataFrame) -> DataFrame:
     """(side, key, v) of the string values of fields that both versions have."""
     common = field_sets(found).where("status = 'common'").select("key")
-    strings = found.where(tag(F.col("value")) == "string").select("side", "key", F.try_variant_get("value", "$", "string").alias("v"))
-    return strings.join(common, "key", "left_semi")
+    strings = found.where(is_string(F.col("value"))).select("side", "key", F.try_variant_get("value", "$", "string").alias("v"))
+    return join_keys(strings, common, ["key"], "left_semi")
 
 
 def top_values(strings: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def top_values(strings: DataFrame) -> DataFrame:
     # hashes tell which fields have few values, so that free text is never a key
     kinds = strings.select("key", F.xxhash64("v").alias("h")).distinct().groupBy("key").agg(F.count("*").alias("values"))
     few = kinds.where(F.col("values") <= MOST_VALUES).select("key")
-    counts = strings.join(few, "key", "left_semi").groupBy("key", "side", "v").agg(F.count("*").alias("n"))
+    counts = join_keys(strings, few, ["key"], "left_semi").groupBy("key", "side", "v").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("side", "key").orderBy(F.desc("n"), "v")).cast("int")
     return counts.withColumn("place", place).where(F.col("place") <= TOP).select("side", "key", "v", "n", "place")
 
