@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import Settings
 from ..findings import ERROR, findings, union
 from ..functions.arrow import slices, starts_of, text_bytes, whole_groups
-from ..functions.json_values import member, quoted, rounded, text_of, trim
+from ..functions.json_values import member, once, quoted, rounded, text_of, trim
 from ..functions.signing import signatures
 from ..functions.text import HASHES, bands
 from . import messages
@@ -26,15 +26,15 @@ GRAM = 3
 
 def prompts(docs: DataFrame, field: str) -> DataFrame:
     """(path, path_ord, row, prompt) of records whose field is a string that is not blank, trimmed."""
-    found = docs.where("tag = 'object'").withColumn("prompt", trim(text_of(member("doc", field))))
+    found = once(docs.where("tag = 'object'"), prompt=trim(text_of(member("doc", field))))
     keep = [c for c in ("dataset", "path", "path_ord", "row") if c in docs.columns]
     return found.where("prompt <> ''").select(*keep, "prompt")
 
 
-def first_rows(found: DataFrame, by: list[str]) -> DataFrame:
-    """The first place of each key, in order of files and rows; places are combined before they are exchanged."""
+def first_rows(found: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """The first place of each key, in order of files and rows, and more of it; places are combined before they are exchanged."""
     place = F.min(F.struct("path_ord", "path", "row")).alias("place")
-    return found.groupBy(*by).agg(place)
+    return found.groupBy(*by).agg(place, *more)
 
 
 def exact_hits(found: DataFrame) -> DataFrame:
@@ -43,25 +43,46 @@ def exact_hits(found: DataFrame) -> DataFrame:
     return found.join(other, "prompt").where("other < d")
 
 
-def near_hits(found: DataFrame, threshold: float) -> DataFrame:
-    """Rows of found (see overlaps) with each set before their own that lacks their prompt but has one at least this similar.
+def signed_rows(found: DataFrame) -> DataFrame:
+    """found (see overlaps) with a `key` for its prompt, `signature` (null: no shingle) and its name `sign` in place of the prompt.
 
-    `other` is that set, `place` the first place there of its most similar prompt, `similarity` how similar. Ties go to the
-    earliest band, then place. However many sets there are, every prompt is signed once and all sets meet in one join of bands.
-    Prompts go by a 128-bit hash, and prompts of one signature by that signature.
+    Rows are dealt evenly before they are signed, copies too, which takes longer than moving them. They are exchanged once more
+    without texts; what reads them through `only` has that exchange in common, so that Spark reads and signs every prompt once.
     """
-    found = found.withColumn("id", F.md5("prompt"))
-    held = first_rows(found, ["id", "d"])
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [c for c in found.columns if c != "prompt"]
+    keyed = found.select(F.struct(*kept, F.unhex(F.sha2("prompt", 256)).alias("key")).alias("id"), "prompt").repartition(tasks, "id")
+    signed = signatures(keyed, text_column="prompt", every=True).select("id.*", F.col("signature").cast("array<int>").alias("signature"))
+    return signed.withColumn("sign", F.md5(F.array_join("signature", ","))).repartition(tasks, "path", "row")
+
+
+def only(rows: DataFrame, *names: str) -> DataFrame:
+    """Some columns of rows, chosen in tasks: Spark does not choose them below the exchange that rows come from, which stays the same for all that read it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(names)
+
+    return rows.mapInArrow(run, StructType([rows.schema[n] for n in names]))
+
+
+def near_hits(rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, place, similarity): of prompts, each set that lacks them, but has one at least this similar, before some set that has them.
+
+    rows: as signed_rows has them; held: the first places of each key and set, and its `sign`. `place` is the first place there of the
+    most similar prompt, `similarity` how similar. Ties go to the earliest band, then place. However many sets there are, all
+    meet in one join of bands. Prompts of one signature go by that signature.
+    """
+    held = held.where("sign IS NOT NULL")
     # the sets that have a prompt, in order; a set asks if some set before it has not: its place in the list is less than its number
-    sets = held.groupBy("id").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+    sets = held.groupBy("key").agg(F.first("sign").alias("sign"), F.sort_array(F.collect_set("d")).alias("ds"))
     sets = sets.withColumn("asks", F.array_max(F.transform("ds", lambda d, i: F.when(d > i, d))))
-    signed = signatures(found.select("id", "prompt").dropDuplicates(["id"]), text_column="prompt").withColumn("sign", F.md5(F.array_join("signature", ",")))
-    named = signed.join(sets, "id")
-    places = named.select("id", "sign").join(held, "id").groupBy("sign", "d").agg(F.min("place").alias("place"))
-    signs = named.groupBy("sign").agg(F.first("signature").alias("signature"), F.max("asks").alias("asks"), F.min(F.col("ds")[0]).alias("least"))
+    places = held.groupBy("sign", "d").agg(F.min("place").alias("place"))
+    marks = only(rows, "sign", "signature").where("sign IS NOT NULL").groupBy("sign").agg(F.first("signature").alias("signature"))
+    signs = marks.join(sets.groupBy("sign").agg(F.max("asks").alias("asks"), F.min(F.col("ds")[0]).alias("least")), "sign")
     best = best_in_buckets(signs, places, threshold)
-    hits = named.where("asks IS NOT NULL").select("id", "sign", "ds").join(best, "sign").where("NOT array_contains(ds, other)")
-    return found.join(hits.select("id", "other", "place", "similarity"), "id").where("other < d").drop("id")
+    asking = sets.where("asks IS NOT NULL").select("key", "sign", "ds")
+    return asking.join(best, "sign").where("NOT array_contains(ds, other)").select("key", "other", "place", "similarity")
 
 
 #: Pairs of blocks: band, bucket, and the numbers of a block of signatures that ask and of one that are asked.
@@ -80,14 +101,20 @@ def in_blocks(signs: DataFrame, places: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     sizes = sizes.where("first < last").select("band", "bucket", "first", "last", blocks("asking").alias("m"), blocks("all").alias("n"))
     met = cut.join(sizes, ["band", "bucket"]).withColumn("own", F.xxhash64("sign"))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = met.where("asks > first").withColumn("i", F.pmod("own", "m").cast("int")).withColumn("j", all_of("n"))
-    asking = asking.select(*PAIR, "sign", F.lit(True).alias("asking"), F.col("asks").alias("d"), F.lit(None).cast("struct<path_ord:int,path:string,row:bigint>").alias("place"))
-    asked = met.where("least < last").withColumn("j", F.pmod("own", "n").cast("int")).withColumn("i", all_of("m"))
-    asked = asked.join(places, "sign").where("d < last").select(*PAIR, "sign", F.lit(False).alias("asking"), "d", F.col("place").cast("struct<path_ord:int,path:string,row:bigint>").alias("place"))
-    rows = asking.unionByName(asked).join(signs.select("sign", F.col("signature").cast("array<int>").alias("signature")), "sign")
+    # of a signature that asks, its own block with all that are asked; of one that is asked, all that ask with its own block
+    to = lambda n, asking, i, j: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(F.lit(asking).alias("asking"), i(x).alias("i"), j(x).alias("j")))
+    mine = lambda n: F.pmod("own", n).cast("int")
+    none = F.array().cast("array<struct<asking:boolean,i:int,j:int>>")
+    asking = F.when(F.col("asks") > F.col("first"), to("n", True, lambda x: mine("m"), lambda x: x)).otherwise(none)
+    asked = F.when(F.col("least") < F.col("last"), to("m", False, lambda x: x, lambda x: mine("n"))).otherwise(none)
+    dealt = met.select("band", "bucket", "sign", "asks", "last", F.explode(F.concat(asking, asked)).alias("to")).select("*", "to.*")
+    # every signature with its first place in each set that has it
+    held = places.groupBy("sign").agg(F.collect_list(F.struct("d", F.col("place").cast("struct<path_ord:int,path:string,row:bigint>").alias("place"))).alias("held"))
+    known = signs.select("sign", F.col("signature").cast("array<int>").alias("signature")).join(held, "sign", "left")
+    nowhere = F.array(F.struct(F.col("asks").alias("d"), F.lit(None).cast("struct<path_ord:int,path:string,row:bigint>").alias("place")))
+    rows = dealt.join(known, "sign").withColumn("at", F.explode(F.when(F.col("asking"), nowhere).otherwise(F.filter("held", lambda x: x.d < F.col("last")))))
     tasks = int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that pairs which are small but long to compare are not put together
-    return rows.select(*PAIR, "sign", "asking", "d", "place.*", "signature").repartition(tasks, *PAIR).sortWithinPartitions(*PAIR)
+    return rows.select(*PAIR, "sign", "asking", "at.d", "at.place.*", "signature").repartition(tasks, *PAIR).sortWithinPartitions(*PAIR)
 
 
 def best_in_buckets(signs: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
@@ -142,13 +169,18 @@ def _best(rows: pa.RecordBatch, key: list[str], threshold: float) -> Iterator[pa
 
 
 def overlaps(found: DataFrame, threshold: float) -> DataFrame:
-    """found: prompts with a set number `d`. Its rows with each set before their own that has their prompt, or one like it.
+    """found: prompts with a set number `d`. Its rows, without the prompt, with each set before their own that has it, or one like it.
 
     Exact hits have no similarity; near ones are those of prompts that the other set lacks, if the threshold is above 0.
     """
-    found = found.withColumn("d", F.col("d").cast("int"))
-    exact = exact_hits(found).withColumn("similarity", F.lit(None).cast("double"))
-    return exact.unionByName(near_hits(found, threshold), allowMissingColumns=False) if threshold > 0 else exact
+    found, none = found.withColumn("d", F.col("d").cast("int")), F.lit(None).cast("double")
+    if threshold <= 0:
+        return exact_hits(found).drop("prompt").withColumn("similarity", none)
+    rows = signed_rows(found)
+    held = first_rows(only(rows, "key", "sign", "d", "path_ord", "path", "row"), ["key", "d"], F.first("sign").alias("sign"))
+    exact = held.select("key", F.col("d").alias("other"), "place", none.alias("similarity"))
+    hits = exact.unionByName(near_hits(rows, held, threshold))
+    return only(rows, "key", *(c for c in found.columns if c != "prompt")).join(hits, "key").where("other < d").drop("key")
 
 
 def train_eval_overlap(train: DataFrame, evaluation: DataFrame, settings: Settings) -> DataFrame:

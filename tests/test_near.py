@@ -89,6 +89,31 @@ def test_a_hot_bucket_is_dealt_over_all_tasks(spark, monkeypatch):
     assert len(rows) == n // 2 and {(r.place.row, r.similarity) for r in rows} == {(0, 4 / 128)}
 
 
+def test_prompts_are_read_and_signed_once(spark):
+    """However often rows, places and signatures are used, what the prompts come from runs once."""
+    seen, rng = spark.sparkContext.accumulator(0), random.Random(8)
+    rows = [(rng.randrange(3), "p", 0, i, t) for i, t in enumerate(variants(rng, 30) * 2 + ["a b"])]
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "d int, path string, path_ord int, row long, prompt string")
+    found = leakage.overlaps(df.mapInArrow(count, df.schema), 0.6).collect()
+    assert {r.similarity is None for r in found} == {True, False}  # exact and near ones
+    assert seen.value == len(rows)
+
+
+def test_heads_of_md5_equal_those_of_hashlib():
+    """Runs of bytes of up to one block, at its edge and beyond, in one batch and at the end of the data."""
+    raw = np.frombuffer(bytes(random.Random(3).randrange(256) for _ in range(400)), np.uint8)
+    runs = [(k, k + n) for n in [*range(70), 119, 120, 200] for k in (0, 7, 400 - n)]
+    first, last = (np.array(x) for x in zip(*runs, strict=True))
+    assert signing.md5_heads(raw, first, last).tolist() == [int.from_bytes(hashlib.md5(raw[a:b].tobytes()).digest()[:4], "big") for a, b in runs]
+    assert signing.md5_heads(raw, first[:0], last[:0]).tolist() == []
+
+
 @pytest.mark.parametrize("text", ["", "a", "a b", "a b c", "  A  b\tC d ", "É é é É", "x " * 500])
 def test_signatures_equal_plain_ones(spark, text):
     df = spark.createDataFrame([(1, "q r s t"), (2, text), (3, None)], "id long, text string").coalesce(1)
