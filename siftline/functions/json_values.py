@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space in the Unicode sense, as a character class of Java regular expressions.
 SPACE = r"[\t-\r \u0085\p{Z}]"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _MARK = "siftline-end-of-line-7f1c"
 
 
@@ -18,7 +20,8 @@ def allow_duplicate_keys(spark: SparkSession) -> None:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """text, a column, without white space at its ends; only what is not UTF-8 is searched whole, by characters as Java decodes it."""
+    return F.when(F.is_valid_utf8(text), F.btrim(text, F.lit(SPACES))).otherwise(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
 
 
 def with_document(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash signatures of whole batches of texts.
 
-Spark lowers the texts and makes all white space single blanks, so a shingle of three words is a slice of the text's bytes. Its
+Spark lowers the texts and batches make all white space single blanks, so a shingle of three words is a slice of the text's bytes. Its
 value is the first 32 bits of its MD5, which is worked out for many shingles at a time; the 128 coordinates of all texts of a chunk
 are then made one coordinate at a time, as the minima of runs of values. A text is never spread over rows, and no shingle leaves the batch.
 """
@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .arrow import slices, text_bytes
-from .json_values import SPACE
+from .json_values import SPACES
 from .text import HASHES, PRIME, SHINGLE, coefficients
 
 #: Texts of about so many bytes are signed at once, and so many shingles hashed, so that what is worked on stays in a core's cache.
 SIGNED, HASHED = 1 << 18, 1 << 14
 #: Bytes that fit one block of MD5 with its mark and length.
 ONE_BLOCK = 55
+#: White space by byte, and that of several bytes.
+_BLANK = np.isin(np.arange(256), [ord(c) for c in SPACES if ord(c) < 128])
+_WIDE = [np.frombuffer(c.encode(), np.uint8) for c in SPACES if ord(c) >= 128]
 _P, _P32, _BITS = np.uint64(PRIME), np.uint32(PRIME), np.uint64(31)
 _START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
 _ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
@@ -92,6 +95,23 @@ def md5_heads(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
+def single_blanks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 texts, given as by text_bytes, with a single blank for each run of white space."""
+    blank = _BLANK[data]
+    for space in _WIDE:
+        if len(lead := np.flatnonzero(data[: len(data) - len(space) + 1] == space[0])):
+            for k in range(1, len(space)):
+                lead = lead[data[lead + k] == space[k]]
+            for k in range(len(space)):
+                blank[lead + k] = True
+    out, kept = np.where(blank, np.uint8(32), data), ~blank
+    kept[1:] |= ~blank[:-1]
+    kept[:1] = True
+    if kept.all():
+        return out, at
+    return out[kept], np.concatenate([[0], np.cumsum(kept)])[at]
+
+
 def shingle_values(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of all shingles of texts with single blanks between words, and the text that each is of."""
     word = data != 32
@@ -129,7 +149,7 @@ def signatures(texts: DataFrame, id_column: str = "id", text_column: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(batch.column("text"), SIGNED):
-                rows, found = signed(*text_bytes(batch.column("text").slice(i, j - i)), seed)
+                rows, found = signed(*single_blanks(*text_bytes(batch.column("text").slice(i, j - i))), seed)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * HASHES, pa.int32()), pa.array(found.reshape(-1)))
                 ids = batch.column("id").slice(i, j - i)
                 if every:
@@ -138,5 +158,6 @@ def signatures(texts: DataFrame, id_column: str = "id", text_column: str = "text
                     lists = lists.take(pa.array(place, mask=place < 0))
                 yield pa.RecordBatch.from_arrays([ids if every else ids.take(pa.array(rows)), lists], ["id", "signature"])
 
-    plain = texts.select(F.col(id_column).alias("id"), F.regexp_replace(F.lower(F.col(text_column)), f"{SPACE}+", " ").alias("text")).where("text IS NOT NULL")
+    # nulls go by the column as it is, as a filter on the lowered text would lower it once more
+    plain = texts.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.lower(F.col(text_column)).alias("text"))
     return plain.mapInArrow(run, StructType([plain.schema["id"], StructField("signature", ArrayType(LongType()))]))

@@ -26,7 +26,8 @@ GRAM = 3
 
 def prompts(docs: DataFrame, field: str) -> DataFrame:
     """(path, path_ord, row, prompt) of records whose field is a string that is not blank, trimmed."""
-    found = once(docs.where("tag = 'object'"), prompt=trim(text_of(member("doc", field))))
+    said = once(docs.where("tag = 'object'"), said=text_of(member("doc", field)))
+    found = once(said, prompt=trim(F.col("said")))
     keep = [c for c in ("dataset", "path", "path_ord", "row") if c in docs.columns]
     return found.where("prompt <> ''").select(*keep, "prompt")
 
@@ -73,11 +74,10 @@ def near_hits(rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     most similar prompt, `similarity` how similar. Ties go to the earliest band, then place. However many sets there are, all
     meet in one join of bands. Prompts of one signature go by that signature.
     """
-    held = held.where("sign IS NOT NULL")
     # the sets that have a prompt, in order; a set asks if some set before it has not: its place in the list is less than its number
-    sets = held.groupBy("key").agg(F.first("sign").alias("sign"), F.sort_array(F.collect_set("d")).alias("ds"))
+    sets = only(held, "key", "d", "sign").where("sign IS NOT NULL").groupBy("key").agg(F.first("sign").alias("sign"), F.sort_array(F.collect_set("d")).alias("ds"))
     sets = sets.withColumn("asks", F.array_max(F.transform("ds", lambda d, i: F.when(d > i, d))))
-    places = held.groupBy("sign", "d").agg(F.min("place").alias("place"))
+    places = only(held, "sign", "d", "place").where("sign IS NOT NULL").groupBy("sign", "d").agg(F.min("place").alias("place"))
     marks = only(rows, "sign", "signature").where("sign IS NOT NULL").groupBy("sign").agg(F.first("signature").alias("signature"))
     signs = marks.join(sets.groupBy("sign").agg(F.max("asks").alias("asks"), F.min(F.col("ds")[0]).alias("least")), "sign")
     best = best_in_buckets(signs, places, threshold)
@@ -178,7 +178,7 @@ def overlaps(found: DataFrame, threshold: float) -> DataFrame:
         return exact_hits(found).drop("prompt").withColumn("similarity", none)
     rows = signed_rows(found)
     held = first_rows(only(rows, "key", "sign", "d", "path_ord", "path", "row"), ["key", "d"], F.first("sign").alias("sign"))
-    exact = held.select("key", F.col("d").alias("other"), "place", none.alias("similarity"))
+    exact = only(held, "key", "d", "place").select("key", F.col("d").alias("other"), "place", none.alias("similarity"))
     hits = exact.unionByName(near_hits(rows, held, threshold))
     return only(rows, "key", *(c for c in found.columns if c != "prompt")).join(hits, "key").where("other < d").drop("key")
 

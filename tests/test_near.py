@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.functions import arrow, scripts, signing
+from siftline.functions import arrow, json_values, scripts, signing
 from siftline.functions.text import BANDS, HASHES, PRIME, ROWS, SCRIPTS, coefficients
 from siftline.operators import leakage
 
@@ -105,6 +105,19 @@ def test_prompts_are_read_and_signed_once(spark):
     assert seen.value == len(rows)
 
 
+def test_white_space_is_that_of_regular_expressions(spark):
+    """Every character at the ends of a text, and in runs between its words; bytes that are not UTF-8 are not taken for parts of white space."""
+    points = [c for c in [*range(0x3100), *range(0xFE00, 0x10000), 0x1D173, 0x1F600] if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"{chr(c)} {chr(c)}a b{chr(c)}{chr(c)}C\u3000 d{chr(c)}") for c in points], "id int, text string")
+    df = df.union(spark.sql("SELECT -id AS id, cast(concat(b, encode('a b c', 'utf-8'), b) AS string) AS text FROM VALUES (1, X'85'), (2, X'80'), (3, X'2020'), (4, X'E380') AS t (id, b)"))
+    pattern = json_values.SPACE
+    trimmed = df.select("id", json_values.trim(F.col("text")).alias("got"), F.regexp_replace("text", f"^{pattern}+|{pattern}+$", "").alias("want"))
+    assert trimmed.where("NOT got <=> want").collect() == []
+    words = df.select("id", F.regexp_replace(F.lower("text"), f"{pattern}+", " ").cast("binary").alias("text")).collect()
+    data, at = signing.single_blanks(*arrow.text_bytes(df.select("id", F.lower("text").alias("text")).toArrow().column("text").combine_chunks()))
+    assert [bytes(data[i:j]).strip(b" ") for i, j in zip(at[:-1], at[1:], strict=True)] == [bytes(r.text).strip(b" ") for r in words]
+
+
 def test_heads_of_md5_equal_those_of_hashlib():
     """Runs of bytes of up to one block, at its edge and beyond, in one batch and at the end of the data."""
     raw = np.frombuffer(bytes(random.Random(3).randrange(256) for _ in range(400)), np.uint8)
